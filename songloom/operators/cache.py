@@ -55,9 +55,9 @@ def replay(lookups: DataFrame, max_ttl_seconds: int = fixed.TTL_FOUND) -> DataFr
     miss, so its timeline falls into independent runs. Runs are replayed in
     time order by a streaming pass that keeps one number as state.
     """
-    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (max_ttl_seconds * MICROS))
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(max_ttl_seconds * MICROS).cast("bigint"))
     timed = lookups.select(
-        "key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("ttl") * MICROS).cast("bigint").alias("ttl"), slot.alias("slot")
+        "key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl"), slot.alias("slot")
     )
     by_slot = Window.partitionBy("key").orderBy("slot")
     slots = timed.select("key", "slot").distinct()

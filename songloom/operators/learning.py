@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from songloom import fixed
 from songloom.functions import vectors as V
 from songloom.functions.text import clean_text
 from songloom.operators import statistics as S
+from songloom.session import cut_lineage
 
 LOGIT_SCALE = 100.0
 
@@ -112,7 +113,9 @@ def train_classifier(tracks: DataFrame, weights: DataFrame, seed: int = 42) -> D
     """Emotion classifier with class weights; labels predicted on all splits."""
     train = tracks.filter(F.col("split") == "train")
     stats = S.fit(train, fixed.FEATURES, population=True)
-    rows = assembled(S.apply_zscore(tracks, stats, fixed.FEATURES))
+    scaled = assembled(S.apply_zscore(tracks, stats, fixed.FEATURES))
+    # read once per training pass, so the joins before it are not repeated
+    rows = cut_lineage(scaled.select("track_id", "split", "label", "features"))
     weighted = rows.filter(F.col("split") == "train").join(F.broadcast(weights.select("label", "weight")), "label")
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.01
@@ -135,8 +138,6 @@ def first_component(tracks: DataFrame) -> DataFrame:
 
 def effective_rank(vectors: DataFrame, share: float = 0.99) -> DataFrame:
     """Variance explained by each principal axis and whether it is needed."""
-    from pyspark.ml.functions import array_to_vector
-
     dim = vectors.select(F.size("embedding")).first()[0]
     rows = vectors.select(array_to_vector(V.as_doubles(F.col("embedding"))).alias("features"))
     explained = PCA(k=dim, inputCol="features", outputCol="latent").fit(rows).explainedVariance.toArray()

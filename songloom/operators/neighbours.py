@@ -25,7 +25,7 @@ BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024  # query rows multiplied at a time
 PIVOTS = 64
 BLOCK_ROWS = 50_000
-DIGITS = 9  # distances are compared after this rounding
+DIGITS = 9  # distances count as equal up to this rounding, then ids decide
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
 
 
@@ -35,13 +35,13 @@ def stack(column: pd.Series) -> np.ndarray:
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.round(np.maximum(d, 0.0), DIGITS)
+    return np.maximum(d, 0.0)
 
 
 def best_k(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """Nearest k rows per query, ties by neighbour id."""
-    rows = rows.sort_values(["query_id", "distance", "neighbour_id"], kind="stable")
-    return rows[rows.groupby("query_id", sort=False).cumcount() < k]
+    rows = rows.assign(near=rows["distance"].round(DIGITS)).sort_values(["query_id", "near", "neighbour_id"])
+    return rows[rows.groupby("query_id", sort=False).cumcount() < k].drop(columns="near")
 
 
 def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
@@ -50,7 +50,7 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     for start in range(0, len(q), QUERY_ROWS):
         d = squared_distances(q[start : start + QUERY_ROWS], c)
         limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-        i, j = np.nonzero(d <= limit)
+        i, j = np.nonzero(d <= limit + 2 * 10.0**-DIGITS)
         part = pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": c_ids[j], "distance": d[i, j]})
         found.append(best_k(part, k))
     return pd.concat(found, ignore_index=True)
@@ -80,7 +80,7 @@ def knn(
         found = _scan_all(queries, corpus, k)
     else:
         found = _scan_cells(queries, corpus, k)
-    ranked = top_per_key(found, ["query_id"], [F.col("distance"), F.col("neighbour_id")], k)
+    ranked = _ranked(found, k)
     if metric == "cosine":
         return ranked.select(
             "query_id", "neighbour_id", (F.lit(1.0) - F.col("distance") / 2).alias("similarity"), "rank"
@@ -92,7 +92,11 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, probes: int = 8) -
     """Approximate squared-L2 neighbours: only the ``probes`` nearest cells."""
     queries, corpus = (df.select("id", V.as_doubles(F.col("embedding")).alias("embedding")) for df in (queries, corpus))
     found = _scan_cells(queries, corpus, k, probes)
-    return top_per_key(found, ["query_id"], [F.col("distance"), F.col("neighbour_id")], k)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return top_per_key(found, ["query_id"], [F.round("distance", DIGITS), F.col("neighbour_id")], k)
 
 
 def _result_schema(queries: DataFrame, corpus: DataFrame) -> str:

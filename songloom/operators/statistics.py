@@ -172,7 +172,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
     counts = binned.groupBy("bin").agg(F.count("*").alias("rows"))
     edges = stats.select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"), "lo", "hi"
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"), "lo", "hi"
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     return edges.join(counts, "bin", "left").select(
         "bin",

@@ -266,7 +266,7 @@ def frequent_groups(t: Tables) -> DataFrame:
 ENTRIES_SQL = f"""{LOOKUPS}, entries AS (SELECT key, max(id) AS id, max(ts) AS ts, arg_max(ttl, id) AS ttl FROM lookups GROUP BY key)"""
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT key, id FROM entries WHERE epoch_us(ts) + ttl * 1000000 > epoch_us({AS_OF_SQL})")
+@query(f"WITH {ENTRIES_SQL} SELECT key, id FROM entries WHERE epoch_us(ts) + ttl * 1000000::BIGINT > epoch_us({AS_OF_SQL})")
 def live_entries(t: Tables) -> DataFrame:
     from songloom.operators import cache
     from songloom.plans.accounts import cache_entries

@@ -60,7 +60,7 @@ def cache_stream(lookups: DataFrame) -> DataFrame:
     """
     key_type = lookups.schema["key"].dataType.simpleString()
     timed = lookups.select(
-        "key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("ttl") * MICROS).cast("bigint").alias("ttl")
+        "key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl")
     )
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
