@@ -28,5 +28,19 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector of length one; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length == 0, as_doubles(v)).otherwise(F.transform(as_doubles(v), lambda x: x / length))
+    # the length is bound once, outside the per-element function
+    lengths = F.array(F.nullif(norm(v), F.lit(0.0)))
+    scaled = F.transform(lengths, lambda n: F.transform(as_doubles(v), lambda x: x / F.coalesce(n, F.lit(1.0))))
+    return F.element_at(scaled, 1)
+
+
+def project(columns: list[str], axes: list[list[float]]) -> list[Column]:
+    """Products of a row's columns with constant axes, as plain arithmetic."""
+
+    def along(axis: list[float]) -> Column:
+        out = F.lit(0.0)
+        for name, weight in zip(columns, axis):
+            out = out + F.col(name) * F.lit(float(weight))
+        return out
+
+    return [along(axis) for axis in axes]

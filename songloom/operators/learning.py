@@ -36,23 +36,24 @@ def fit_pca(df: DataFrame, k: int):
 
 
 def pca_encode(tracks: DataFrame, k: int = 8) -> DataFrame:
-    """Unit-norm latent vectors and the squared error of their reconstruction."""
-    rows = assembled(scaled_tracks(tracks))
-    model = fit_pca(rows, k)
-    axes = model.pc.toArray()
-    latent = vector_to_array("latent")
-    back = F.array(
-        *[
-            V.total(F.zip_with(F.col("code"), F.array(*[F.lit(float(x)) for x in axis]), lambda a, b: a * b))
-            for axis in axes
-        ]
-    )
-    original = F.array(*fixed.FEATURES)
-    return (
-        model.transform(rows)
-        .withColumn("code", latent)
-        .select("track_id", V.unit(F.col("code")).cast("array<float>").alias("embedding"), (V.squared_l2(original, back) / len(fixed.FEATURES)).alias("mse"))
-    )
+    """Unit-norm latent vectors and the squared error of their reconstruction.
+
+    Projection and reconstruction are sums of products with constants, which
+    Spark compiles into the scan.
+    """
+    scaled = scaled_tracks(tracks).select("track_id", *fixed.FEATURES)
+    axes = fit_pca(assembled(scaled), k).pc.toArray()
+    codes = [f"_c{i}" for i in range(k)]
+    coded = scaled.withColumns(dict(zip(codes, V.project(fixed.FEATURES, axes.T.tolist()))))
+    error, square = F.lit(0.0), F.lit(0.0)
+    for name, back in zip(fixed.FEATURES, V.project(codes, axes.tolist())):
+        error = error + (F.col(name) - back) * (F.col(name) - back)
+    for code in codes:
+        square = square + F.col(code) * F.col(code)
+    measured = coded.withColumns({"_length": F.sqrt(square), "mse": error / len(fixed.FEATURES)})
+    length = F.coalesce(F.nullif("_length", F.lit(0.0)), F.lit(1.0))
+    embedding = F.array(*[F.col(c) / length for c in codes]).cast("array<float>")
+    return measured.select("track_id", embedding.alias("embedding"), "mse")
 
 
 def reconstruction_mse(encoded: DataFrame) -> DataFrame:
@@ -86,15 +87,14 @@ def zero_shot(images: DataFrame, prompts: DataFrame, scale: float = LOGIT_SCALE)
     listed = prompts.agg(
         F.sort_array(F.collect_list(F.struct("prompt", "label", "label_type", V.unit(F.col("vector")).alias("vector"))))
     ).scalar()
-    scored = images.withColumn("_prompts", listed).withColumn(
-        "_scores", F.transform("_prompts", lambda p: V.dot(V.unit(F.col("embedding")), p.getField("vector")) * scale)
+    scored = images.select("id", V.unit(F.col("embedding")).alias("_v"), listed.alias("_prompts")).select(
+        "id", "_prompts", F.transform("_prompts", lambda p: V.dot(F.col("_v"), p.getField("vector")) * scale).alias("_scores")
     )
-    top = F.array_max("_scores")
-    best = F.element_at("_prompts", F.array_position("_scores", top).cast("int"))
-    mass = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.array_max("_scores")))
-    return scored.select(
-        "id", best.getField("prompt").alias("prompt"), best.getField("label").alias("label"),
-        best.getField("label_type").alias("label_type"), (F.lit(1.0) / mass).alias("confidence"),
+    topped = scored.withColumn("_top", F.array_max("_scores"))
+    best = F.element_at("_prompts", F.array_position("_scores", F.col("_top")).cast("int"))
+    mass = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top")))
+    return topped.select("id", best.alias("_best"), (F.lit(1.0) / mass).alias("confidence")).select(
+        "id", "_best.prompt", "_best.label", "_best.label_type", "confidence"
     )
 
 
@@ -132,7 +132,7 @@ def first_component(tracks: DataFrame) -> DataFrame:
     axis = fit_pca(rows, 1).pc.toArray()[:, 0]
     if axis[fixed.FEATURES.index("energy")] < 0:
         axis = -axis
-    score = V.total(F.zip_with(F.array(*fixed.FEATURES), F.array(*[F.lit(float(x)) for x in axis]), lambda a, b: a * b))
+    score = V.project(fixed.FEATURES, [axis.tolist()])[0]
     return S.minmax_scale(rows.select("track_id", score.alias("gradient")), ["gradient"])
 
 

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.functions import vectors as V
 from songloom.operators.ranking import top_per_key
 from songloom.session import cut_lineage
 
@@ -29,8 +28,13 @@ DIGITS = 9  # distances count as equal up to this rounding, then ids decide
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
 
 
-def stack(column: pd.Series) -> np.ndarray:
-    return np.array(column.to_list(), dtype=np.float64).reshape(len(column), -1)
+def stack(column: pd.Series, unit: bool = False) -> np.ndarray:
+    """Rows of vectors as one matrix, of length one each if asked."""
+    out = np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 1))
+    if unit:
+        length = np.sqrt((out * out).sum(1, keepdims=True))
+        out = out / np.where(length == 0, 1.0, length)
+    return out
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,15 +75,13 @@ def knn(
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric: {metric}")
-    if metric == "cosine":
-        queries, corpus = (df.select("id", V.unit(F.col("embedding")).alias("embedding")) for df in (queries, corpus))
-    else:
-        queries, corpus = (df.select("id", V.as_doubles(F.col("embedding")).alias("embedding")) for df in (queries, corpus))
+    unit = metric == "cosine"
+    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if size["n"] * (size["dim"] or 0) * 8 <= broadcast_bytes:
-        found = _scan_all(queries, corpus, k)
+        found = _scan_all(queries, corpus, k, unit)
     else:
-        found = _scan_cells(queries, corpus, k)
+        found = _scan_cells(queries, corpus, k, unit)
     ranked = _ranked(found, k)
     if metric == "cosine":
         return ranked.select(
@@ -90,8 +92,8 @@ def knn(
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, probes: int = 8) -> DataFrame:
     """Approximate squared-L2 neighbours: only the ``probes`` nearest cells."""
-    queries, corpus = (df.select("id", V.as_doubles(F.col("embedding")).alias("embedding")) for df in (queries, corpus))
-    found = _scan_cells(queries, corpus, k, probes)
+    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
+    found = _scan_cells(queries, corpus, k, False, probes)
     return _ranked(found, k)
 
 
@@ -105,12 +107,12 @@ def _result_schema(queries: DataFrame, corpus: DataFrame) -> str:
     )
 
 
-def _scan_all(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> DataFrame:
     """One pass over the corpus with the whole (size-checked) query set."""
     spark = corpus.sparkSession
     local = queries.toPandas()
     sent = spark.sparkContext.broadcast(
-        (local["id"].to_numpy(), stack(local["embedding"]) if len(local) else np.zeros((0, 1)))
+        (local["id"].to_numpy(), stack(local["embedding"], unit))
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +121,7 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if len(batch) == 0 or len(q) == 0:
                 continue
-            part = block_best(q_ids, q, batch["id"].to_numpy(), stack(batch["embedding"]), k)
+            part = block_best(q_ids, q, batch["id"].to_numpy(), stack(batch["embedding"], unit), k)
             best = part if best is None else best_k(pd.concat([best, part], ignore_index=True), k)
         if best is not None:
             yield best
@@ -127,11 +129,11 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInPandas(scan, _result_schema(queries, corpus))
 
 
-def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probes: int | None = None) -> DataFrame:
     """Join queries with the blocks of those cells that can hold neighbours."""
     spark = corpus.sparkSession
     pivots = stack(
-        corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).toPandas()["embedding"]
+        corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).toPandas()["embedding"], unit
     )
     sent_pivots = spark.sparkContext.broadcast(pivots)
     id_type = corpus.schema["id"].dataType.simpleString()
@@ -139,9 +141,10 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, probes: int | Non
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = np.sqrt(squared_distances(stack(batch["embedding"]), sent_pivots.value))
+                rows = stack(batch["embedding"], unit)
+                d = np.sqrt(squared_distances(rows, sent_pivots.value))
                 cell = d.argmin(1)
-                yield batch.assign(cell=cell, to_pivot=d[np.arange(len(d)), cell])
+                yield batch.assign(embedding=list(rows), cell=cell, to_pivot=d[np.arange(len(d)), cell])
 
     # kept once: the cells are read for their sizes and again for the join
     celled = cut_lineage(
@@ -168,7 +171,8 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, probes: int | Non
         for batch in batches:
             if not len(batch):
                 continue
-            d = np.sqrt(squared_distances(stack(batch["embedding"]), centres))
+            rows = stack(batch["embedding"], unit)
+            d = np.sqrt(squared_distances(rows, centres))
             if probes is None:
                 # k vectors lie within this distance, so nothing beyond it matters
                 upper = np.concatenate([d[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
@@ -181,7 +185,7 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, probes: int | Non
             yield pd.DataFrame(
                 {
                     "id": batch["id"].to_numpy()[i],
-                    "embedding": batch["embedding"].to_numpy()[i],
+                    "embedding": list(rows[i]),
                     "cell": names[j],
                     "n_blocks": n_blocks[j],
                 }

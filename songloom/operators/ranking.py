@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from songloom.session import cut_lineage
+
 HEX_DIGITS = 4  # 16**4 hash buckets
-SAMPLE_ROWS = 4096
-RANK_BUCKETS = 64
 
 
 def hash_of(id_col: str, seed: int = 42) -> Column:
@@ -103,35 +103,23 @@ def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFram
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Row number over the whole table, ascending by unique ``order`` columns.
 
-    Sampled boundaries cut the order into ranges; rows are numbered within
-    their range and shifted by the size of the ranges before it. A table no
-    larger than the sample is one range.
+    Spark sorts by range; each part is numbered by itself and written, then
+    shifted by the sizes of the parts before it. No task sees the whole table.
     """
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE_ROWS).orderBy(*order).collect()
-    key = F.struct(*order)
-    bounds = []
-    if len(sample) == SAMPLE_ROWS:
-        types = [df.schema[c].dataType for c in order]
-        step = SAMPLE_ROWS // RANK_BUCKETS
-        bounds = [
-            F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, types)])
-            for row in sample[step::step]
-        ]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    ranged = df.withColumn("_range", part)
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.monotonically_increasing_id()
+    placed = df.sort(*order).select("*", F.shiftright(number, 33).alias("_part"), number.bitwiseAND((1 << 33) - 1).alias("_row"))
+    written = cut_lineage(placed, "ranked")
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_range")
+        written.groupBy("_part")
         .agg(F.count("*").alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
-    within = Window.partitionBy("_range").orderBy(*order)
-    # at most RANK_BUCKETS rows of offsets
+    # one row per part of the sort, a few thousand at most
     return (
-        ranged.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_row") + F.col("_before")).cast("bigint"))
-        .drop("_range", "_row", "_before")
+        written.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_row") + 1 + F.col("_before"))
+        .drop("_part", "_row", "_before")
     )
 
 

@@ -6,6 +6,10 @@ computes it once, and applying it adds neither a join nor a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from songloom import fixed
 from songloom.functions.numeric import is_missing, zscore
 from songloom.operators.quantiles import exact_quantiles, medians_row, unpivot
 
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
 
 def attach(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
     """Add a one-row table to every row as a struct column."""
@@ -149,17 +155,42 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Pearson correlation of column pairs in one pass."""
+    """Pearson correlation of column pairs over the rows where both are present.
+
+    Tasks fold their rows to one line of sums per pair with matrix products;
+    only those lines are shuffled.
+    """
     pairs = pairs or [(a, b) for a in columns for b in columns]
-    todo = list(dict.fromkeys(tuple(sorted(p)) for p in pairs))
-    one = df.agg(*[F.corr(a, b).alias(f"{a}:{b}") for a, b in todo])
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col("`" + ":".join(sorted((a, b))) + "`").alias("corr"))
-            for a, b in pairs
-        ]
+    used = [c for c in columns if any(c in p for p in pairs)]
+    x = [used.index(a) for a, _ in pairs]
+    y = [used.index(b) for _, b in pairs]
+    # any point near the data keeps the sums well conditioned
+    centre = df.select(*[F.avg(c).cast("double").alias(c) for c in used]).first()
+    shift = np.array([v if v is not None else 0.0 for v in centre])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            values = batch.to_numpy(dtype=np.float64) - shift
+            there = ~np.isnan(values)
+            values = np.where(there, values, 0.0)
+            there = there.astype(np.float64)
+            sums = np.stack(
+                [there.T @ there, values.T @ there, there.T @ values, (values**2).T @ there, there.T @ values**2, values.T @ values]
+            )
+            total = sums if total is None else total + sums
+        if total is not None:
+            picked = total[:, x, y]
+            yield pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], **dict(zip(PAIR_SUMS, picked))})
+
+    lines = df.select(*[F.col(c).cast("double").alias(c) for c in used]).mapInPandas(
+        fold, "a string, b string, " + ", ".join(f"{s} double" for s in PAIR_SUMS)
     )
-    return one.select(F.inline(rows))
+    total = lines.groupBy(F.col("a").alias("feature_a"), F.col("b").alias("feature_b")).agg(*[F.sum(s).alias(s) for s in PAIR_SUMS])
+    joint = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    return total.select("feature_a", "feature_b", F.try_divide(joint, F.sqrt(spread_x * spread_y)).alias("corr"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -14,6 +14,7 @@ from songloom.plans.registry import query
 from songloom.plans.retrieval import SHOWN, pool_sql
 from songloom.plans.scalars import MOOD_SQL
 from songloom.plans.twins import TRACKS, with_
+from songloom.session import cut_lineage
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
@@ -42,7 +43,7 @@ shot AS (SELECT id, prompt, label, label_type, 1 / total AS confidence FROM best
 
 
 def zero_shot(t: Tables) -> DataFrame:
-    return learning.zero_shot(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), prompts(t))
+    return learning.zero_shot(t.spread("embeddings").select(F.col("vec_id").alias("id"), "embedding"), prompts(t))
 
 
 @query(with_(ZERO_SHOT) + "SELECT id, prompt, label, label_type, round(confidence, 6) AS confidence FROM shot")
@@ -89,7 +90,8 @@ def text_vectors(t: Tables) -> DataFrame:
 def train_classifier(t: Tables) -> DataFrame:
     """Classifier trained on the training part, reported on the others."""
     coded = catalogue.tracks(t).withColumn("label", N.emotion_code(F.col("emotion")))
-    split = ranking.exact_split(coded, "track_id", ranking.halved_tail_sizes(0.2), ["label"])
+    # split once; weights, statistics and training read the written table
+    split = cut_lineage(ranking.exact_split(coded.select("track_id", "label", *fixed.FEATURES), "track_id", ranking.halved_tail_sizes(0.2), ["label"]))
     weights = S.class_weights(split.filter("split = 'train'"), "label")
     predicted = learning.train_classifier(split, weights)
     return evaluate.classification_report(predicted.filter("split <> 'train'"), "label", "predicted")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "songloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,8 +50,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows as a table written to the shared folder.
+
+    Later jobs read that table, so nothing before it runs again, also when
+    executors are lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, most: int = 64) -> DataFrame:
+    """A scanned table in at least as many parts as there are cores.
+
+    Large tables already are, and stay as they are. Only a table with few
+    input splits is dealt out, so that costly row work uses all cores.
+    """
+    cores = min(table.sparkSession.sparkContext.defaultParallelism, most)
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

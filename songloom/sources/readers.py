@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from songloom import fixed
+from songloom.session import spread
 
 SUFFIX_FORMATS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "jl": "jsonl", "parquet": "parquet"}
 
@@ -23,6 +24,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table for costly row work: in no fewer parts than cores."""
+        return spread(getattr(self, name))
+
 
 def read_json_lines(
     spark: SparkSession,
