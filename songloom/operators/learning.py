@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +16,8 @@ from songloom import fixed
 from songloom.functions import vectors as V
 from songloom.functions.text import clean_text
 from songloom.operators import statistics as S
-from songloom.session import cut_lineage
+from songloom.operators.neighbours import list_array
+from songloom.session import cut_lineage, spread
 
 LOGIT_SCALE = 100.0
 
@@ -30,9 +31,21 @@ def assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=fixed.FEATURES, outputCol="features").transform(df)
 
 
-def fit_pca(df: DataFrame, k: int):
-    """Principal axes of the scaled features; only a 9 x 9 matrix is collected."""
-    return PCA(k=k, inputCol="features", outputCol="latent").fit(df)
+def principal_axes(tracks: DataFrame, k: int) -> np.ndarray:
+    """First ``k`` principal axes of the z-scored features, as columns.
+
+    The covariance of z-scores is the correlation matrix, which one pass over
+    the table yields; only its 81 values reach the driver. The first weight
+    of an axis that is not near zero is made positive.
+    """
+    place = {name: i for i, name in enumerate(fixed.FEATURES)}
+    table = np.zeros((len(place), len(place)))
+    for row in S.correlations(tracks, fixed.FEATURES).collect():
+        table[place[row["feature_a"]], place[row["feature_b"]]] = row["corr"]
+    values, axes = np.linalg.eigh((table + table.T) / 2)
+    axes = axes[:, np.argsort(values)[::-1][:k]]
+    lead = (np.abs(axes) > 0.01).argmax(0)
+    return axes * np.sign(axes[lead, np.arange(axes.shape[1])])
 
 
 def pca_encode(tracks: DataFrame, k: int = 8) -> DataFrame:
@@ -42,7 +55,7 @@ def pca_encode(tracks: DataFrame, k: int = 8) -> DataFrame:
     Spark compiles into the scan.
     """
     scaled = scaled_tracks(tracks).select("track_id", *fixed.FEATURES)
-    axes = fit_pca(assembled(scaled), k).pc.toArray()
+    axes = principal_axes(tracks, k)
     codes = [f"_c{i}" for i in range(k)]
     coded = scaled.withColumns(dict(zip(codes, V.project(fixed.FEATURES, axes.T.tolist()))))
     error, square = F.lit(0.0), F.lit(0.0)
@@ -52,7 +65,7 @@ def pca_encode(tracks: DataFrame, k: int = 8) -> DataFrame:
         square = square + F.col(code) * F.col(code)
     measured = coded.withColumns({"_length": F.sqrt(square), "mse": error / len(fixed.FEATURES)})
     length = F.coalesce(F.nullif("_length", F.lit(0.0)), F.lit(1.0))
-    embedding = F.array(*[F.col(c) / length for c in codes]).cast("array<float>")
+    embedding = F.array(*[(F.col(c) / length).cast("float") for c in codes])
     return measured.select("track_id", embedding.alias("embedding"), "mse")
 
 
@@ -62,20 +75,20 @@ def reconstruction_mse(encoded: DataFrame) -> DataFrame:
 
 def encode_batch(tracks: DataFrame, k: int = 8) -> DataFrame:
     """Encoder inference in Arrow batches with weights loaded once per task."""
-    rows = scaled_tracks(tracks)
-    weights = fit_pca(assembled(rows), k).pc.toArray()
+    weights = principal_axes(tracks, k)
     sent = tracks.sparkSession.sparkContext.broadcast(weights)
     features = list(fixed.FEATURES)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            code = batch[features].to_numpy(dtype=np.float64) @ w
+            code = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]) @ w
             length = np.linalg.norm(code, axis=1, keepdims=True)
-            code = code / np.where(length == 0, 1.0, length)
-            yield pd.DataFrame({"track_id": batch["track_id"], "embedding": list(code.astype(np.float32))})
+            code = (code / np.where(length == 0, 1.0, length)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("track_id"), list_array(code)], ["track_id", "embedding"])
 
-    return rows.select("track_id", *features).mapInPandas(encode, "track_id string, embedding array<float>")
+    rows = scaled_tracks(tracks).select("track_id", *features)
+    return rows.mapInArrow(encode, "track_id string, embedding array<float>")
 
 
 def zero_shot(images: DataFrame, prompts: DataFrame, scale: float = LOGIT_SCALE) -> DataFrame:
@@ -115,7 +128,7 @@ def train_classifier(tracks: DataFrame, weights: DataFrame, seed: int = 42) -> D
     stats = S.fit(train, fixed.FEATURES, population=True)
     scaled = assembled(S.apply_zscore(tracks, stats, fixed.FEATURES))
     # read once per training pass, so the joins before it are not repeated
-    rows = cut_lineage(scaled.select("track_id", "split", "label", "features"))
+    rows = spread(cut_lineage(scaled.select("track_id", "split", "label", "features")))
     weighted = rows.filter(F.col("split") == "train").join(F.broadcast(weights.select("label", "weight")), "label")
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.01
@@ -128,12 +141,11 @@ def first_component(tracks: DataFrame) -> DataFrame:
 
     The sign is chosen so that energy counts upwards.
     """
-    rows = assembled(scaled_tracks(tracks))
-    axis = fit_pca(rows, 1).pc.toArray()[:, 0]
+    axis = principal_axes(tracks, 1)[:, 0]
     if axis[fixed.FEATURES.index("energy")] < 0:
         axis = -axis
     score = V.project(fixed.FEATURES, [axis.tolist()])[0]
-    return S.minmax_scale(rows.select("track_id", score.alias("gradient")), ["gradient"])
+    return S.minmax_scale(scaled_tracks(tracks).select("track_id", score.alias("gradient")), ["gradient"])
 
 
 def effective_rank(vectors: DataFrame, share: float = 0.99) -> DataFrame:

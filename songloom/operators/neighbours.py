@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +29,28 @@ DIGITS = 9  # distances count as equal up to this rounding, then ids decide
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
 
 
-def stack(column: pd.Series, unit: bool = False) -> np.ndarray:
-    """Rows of vectors as one matrix, of length one each if asked."""
-    out = np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 1))
+def matrix(column: pa.Array, unit: bool = False) -> np.ndarray:
+    """An Arrow list column as one matrix, rows of length one if asked."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = out.reshape(len(column), -1) if len(column) else out.reshape(0, 1)
     if unit:
         length = np.sqrt((out * out).sum(1, keepdims=True))
         out = out / np.where(length == 0, 1.0, length)
     return out
 
 
+def ids_of(column: pa.Array) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def list_array(rows: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow list column."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(d, 0.0)
@@ -110,45 +124,46 @@ def _result_schema(queries: DataFrame, corpus: DataFrame) -> str:
 def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> DataFrame:
     """One pass over the corpus with the whole (size-checked) query set."""
     spark = corpus.sparkSession
-    local = queries.toPandas()
-    sent = spark.sparkContext.broadcast(
-        (local["id"].to_numpy(), stack(local["embedding"], unit))
-    )
+    local = queries.toArrow()
+    sent = spark.sparkContext.broadcast((ids_of(local["id"]), matrix(local["embedding"], unit)))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = sent.value
         best = None
         for batch in batches:
-            if len(batch) == 0 or len(q) == 0:
+            if batch.num_rows == 0 or len(q) == 0:
                 continue
-            part = block_best(q_ids, q, batch["id"].to_numpy(), stack(batch["embedding"], unit), k)
+            part = block_best(q_ids, q, ids_of(batch.column("id")), matrix(batch.column("embedding"), unit), k)
             best = part if best is None else best_k(pd.concat([best, part], ignore_index=True), k)
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    return corpus.mapInPandas(scan, _result_schema(queries, corpus))
+    return corpus.mapInArrow(scan, _result_schema(queries, corpus))
 
 
 def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probes: int | None = None) -> DataFrame:
     """Join queries with the blocks of those cells that can hold neighbours."""
     spark = corpus.sparkSession
-    pivots = stack(
-        corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).toPandas()["embedding"], unit
-    )
+    some = corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).toArrow()
+    pivots = matrix(some["embedding"], unit)
     sent_pivots = spark.sparkContext.broadcast(pivots)
     id_type = corpus.schema["id"].dataType.simpleString()
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                rows = stack(batch["embedding"], unit)
+            if batch.num_rows:
+                rows = matrix(batch.column("embedding"), unit)
                 d = np.sqrt(squared_distances(rows, sent_pivots.value))
-                cell = d.argmin(1)
-                yield batch.assign(embedding=list(rows), cell=cell, to_pivot=d[np.arange(len(d)), cell])
+                cell = d.argmin(1).astype(np.int32)
+                near = d[np.arange(len(d)), cell]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), list_array(rows), pa.array(cell), pa.array(near)],
+                    ["id", "embedding", "cell", "to_pivot"],
+                )
 
     # kept once: the cells are read for their sizes and again for the join
     celled = cut_lineage(
-        corpus.mapInPandas(to_cells, f"id {id_type}, embedding array<double>, cell int, to_pivot double")
+        corpus.mapInArrow(to_cells, f"id {id_type}, embedding array<double>, cell int, to_pivot double")
     )
     # at most PIVOTS rows, each with k distances
     nearest = top_per_key(celled.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k)
@@ -166,12 +181,12 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
 
     q_type = queries.schema["id"].dataType.simpleString()
 
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, names, reach, close, n_blocks = sent.value
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = stack(batch["embedding"], unit)
+            rows = matrix(batch.column("embedding"), unit)
             d = np.sqrt(squared_distances(rows, centres))
             if probes is None:
                 # k vectors lie within this distance, so nothing beyond it matters
@@ -179,20 +194,15 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
                 bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(d), np.inf)
                 visit = d - reach[None, :] <= bound[:, None] + 1e-6
             else:
-                order = d.argsort(1).argsort(1)
-                visit = order < probes
+                visit = d.argsort(1).argsort(1) < probes
             i, j = np.nonzero(visit)
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"].to_numpy()[i],
-                    "embedding": list(rows[i]),
-                    "cell": names[j],
-                    "n_blocks": n_blocks[j],
-                }
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(i)), list_array(rows[i]), pa.array(names[j].astype(np.int32)), pa.array(n_blocks[j].astype(np.int32))],
+                ["id", "embedding", "cell", "n_blocks"],
             )
 
     visits = cut_lineage(
-        queries.mapInPandas(to_visits, f"id {q_type}, embedding array<double>, cell int, n_blocks int")
+        queries.mapInArrow(to_visits, f"id {q_type}, embedding array<double>, cell int, n_blocks int")
     )
     # both sides of a cell are cut into blocks; each block pair is one group
     asked = visits.groupBy("cell").agg(
@@ -223,13 +233,14 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
     )
     schema = _result_schema(queries, corpus)
 
-    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query_id": q["id"][:0], "neighbour_id": c["id"][:0], "distance": np.zeros(0)})
-        return block_best(q["id"].to_numpy(), stack(q["embedding"]), c["id"].to_numpy(), stack(c["embedding"]), k)
+    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
+        if q.num_rows and c.num_rows:
+            best = block_best(ids_of(q["id"]), matrix(q["embedding"]), ids_of(c["id"]), matrix(c["embedding"]), k)
+            return pa.Table.from_pandas(best, preserve_index=False)
+        return pa.table({"query_id": q["id"].slice(0, 0), "neighbour_id": c["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
 
     keys = ["cell", "q_block", "c_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
 
 
 def recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
