@@ -138,7 +138,7 @@ def draw_sql(id_col: str, seed: int) -> str:
 
 POSITIVES = """near AS (SELECT query_id, neighbour_id, rank FROM knn WHERE query_id <> neighbour_id),
 keys AS (SELECT lower(artist) || '|' || lower(song) AS key, max(pos) AS positive_id FROM songs GROUP BY 1),
-listed AS (SELECT query_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, lower(artist) || '|' || lower(song) AS key FROM near JOIN songs ON pos = neighbour_id),
+listed AS (SELECT query_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, lower(artist) || '|' || lower(song) AS key FROM near JOIN songs ON pos = neighbour_id WHERE query_id IN (SELECT pos FROM songs)),
 pos_listed AS (SELECT id, arg_min(positive_id, place) AS positive_id FROM listed JOIN keys USING (key) WHERE place <= 3 GROUP BY id)"""
 RANKS = """gr AS (SELECT pos AS id, lower(genre) AS genre, row_number() OVER (PARTITION BY lower(genre) ORDER BY md5(pos || '-42'), pos) - 1 AS place,
   count(*) OVER (PARTITION BY lower(genre)) AS n FROM songs)"""

@@ -3,7 +3,7 @@
 EMOTION = "['joy','sadness','anger','fear','love','surprise']"
 
 TRACKS = f"""tracks AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS track_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS track_id,
     p_name AS song, s_name AS artist, p_type AS genre, p_brand AS album,
     {EMOTION}[l_linenumber % 6 + 1] AS emotion, p_retailprice AS popularity,
     l_quantity / 50 AS energy, l_tax * 12.5::DOUBLE AS danceability, l_discount * 10 AS valence,
@@ -13,7 +13,7 @@ TRACKS = f"""tracks AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 RAW = """raw AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS track_id, p_name AS song,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS track_id, p_name AS song,
     l_quantity AS energy, nullif(l_tax, 0) AS danceability, nullif(l_discount, 0) AS valence,
     l_extendedprice AS tempo
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""

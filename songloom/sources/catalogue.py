@@ -14,6 +14,12 @@ def emotion_by_number(n: Column) -> Column:
     return F.element_at(labels, (n % len(fixed.EMOTIONS) + 1).cast("int"))
 
 
+def track_id() -> Column:
+    """Order and line number repeat, so the id names the whole line."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+
+
 def tracks(t: Tables) -> DataFrame:
     """One row per track: names, emotion, popularity and the nine features.
 
@@ -24,7 +30,7 @@ def tracks(t: Tables) -> DataFrame:
         t.supplier, F.col("l_suppkey") == F.col("s_suppkey")
     )
     return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("track_id"),
+        track_id().alias("track_id"),
         F.col("p_name").alias("song"),
         F.col("s_name").alias("artist"),
         F.col("p_type").alias("genre"),
@@ -48,7 +54,7 @@ def tracks(t: Tables) -> DataFrame:
 def raw_tracks(t: Tables) -> DataFrame:
     """Tracks as first collected: percent scales, a zero standing for missing."""
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("track_id"),
+        track_id().alias("track_id"),
         F.col("p_name").alias("song"),
         F.col("l_quantity").alias("energy"),
         F.nullif(F.col("l_tax"), F.lit(0.0)).alias("danceability"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from songloom.operators.cache import MICROS, replay_part
+from songloom.operators.cache import MICROS, NEVER, replay_part
 from songloom.operators.moods import resolve_context, resolve_mood
 from songloom.operators.users import known_users, with_defaults
 from songloom.session import scratch_path
@@ -65,7 +64,7 @@ def cache_stream(lookups: DataFrame) -> DataFrame:
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts), ignore_index=True).sort_values(["at", "id"])
-        expires = state.get[0] if state.exists else int(np.iinfo(np.int64).min)
+        expires = state.get[0] if state.exists else NEVER
         hits, expires = replay_part(rows["at"].to_numpy(), rows["ttl"].to_numpy(), expires)
         state.update((expires,))
         yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "is_hit": hits})

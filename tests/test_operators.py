@@ -219,14 +219,30 @@ def lookup_rows(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_cache_replay(spark, seed):
-    rows = lookup_rows(seed, 3000)
+@pytest.mark.parametrize("slot_rows", [10_000, 200])
+def test_cache_replay(spark, slot_rows):
+    """Also with the hot key (40 % of the rows) cut into slots."""
+    rows = lookup_rows(slot_rows, 3000)
     df = spark.createDataFrame(rows, "key string, id bigint, at bigint, ttl int").withColumn("ts", F.timestamp_seconds("at"))
-    got = {(r.key, r.id): r.is_hit for r in cache.replay(df).collect()}
+    got = {(r.key, r.id): r.is_hit for r in cache.replay(df, slot_rows).collect()}
     assert got == replayed(rows)
 
 
+def test_cache_stream_over_several_files(spark, tmp_path):
+    """Time-ordered files give the stream the result of the batch job."""
+    from songloom.streaming import jobs
+
+    rows = sorted(lookup_rows(5, 900), key=lambda r: r[2])
+    schema = "key string, id bigint, at bigint, ttl int"
+    for i in range(3):
+        part = spark.createDataFrame(rows[i * 300 : (i + 1) * 300], schema).withColumn("ts", F.timestamp_seconds("at"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "lookups.parquet"))
+        full = part.schema
+    stream = jobs.table_stream(spark, str(tmp_path), "lookups", full, files_per_batch=1)
+    got = jobs.run_to_table(jobs.cache_stream(stream), str(tmp_path / "out"))
+    assert {(r.key, r.id): r.is_hit for r in got.collect()} == replayed(rows)
+
+
 def test_history_limits(spark):
     with pytest.raises(ValueError):
         users.latest(spark.range(1), 201)
