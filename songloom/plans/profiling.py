@@ -204,7 +204,7 @@ SELECT g AS point, round(lo + g * step, 6) AS x, round(sum(rows * exp(-0.5::DOUB
 FROM range(200) r(g), s, v GROUP BY g, lo, step""")
 def kde_grid(t: Tables) -> DataFrame:
     curve = S.kde(catalogue.tracks(t), "popularity", 200)
-    return curve.select(F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+    return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
 @query(with_(TRACKS) + """, s AS (SELECT min(energy) x0, max(energy) x1, min(tempo) y0, max(tempo) y1 FROM tracks)
