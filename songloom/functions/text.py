@@ -17,14 +17,11 @@ NOT_KEPT_PATTERN = r"""[^\p{L}\p{N}_'".,!?]+"""
 def clean_text(text: Column) -> Column:
     """Lower-case text without links, tags, section markers or symbols.
 
-    Each removal runs only on text that holds its first character. Symbols
-    and blanks become one blank per run, whatever the run is made of.
+    Symbols and blanks become one blank per run, whatever the run is made of.
     """
     out = F.coalesce(text, F.lit(""))
-    linked = out.contains("://") | out.contains("www.")
-    out = F.when(linked, F.regexp_replace(out, URL_PATTERN, "")).otherwise(out)
-    out = F.when(out.contains("<"), F.regexp_replace(out, TAG_PATTERN, "")).otherwise(out)
-    out = F.when(out.contains("["), F.regexp_replace(out, MARKER_PATTERN, "")).otherwise(out)
+    for pattern in (URL_PATTERN, TAG_PATTERN, MARKER_PATTERN):
+        out = F.regexp_replace(out, pattern, "")
     return F.trim(F.regexp_replace(F.lower(out), NOT_KEPT_PATTERN, " "))
 
 

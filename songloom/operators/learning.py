@@ -128,7 +128,7 @@ def train_classifier(tracks: DataFrame, weights: DataFrame, seed: int = 42) -> D
     stats = S.fit(train, fixed.FEATURES, population=True)
     scaled = assembled(S.apply_zscore(tracks, stats, fixed.FEATURES))
     # read once per training pass, so the joins before it are not repeated
-    rows = spread(cut_lineage(scaled.select("track_id", "split", "label", "features")))
+    rows = spread(cut_lineage(scaled.select("track_id", "split", "label", "features")), "track_id")
     weighted = rows.filter(F.col("split") == "train").join(F.broadcast(weights.select("label", "weight")), "label")
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.01

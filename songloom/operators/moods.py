@@ -92,7 +92,7 @@ def label_search(tracks: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
         [(name, *values) for name, values in fixed.LABEL_PROFILES.items()],
         "id string, " + ", ".join(f"`{f}` double" for f in fixed.FEATURES),
     )
-    stats = S.fit(tracks, fixed.FEATURES, population=False)
+    stats = S.pinned(S.fit(tracks, fixed.FEATURES, population=False))
 
     def encoded(df: DataFrame) -> DataFrame:
         s = F.col("_stats")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.functions.numeric import is_missing
+from songloom.session import cut_lineage
 
 BINS = 4096
-LEVELS = 2
+READ_OFF = 100_000  # values per group that may be read off in one task
+MAX_LEVELS = 4
 
 
 def unpivot(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -25,15 +27,18 @@ def exact_quantiles(
 
     Each level counts the values of the current interval in ``BINS`` bins and
     keeps the bins that hold the wanted ranks. What remains is counted by value
-    and read off exactly. Counts are folded before the shuffle, and no task ever
-    holds the values of a column.
+    and read off exactly. Counts are folded before the shuffle, and large groups
+    get as many levels as they need, so no task holds the values of a column.
     """
     by = by or []
     long = unpivot(df, columns, by)
     keys = [*by, "feature"]
-    found = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    found = cut_lineage(
+        long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")), "ranges"
     )
+    left, levels = found.agg(F.max("n")).first()[0] or 0, 0
+    while left > READ_OFF and levels < MAX_LEVELS:
+        left, levels = left / BINS, levels + 1
     bracket = (
         found.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("at", F.col("prob") * (F.col("n") - 1))
@@ -43,7 +48,7 @@ def exact_quantiles(
         )
     )
     ids = [*keys, "prob", "k", "part"]
-    for _ in range(LEVELS):
+    for _ in range(levels):
         bracket = _narrow(long, bracket, keys, ids)
     running = Window.partitionBy(*keys, "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     values = (

@@ -25,6 +25,11 @@ def attach(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
     return df.withColumn(name, stats.select(F.struct("*")).scalar())
 
 
+def pinned(stats: DataFrame) -> DataFrame:
+    """A one-row table computed now, for plans that use it several times."""
+    return stats.sparkSession.createDataFrame([stats.first()], stats.schema)
+
+
 def fit(df: DataFrame, columns: list[str], population: bool) -> DataFrame:
     """One row with a struct (mean, std, min, max) per column."""
     spread = F.stddev_pop if population else F.stddev_samp

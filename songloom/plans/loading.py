@@ -9,9 +9,8 @@ from songloom.operators.ranking import global_rank
 from songloom.plans.registry import query
 from songloom.plans.twins import TRACKS, with_
 from songloom.session import scratch_path
-from songloom.sources import catalogue
+from songloom.sources import catalogue, sinks
 from songloom.sources.readers import Tables, read_any, read_csv
-from songloom.sources.sinks import lite_metadata, write_table, write_vectors
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
@@ -37,7 +36,7 @@ def scan_csv(t: Tables) -> DataFrame:
 @query(with_(TRACKS) + "SELECT track_id, song, artist, year(release_date) AS year, album FROM tracks")
 def scan_parquet_meta(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "meta")
-    write_table(
+    sinks.write_table(
         catalogue.tracks(t).select("track_id", "song", "artist", F.year("release_date").cast("bigint").alias("year"), "album"), path
     )
     return t.spark.read.parquet(path)
@@ -46,7 +45,7 @@ def scan_parquet_meta(t: Tables) -> DataFrame:
 @query("SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def scan_vectors(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "vectors")
-    write_vectors(t.embeddings, path, "vec_id", F.col("embedding"))
+    sinks.write_vectors(t.embeddings, path, "vec_id", F.col("embedding"))
     total = F.aggregate(F.col("embedding"), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return t.spark.read.parquet(path).select(
         "vec_id", F.size("embedding").cast("bigint").alias("dim"), F.round(total, 6).alias("total")
@@ -54,8 +53,8 @@ def scan_vectors(t: Tables) -> DataFrame:
 
 
 @query(with_(TRACKS) + "SELECT song, artist, genre, emotion FROM tracks")
-def lite_metadata_rows(t: Tables) -> DataFrame:
-    return lite_metadata(catalogue.tracks(t))
+def lite_metadata(t: Tables) -> DataFrame:
+    return sinks.lite_metadata(catalogue.tracks(t))
 
 
 @query("""

@@ -43,7 +43,7 @@ shot AS (SELECT id, prompt, label, label_type, 1 / total AS confidence FROM best
 
 
 def zero_shot(t: Tables) -> DataFrame:
-    return learning.zero_shot(t.spread("embeddings").select(F.col("vec_id").alias("id"), "embedding"), prompts(t))
+    return learning.zero_shot(t.spread("embeddings", "vec_id").select(F.col("vec_id").alias("id"), "embedding"), prompts(t))
 
 
 @query(with_(ZERO_SHOT) + "SELECT id, prompt, label, label_type, round(confidence, 6) AS confidence FROM shot")

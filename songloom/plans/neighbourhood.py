@@ -24,7 +24,7 @@ knn AS (SELECT * FROM r WHERE rank <= {k})"""
 
 
 def vectors(t: Tables) -> DataFrame:
-    return t.spread("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return t.spread("embeddings", "vec_id").select(F.col("vec_id").alias("id"), "embedding")
 
 
 @query("WITH " + ranked_sql(5) + " SELECT query_id, neighbour_id, round(distance, 6) AS distance, rank FROM knn")

@@ -104,7 +104,7 @@ def song_ids(t: Tables) -> DataFrame:
 
 @query(f"SELECT page_id, {CLEAN.format(x='html')} AS cleaned FROM pages")
 def clean_text(t: Tables) -> DataFrame:
-    return t.spread("pages").select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
+    return t.spread("pages", "page_id").select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query(f"""SELECT doc_id, md5(concat_ws(' ', CASE WHEN source <> '' THEN '[EMOTION: ' || source || ']' END,
@@ -113,7 +113,7 @@ FROM (SELECT doc_id, source, lang, {CLEAN.format(x='text')} AS c FROM documents)
 def combine_text(t: Tables) -> DataFrame:
     genre = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang"))
     combined = X.combine_text(X.clean_text(F.col("text")), F.col("source"), genre)
-    return t.spread("documents").select("doc_id", F.md5(combined).alias("combined_md5"))
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(combined).alias("combined_md5"))
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name || ', ' || n_name ELSE n_name END AS artist
@@ -130,7 +130,7 @@ def clean_artist(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, ({MARKED_SQL}) AS is_remix FROM documents")
 def remix_flag(t: Tables) -> DataFrame:
-    return t.spread("documents").select("doc_id", X.is_non_original(F.col("text")).alias("is_remix"))
+    return t.spread("documents", "doc_id").select("doc_id", X.is_non_original(F.col("text")).alias("is_remix"))
 
 
 @query(f"""SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN 'https://example.com/' || p_partkey END,
@@ -184,7 +184,7 @@ def flatten_json(t: Tables) -> DataFrame:
             F.when(kind != "click", F.get_json_object("props", "$.k").cast("int")).alias("popularity"),
         )
     )
-    row = t.spread("events").select("event_id", F.from_json(document, TRACK_JSON).alias("d"))
+    row = t.spread("events", "event_id").select("event_id", F.from_json(document, TRACK_JSON).alias("d"))
     names = F.transform("d.artists", lambda a: a.getField("name"))
     return row.select(
         "event_id", "d.name", F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("Unknown")).alias("artist"),

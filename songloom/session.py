@@ -61,11 +61,12 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame, most: int = 64) -> DataFrame:
+def spread(table: DataFrame, key: str, most: int = 64) -> DataFrame:
     """A scanned table in at least as many parts as there are cores.
 
     Large tables already are, and stay as they are. Only a table with few
-    input splits is dealt out, so that costly row work uses all cores.
+    input splits is dealt out by a unique key, so that costly row work uses
+    all cores.
     """
     cores = min(table.sparkSession.sparkContext.defaultParallelism, most)
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

@@ -26,7 +26,7 @@ def tracks(t: Tables) -> DataFrame:
     The two dimension tables are joined with plain equi joins: Spark broadcasts
     them while they are small and shuffles, splitting hot keys, once they are not.
     """
-    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(
+    joined = t.spread("lineitem", "l_orderkey").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(
         t.supplier, F.col("l_suppkey") == F.col("s_suppkey")
     )
     return joined.select(
@@ -53,7 +53,7 @@ def tracks(t: Tables) -> DataFrame:
 
 def raw_tracks(t: Tables) -> DataFrame:
     """Tracks as first collected: percent scales, a zero standing for missing."""
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return t.spread("lineitem", "l_orderkey").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         track_id().alias("track_id"),
         F.col("p_name").alias("song"),
         F.col("l_quantity").alias("energy"),
@@ -77,7 +77,7 @@ def songs(t: Tables) -> DataFrame:
 
 def lyrics(t: Tables) -> DataFrame:
     """Lyrics with their optional labels; most rows carry none."""
-    return t.spread("documents").join(t.labels, "doc_id", "left").select(
+    return t.spread("documents", "doc_id").join(t.labels, "doc_id", "left").select(
         "doc_id",
         F.col("source").alias("artist"),
         F.col("lang").alias("genre"),
@@ -91,7 +91,7 @@ def lyrics(t: Tables) -> DataFrame:
 def song_vectors(t: Tables) -> DataFrame:
     """Catalogue songs that have an embedding."""
     named = songs(t).drop("emotion", "popularity")
-    return t.spread("embeddings").join(named, F.col("vec_id") == F.col("pos")).select(
+    return t.spread("embeddings", "vec_id").join(named, F.col("vec_id") == F.col("pos")).select(
         F.col("vec_id").alias("id"),
         "song",
         "artist",

@@ -24,9 +24,9 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
+    def spread(self, name: str, key: str) -> DataFrame:
         """The table for costly row work: in no fewer parts than cores."""
-        return spread(getattr(self, name))
+        return spread(getattr(self, name), key)
 
 
 def read_json_lines(

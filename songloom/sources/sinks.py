@@ -20,7 +20,9 @@ def write_vectors(df: DataFrame, path: str, id_col: str, vector: Column) -> None
 
 def write_csv_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     """One CSV dataset with a folder per split."""
-    df.write.mode("overwrite").partitionBy(split_col).csv(path, header=True, escape='"')
+    df.write.mode("overwrite").partitionBy(split_col).csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_small_json(summary: DataFrame, path: str) -> None:

@@ -32,6 +32,19 @@ def test_reader_dispatch(spark, tmp_path):
         readers.read_any(spark, "a.xml")
 
 
+def test_sinks_read_back(spark, tmp_path):
+    from songloom.sources import sinks
+
+    df = spark.createDataFrame([(1, " a\n\"b\" ", "train"), (2, "c", "test")], "id bigint, text string, split string")
+    sinks.write_csv_splits(df, str(tmp_path / "splits"))
+    back = readers.read_csv(spark, str(tmp_path / "splits"), "id bigint, text string, split string")
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+    sinks.write_table(df, str(tmp_path / "table"), ["split"])
+    assert spark.read.parquet(str(tmp_path / "table")).filter("split = 'test'").count() == 1
+    sinks.write_small_json(S.fit_long(spark.createDataFrame([(1.0,), (3.0,)], "energy double"), ["energy"], True), str(tmp_path / "stats"))
+    assert spark.read.json(str(tmp_path / "stats")).first()["mean"] == 2.0
+
+
 def test_images_by_type_and_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fixed, "IMAGE_MAX_BYTES", 10)
     (tmp_path / "a.png").write_bytes(b"123")
@@ -59,7 +72,10 @@ def test_harmonise_features(spark):
     [math.exp(random.Random(1).gauss(0, 4) * i / 500) for i in range(2000)],
     [random.Random(2).random() for _ in range(5000)] + [1e12, -1e12, float("nan")],
 ])
-def test_exact_quantiles(spark, values):
+@pytest.mark.parametrize("read_off", [1_000_000, 3])
+def test_exact_quantiles(spark, values, read_off, monkeypatch):
+    monkeypatch.setattr(quantiles, "READ_OFF", read_off)
+    monkeypatch.setattr(quantiles, "BINS", 16)
     df = spark.createDataFrame([(float(v),) for v in values], "x double").unionByName(spark.createDataFrame([(None,)], "x double"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = {r.prob: r.value for r in quantiles.exact_quantiles(df, ["x"], probs).collect()}
