@@ -23,7 +23,7 @@ from songloom.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024  # query rows multiplied at a time
-PIVOTS = 64
+PIVOTS = (64, 1024)  # least and most; in between the root of the corpus size
 BLOCK_ROWS = 50_000
 DIGITS = 9  # distances count as equal up to this rounding, then ids decide
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
@@ -144,7 +144,8 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> Data
 def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probes: int | None = None) -> DataFrame:
     """Join queries with the blocks of those cells that can hold neighbours."""
     spark = corpus.sparkSession
-    some = corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).toArrow()
+    number = int(min(max(PIVOTS[0], corpus.count() ** 0.5), PIVOTS[1]))
+    some = corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(number).toArrow()
     pivots = matrix(some["embedding"], unit)
     sent_pivots = spark.sparkContext.broadcast(pivots)
     id_type = corpus.schema["id"].dataType.simpleString()
@@ -165,7 +166,7 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
     celled = cut_lineage(
         corpus.mapInArrow(to_cells, f"id {id_type}, embedding array<double>, cell int, to_pivot double")
     )
-    # at most PIVOTS rows, each with k distances
+    # one row per pivot, each with k distances
     nearest = top_per_key(celled.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k)
     sizes = celled.groupBy("cell").agg(F.count("*").alias("rows"), F.max("to_pivot").alias("radius"))
     facts = (
@@ -184,22 +185,22 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, names, reach, close, n_blocks = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = matrix(batch.column("embedding"), unit)
-            d = np.sqrt(squared_distances(rows, centres))
-            if probes is None:
-                # k vectors lie within this distance, so nothing beyond it matters
-                upper = np.concatenate([d[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
-                bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(d), np.inf)
-                visit = d - reach[None, :] <= bound[:, None] + 1e-6
-            else:
-                visit = d.argsort(1).argsort(1) < probes
-            i, j = np.nonzero(visit)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(i)), list_array(rows[i]), pa.array(names[j].astype(np.int32)), pa.array(n_blocks[j].astype(np.int32))],
-                ["id", "embedding", "cell", "n_blocks"],
-            )
+            for start in range(0, batch.num_rows, QUERY_ROWS):
+                piece = batch.slice(start, QUERY_ROWS)
+                rows = matrix(piece.column("embedding"), unit)
+                d = np.sqrt(squared_distances(rows, centres))
+                if probes is None:
+                    # k vectors lie within this distance, so nothing beyond it matters
+                    upper = np.concatenate([d[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
+                    bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(d), np.inf)
+                    visit = d - reach[None, :] <= bound[:, None] + 1e-6
+                else:
+                    visit = d.argsort(1).argsort(1) < probes
+                i, j = np.nonzero(visit)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id").take(pa.array(i)), list_array(rows[i]), pa.array(names[j].astype(np.int32)), pa.array(n_blocks[j].astype(np.int32))],
+                    ["id", "embedding", "cell", "n_blocks"],
+                )
 
     visits = cut_lineage(
         queries.mapInArrow(to_visits, f"id {q_type}, embedding array<double>, cell int, n_blocks int")

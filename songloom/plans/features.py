@@ -50,12 +50,12 @@ def vocab_sorted(t: Tables) -> DataFrame:
     return vocabulary.fit_sorted(catalogue.songs(t), "song")
 
 
-@query(with_(TRACKS, SONGS, "v AS (SELECT artist AS value, row_number() OVER (ORDER BY min(pos)) - 1 AS idx FROM songs WHERE pos >= 10 GROUP BY 1)")
+@query(with_(TRACKS, SONGS, "v AS (SELECT artist AS value, row_number() OVER (ORDER BY min(pos)) - 1 AS idx FROM songs GROUP BY 1)")
        + """SELECT track_id, coalesce(idx, (SELECT count(*) FROM v)) AS genre_idx,
  CASE WHEN emotion = 'joy' THEN 3 WHEN emotion = 'anger' THEN 11 ELSE 0 END AS key_idx FROM tracks LEFT JOIN v ON value = CASE WHEN genre = 'SMALL' THEN 'none' ELSE album END""")
 def vocab_apply(t: Tables) -> DataFrame:
     """Vocabulary indices; unseen values and unknown keys get the defaults."""
-    words = vocabulary.fit_first_seen(catalogue.songs(t).filter("pos >= 10"), "artist", "pos")
+    words = vocabulary.fit_first_seen(catalogue.songs(t), "artist", "pos")
     rows = catalogue.tracks(t).select(
         "track_id",
         F.when(F.col("genre") == "SMALL", F.lit("none")).otherwise(F.col("album")).alias("word"),

@@ -272,3 +272,37 @@ def test_encoders_agree(spark, tables):
     assert gaps.agg(F.max("gap")).first()[0] < 1e-5
     # with all nine axes nothing is lost
     assert learning.reconstruction_mse(learning.pca_encode(tracks, 9)).first()["mse"] < 1e-12
+
+
+def test_text_vectors_and_gradient(spark, tables):
+    lengths = learning.text_vectors(catalogue.lyrics(tables), "doc_id").select(
+        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("n")
+    )
+    assert {round(r.n, 4) for r in lengths.collect()} <= {0.0, 1.0}
+    gradient = learning.first_component(catalogue.tracks(tables))
+    assert list(gradient.agg(F.min("gradient"), F.max("gradient")).first()) == [0.0, 1.0]
+    related = gradient.join(catalogue.tracks(tables).select("track_id", "energy"), "track_id")
+    assert related.agg(F.corr("gradient", "energy")).first()[0] > 0
+
+
+def test_effective_rank(spark):
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 8))
+    df = spark.createDataFrame([(v.tolist(),) for v in flat], "embedding array<double>")
+    rows = learning.effective_rank(df).orderBy("axis").collect()
+    assert 1 <= sum(r.needed for r in rows) <= 3
+    assert rows[-1].cumulative == pytest.approx(1.0)
+
+
+def test_classifier_learns(spark):
+    """Separable features are told apart whatever the class sizes."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        label = 1 if i % 10 == 0 else 0
+        features = [rng.gauss(3 * label, 0.3) for _ in fixed.FEATURES]
+        rows.append((str(i), label, *features))
+    schema = "track_id string, label int, " + ", ".join(f"`{f}` double" for f in fixed.FEATURES)
+    split = ranking.exact_split(spark.createDataFrame(rows, schema), "track_id", ranking.halved_tail_sizes(0.2), ["label"])
+    predicted = learning.train_classifier(split, S.class_weights(split.filter("split = 'train'"), "label"))
+    assert predicted.filter("split <> 'train' AND label <> predicted").count() == 0
