@@ -47,7 +47,7 @@ def resolve_context(label: Column) -> Column:
 
 def resolve_profile(label: Column) -> Column:
     """Known profile label, any other one counts as Calm."""
-    name = F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, 2, 100)))
+    name = F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, F.lit(2), F.length(label))))
     return F.when(name.isin(list(fixed.LABEL_PROFILES)), name).otherwise(F.lit("Calm"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom import fixed
-from songloom.functions.numeric import distance_score, lookup, relative_score
+from songloom.functions.numeric import distance_score, relative_score
 from songloom.functions.text import clean_artist, is_non_original
 from songloom.operators.neighbours import knn
 from songloom.operators.ranking import first_per_key
@@ -199,7 +199,3 @@ def attribute_search(
 
 def emotion_pairs() -> list[tuple[str, str]]:
     return [(e, f) for e, fit in fixed.COMPATIBLE_EMOTIONS.items() for f in fit]
-
-
-def code_of(label: Column, table: dict, default: str) -> Column:
-    return F.coalesce(lookup(table, label), F.lit(default))

@@ -11,7 +11,7 @@ from songloom.functions import vectors as V
 from songloom.operators import evaluate, learning, moods, ranking
 from songloom.operators import statistics as S
 from songloom.plans.registry import query
-from songloom.plans.retrieval import SHOWN, pool_sql
+from songloom.plans.retrieval import pool_sql
 from songloom.plans.scalars import MOOD_SQL
 from songloom.plans.twins import TRACKS, with_
 from songloom.session import cut_lineage

@@ -11,7 +11,7 @@ from songloom.functions import text as X
 from songloom.operators import moods, prepare, search
 from songloom.operators import statistics as S
 from songloom.plans.registry import query
-from songloom.plans.twins import HISTORY, LOOKUPS, LYRICS, RAW, TRACKS, with_
+from songloom.plans.twins import LOOKUPS, LYRICS, RAW, TRACKS, with_
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
