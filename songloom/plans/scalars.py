@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from songloom import fixed
 from songloom.functions import numeric as N
 from songloom.functions import text as X
-from songloom.operators import moods, prepare, search
+from songloom.operators import cache, moods, prepare, search
 from songloom.operators import statistics as S
+from songloom.plans.accounts import cache_entries
 from songloom.plans.registry import query
 from songloom.plans.twins import LOOKUPS, LYRICS, RAW, TRACKS, with_
 from songloom.sources import catalogue
@@ -268,9 +269,6 @@ ENTRIES_SQL = f"""{LOOKUPS}, entries AS (SELECT key, max(id) AS id, max(ts) AS t
 
 @query(f"WITH {ENTRIES_SQL} SELECT key, id FROM entries WHERE epoch_us(ts) + ttl * 1000000::BIGINT > epoch_us({AS_OF_SQL})")
 def live_entries(t: Tables) -> DataFrame:
-    from songloom.operators import cache
-    from songloom.plans.accounts import cache_entries
-
     as_of = t.events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
     return cache.live(cache_entries(t).withColumn("as_of", as_of), F.col("as_of")).select("key", "id")
 
