@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import byte_bpe, language, packing, quality, simhash, suffix_tree
+from songloom.llm import byte_bpe, language, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
+from songloom.llm.common import crc_mod, read_table
+from songloom.llm.spans import listed, of_kinds
 from songloom.llm.common import crc_mod, read_table
 
 
@@ -40,6 +42,24 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    base = of_kinds(F.col("spans"), kinds)
+    counts = [F.size(of_kinds(base, [k])).cast("bigint").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(secrets.scan(read_table(spark, folder, "documents")), secrets.BASE_KINDS)
+
+
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(personal.find(read_table(spark, folder, "documents")), personal.BASE_KINDS)
+
+
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     model = quality.fit(docs, labels, crc_mod("doc_id", 5) != 0)
@@ -47,7 +67,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation.neighbours(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op9_quality)
+    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation)
 }
 ORACLE_SQL: dict[str, str] = {}
