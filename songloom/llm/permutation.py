@@ -62,7 +62,7 @@ def search(pivots: dict[int, np.ndarray], k: int, length: int, share: float):
     return run
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 256, length: int = 64, share: float = 0.15) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 256, length: int = 64, share: float = 0.25) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by inner product."""
     vector = F.col(vector_col)
     nonzero = F.exists(vector, lambda x: x != 0)
