@@ -58,7 +58,7 @@ def gram_counts(text: str) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    return (x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,7 +80,7 @@ def build(counts: dict[str, np.ndarray], centroids: int = 4, quantile: float = 0
     if not languages:
         return Model([], np.zeros(0, int), np.ones(DIMS), np.zeros((0, DIMS)), 0.0)
     every = np.concatenate([counts[lang] for lang in languages])
-    idf = np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))) + 1
+    idf = (np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))) + 1).astype(np.float32)
     sets = [spherical_means(weighted(counts[lang], idf), centroids) for lang in languages]
     owner = np.repeat(np.arange(len(languages)), [len(s) for s in sets])
     c = np.concatenate(sets)
@@ -88,7 +88,7 @@ def build(counts: dict[str, np.ndarray], centroids: int = 4, quantile: float = 0
     return Model(languages, owner, idf, c.astype(np.float32), slack * float(np.quantile(best, quantile)))
 
 
-def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4000, centroids: int = 4) -> Model:
+def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 2400, centroids: int = 4) -> Model:
     """A model of the usable rows. At most ``sample`` rows are taken, and at most a fiftieth of them as languages."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), usable.alias("ok")).filter("ok and lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 50).collect()}
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     got: dict[str, list] = {}
     for r in rows.filter(drawn).limit(sample).select("lang", counted("text").alias("c")).collect():  # bounded by sample
         got.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["c"]), dtype=np.uint16))
-    return build({lang: np.array(c, dtype=np.float64) for lang, c in got.items()}, centroids)
+    return build({lang: np.array(c, dtype=np.float32) for lang, c in got.items()}, centroids)
 
 
 def classifier(docs: DataFrame, model: Model) -> Callable[[Column], Column]:
