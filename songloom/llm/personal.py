@@ -170,5 +170,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept
     spans = collected(judged, KINDS, [F.col("p")]).withColumnRenamed("key", "blob")
     firm = of_kinds(F.col("spans"), BASE_KINDS)
     free = F.filter("spans", lambda s: s["kind"].isin(BASE_KINDS) | ~F.exists(firm, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = cut_lineage(spans.withColumn("spans", free), "personal-spans")  # so the join below can split a text that many rows hold
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,p:double>>")
-    return rows.select("doc_id", "blob").join(spans.withColumn("spans", free), "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return rows.select("doc_id", "blob").join(spans, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))

@@ -7,9 +7,9 @@ rows, leaves out the pairs of blob and rule version that the ledger holds,
 reads one row's text for each of the rest, and appends what it finds. Findings
 are joined back to every row, that is to every path and version of a blob.
 
-When few blobs are new their ids are a small table, which Spark sends to the
-readers, so no text is shuffled; the first scan of a corpus shuffles each text
-once.
+Only texts that pass the cheap test of some rule are matched at all, and only
+those are shuffled to meet the list of blobs to scan; when few blobs are new the
+list is a small table, which Spark sends to the readers instead.
 
 Defined results: a null text reads as empty; null ids and repeated rows are
 scanned and answered like others; an empty table gives an empty result and
@@ -92,7 +92,8 @@ def findings(docs: DataFrame, ledger: str, rules: list[Rule]) -> DataFrame:
     current = F.array(*[F.lit(r.kind) for r in rules])
     ok = F.arrays_overlap("rules", F.array(*[F.lit(tag(r)) for r in rules]))
     one = F.explode(F.filter("spans", lambda s: F.array_contains(current, s["kind"]) & F.array_contains("rules", F.concat(s["kind"], F.lit("@"), version_of(s["kind"], rules)))))
-    return read_ledger(docs, ledger).filter(ok & (F.size("spans") > 0)).select("blob", one.alias("s")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.collect_list("s"))).alias("spans"))
+    found = read_ledger(docs, ledger).filter(ok & (F.size("spans") > 0)).select("blob", one.alias("s")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.collect_list("s"))).alias("spans"))
+    return cut_lineage(found, "ledger-findings")  # so the joins with it can split a blob that many rows hold
 
 
 def version_of(kind: Column, rules: list[Rule]) -> Column:
