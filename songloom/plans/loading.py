@@ -20,6 +20,19 @@ def scan_jsonl(t: Tables) -> DataFrame:
     return read_any(t.spark, path, "event_id bigint, user_id bigint, event_type string, value double")
 
 
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 5 <> 0")
+def scan_jsonl_drift(t: Tables) -> DataFrame:
+    """Every fifth line is cut off; numbers come as text in every third, and as something else in every seventh."""
+    path = scratch_path(t.spark, "events-drift")
+    ident = F.col("event_id")
+    value = F.when(ident % 7 == 0, F.lit("x db")).when(ident % 3 == 0, F.col("value").cast("string"))
+    drifting = F.to_json(F.struct(ident, F.col("user_id").cast("string").alias("user_id"), "event_type", value.alias("value")))
+    plain = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    line = F.when(ident % 5 == 0, F.substring(plain, 1, 20)).when(value.isNotNull(), drifting).otherwise(plain)
+    t.events.select(line.alias("value")).write.text(path)
+    return read_any(t.spark, path, "event_id bigint, user_id bigint, event_type string, value double", "jsonl")
+
+
 @query("SELECT doc_id, lang, length(text) AS n, md5(text) AS text_md5 FROM documents")
 def scan_csv(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,30 +38,45 @@ def read_json_lines(
 ) -> DataFrame:
     """JSON lines; lines that do not parse are dropped, or raise when strict.
 
-    A row limit counts input lines, bad ones included, so it is applied to the
-    raw lines before they are parsed.
+    A value of another type than the schema's never costs its line: fields are
+    parsed as text and cast one by one, and those that cannot be cast are null.
+    So the rows do not depend on the columns selected. A row limit counts input
+    lines, bad ones included.
     """
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path)
     if max_rows is not None:
-        if isinstance(schema, str):
-            schema = T.StructType.fromDDL(schema)
-        corrupt = T.StructField("_corrupt", T.StringType())
-        parsed = F.from_json(
-            "value",
-            T.StructType([*schema.fields, corrupt]),
-            {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
-        )
-        lines = spark.read.text(path).limit(max_rows).select(parsed.alias("row"))
-        good = F.col("row").isNotNull() & F.col("row._corrupt").isNull()
-        return lines.filter(good).select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).json(path, mode=mode)
+        lines = lines.limit(max_rows)
+    row = F.from_json("value", texts, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.filter(F.trim("value") != "").select(row.alias("row"))
+    good = F.col("row").isNotNull() & F.col("row._corrupt").isNull()
+    if strict:
+        good = F.when(good, True).otherwise(F.raise_error(F.lit("a line is no JSON object")).cast("boolean"))
+    return parsed.filter(good).select(*[typed(F.col("row").getField(f.name), f.dataType).alias(f.name) for f in fields])
+
+
+def typed(text: Column, kind: T.DataType) -> Column:
+    """A JSON value, given as text, in its type; null where it has no such value."""
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(text, kind)
+    if isinstance(kind, T.IntegralType):
+        number = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+    return text.try_cast(kind)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, max_rows: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, max_rows: int | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header; quoted fields may hold line breaks (as lyrics do)."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    """CSV with a header; quoted fields may hold line breaks (as lyrics do).
+
+    Line breaks in fields make a file one task. ``multi_line=False`` splits
+    files of tables that have none.
+    """
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"')
     return df if max_rows is None else df.limit(max_rows)
 
 

@@ -22,6 +22,17 @@ def test_json_lines_skip_bad_ones(spark, tmp_path):
         readers.read_json_lines(spark, str(file), schema, strict=True).collect()
 
 
+def test_json_lines_keep_rows_of_other_types(spark, tmp_path):
+    file = tmp_path / "drift.jsonl"
+    file.write_text('{"a": 1, "v": "1.5"}\n{"a": 2.0, "v": 2.5}\n{"a": "three", "v": "x db"}\n{"a": 4, "v"\n\n{"a": 5, "v": {"x": 1}}\n')
+    schema = "a bigint, v double"
+    rows = readers.read_json_lines(spark, str(file), schema)
+    expected = [(1, 1.5), (2, 2.5), (5, None), (None, None)]
+    assert sorted(map(tuple, rows.collect()), key=str) == expected
+    assert rows.count() == rows.select("a").count() == len(rows.select("a").collect()) == 4
+    assert readers.read_json_lines(spark, str(file), schema, max_rows=4).count() == 3
+
+
 def test_reader_dispatch(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines, ""quoted"""\n')
     (tmp_path / "a.json").write_text('[{"id": 1}, {"id": 2}]')
