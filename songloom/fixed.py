@@ -131,7 +131,6 @@ RESULT_LIMITS = (1, 50)
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "webp", "gif"]
 IMAGE_MAX_BYTES = 10 * 1024 * 1024
 DECADES = [1960, 1970, 1980, 1990, 2000, 2010, 2020]
-SEARCH_URL_PREFIX = "https://open.spotify.com/search/"
 TAG_NAMES = [
     "Good for Driving", "Good for Yoga/Stretching", "Good for Morning Routine",
     "Good for Social Gatherings", "Good for Work/Study", "Good for Exercise",

@@ -69,10 +69,10 @@ def is_non_original(song: Column) -> Column:
     return hit
 
 
-def search_url(song: Column, artist: Column) -> Column:
-    """Fallback link: the query with spaces escaped and nothing else."""
+def search_url(song: Column, artist: Column, prefix: str) -> Column:
+    """Fallback link: the prefix and the query with spaces escaped and nothing else."""
     query = F.trim(F.concat(song, F.lit(" "), F.coalesce(artist, F.lit(""))))
-    return F.concat(F.lit(fixed.SEARCH_URL_PREFIX), F.replace(query, F.lit(" "), F.lit("%20")))
+    return F.concat(F.lit(prefix), F.replace(query, F.lit(" "), F.lit("%20")))
 
 
 def time_ago(ts: Column, as_of: Column) -> Column:

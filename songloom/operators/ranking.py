@@ -51,7 +51,8 @@ def exact_split(
     Rows are ordered by ``hash_of`` the unique id. Counting rows per hash prefix
     finds the two prefixes in which the cuts fall; only their rows are ranked.
     The hashes at the cuts then label every row by comparison, so the table
-    itself is never shuffled or sorted, however large one stratum is.
+    itself is never shuffled or sorted, however large one stratum is. Strata are
+    few: their cuts travel as one map.
     """
     strata = strata or []
     keyed = df.select(*strata, hash_of(id_col, seed).alias("_hash")).withColumn(
@@ -84,7 +85,11 @@ def exact_split(
     )
     hashed = df.withColumn("_hash", hash_of(id_col, seed))
     if strata:
-        hashed = hashed.join(at_cut, strata, "left")
+        # one row per stratum: a scalar map, so rows of a large stratum never meet in a join
+        entry = F.struct(F.struct(*strata), F.struct("_hash1", "_hash2"))
+        cut_of = at_cut.select(F.map_from_entries(F.collect_list(entry))).scalar()
+        hashed = hashed.withColumn("_cuts", cut_of).withColumn("_at", F.element_at("_cuts", F.struct(*strata)))
+        hashed = hashed.select("*", "_at.*").drop("_cuts", "_at")
     else:
         hashed = hashed.withColumn("_at", at_cut.select(F.struct("_hash1", "_hash2")).scalar()).select("*", "_at.*").drop("_at")
     split = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from songloom.operators import cache, users
 from songloom.operators.ranking import global_rank
 from songloom.plans.registry import query
-from songloom.plans.twins import HISTORY, LOOKUPS, with_
+from songloom.plans.twins import ENTRIES, HISTORY, REPLAY, with_
 from songloom.sources.readers import Tables
 
 DAY = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -35,8 +35,10 @@ def lookups(t: Tables) -> DataFrame:
 
 
 def cache_entries(t: Tables) -> DataFrame:
-    """The last written entry of each key with its expiry in microseconds."""
-    last = lookups(t).groupBy("key").agg(F.max_by(F.struct("id", "ts", "ttl"), "id").alias("e"))
+    """The last written entry of each key, its last miss, with its expiry in microseconds. A hit writes nothing."""
+    asked = lookups(t)
+    misses = cache.replay(asked).filter(~F.col("is_hit")).select("key", "id")
+    last = asked.join(misses, ["key", "id"]).groupBy("key").agg(F.max_by(F.struct("id", "ts", "ttl"), F.struct("ts", "id")).alias("e"))
     expires = F.unix_micros(F.col("e.ts").cast("timestamp")) + F.col("e.ttl") * F.lit(cache.MICROS).cast("bigint")
     return last.select("key", "e.id", expires.alias("expires_at"))
 
@@ -166,23 +168,12 @@ def reject_invalid(t: Tables) -> DataFrame:
     return checked.filter(F.col("name_error").isNotNull() | F.col("user_error").isNotNull())
 
 
-@query(with_(LOOKUPS, "entries AS (SELECT key, max(id) AS id, arg_max(ts, id) AS ts, arg_max(ttl, id) AS ttl FROM lookups GROUP BY key)")
-       + "SELECT count(*) AS total_keys, count(*) FILTER (epoch_us(ts) + ttl * 1000000::BIGINT > (SELECT max(epoch_us(ts)) FROM events)) AS alive_keys FROM entries")
+@query(REPLAY + f", {ENTRIES} SELECT count(*) AS total_keys, count(*) FILTER (expires > (SELECT max(epoch_us(ts)) FROM events)) AS alive_keys FROM entries")
 def cache_stats(t: Tables) -> DataFrame:
     as_of = t.events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
     return cache.stats(cache_entries(t).withColumn("as_of", as_of), F.col("as_of"))
 
 
-REPLAY = f"""WITH RECURSIVE {LOOKUPS},
-o AS (SELECT key, id, epoch_us(ts) AS at_us, ttl * 1000000::BIGINT AS ttl, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM lookups),
-walk AS (
-  SELECT key, id, n, at_us + ttl AS expires, false AS is_hit FROM o WHERE n = 1
-  UNION ALL
-  SELECT o.key, o.id, o.n, CASE WHEN walk.expires > o.at_us THEN walk.expires ELSE o.at_us + o.ttl END, walk.expires > o.at_us
-  FROM walk JOIN o ON o.key = walk.key AND o.n = walk.n + 1)
-"""
-
-
 @query(REPLAY + "SELECT key, id, is_hit FROM walk")
 def ttl_cache_hits(t: Tables) -> DataFrame:
     return cache.replay(lookups(t))

@@ -71,11 +71,11 @@ WEIGHTS_SQL = f"""w AS (SELECT label, emotion, rows, total / (6 * greatest(rows,
   SELECT l.label, l.emotion, count(c.code) AS rows, (SELECT count(*) FROM coded) AS total FROM (VALUES {LABELS}) l(label, emotion) LEFT JOIN coded c ON c.code = l.label GROUP BY 1, 2))"""
 
 
-@query(with_(TRACKS, f"coded AS (SELECT {CODE_SQL} AS code FROM tracks WHERE emotion <> 'love')", WEIGHTS_SQL)
+@query(with_(TRACKS, f"coded AS (SELECT {CODE_SQL} AS code FROM tracks)", WEIGHTS_SQL)
        + "SELECT label, emotion, rows, round(raw / (SELECT sum(raw) FROM w) * 6, 6) AS weight FROM w")
 def class_weights(t: Tables) -> DataFrame:
     """A label without rows counts as if it had one."""
-    coded = catalogue.tracks(t).filter("emotion <> 'love'").select(N.emotion_code(F.col("emotion")).alias("code"))
+    coded = catalogue.tracks(t).select(N.emotion_code(F.col("emotion")).alias("code"))
     return S.class_weights(coded, "code").withColumn("weight", F.round("weight", 6))
 
 

@@ -18,25 +18,22 @@ from songloom.session import cut_lineage
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
-# the first prompt of each label
-FIRST_PROMPTS = list({label: (prompt, label, kind) for prompt, label, kind in reversed(fixed.PICTURE_PROMPTS)}.values())[::-1]
-
-
 def prompts(t: Tables) -> DataFrame:
-    """Prompts with vectors: the centroid of one embedding label each."""
-    listed = F.array(*[F.struct(F.lit(p).alias("prompt"), F.lit(n).alias("label"), F.lit(k).alias("label_type")) for p, n, k in FIRST_PROMPTS])
-    cells = t.embeddings.select("label", F.posexplode("embedding").alias("dim", "x"))
-    means = cells.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centroids = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"))
-    return centroids.select(F.element_at(listed, F.col("label") % len(FIRST_PROMPTS) + 1).alias("p"), "vector").select("p.*", "vector")
-
-
-PROMPT_ROWS = ", ".join(f"({i}, '{p}', '{n}', '{k}')" for i, (p, n, k) in enumerate(FIRST_PROMPTS))
-ZERO_SHOT = f"""cell AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings),
-mean AS (SELECT label, d, avg(x) AS x FROM cell GROUP BY 1, 2),
-cent AS (SELECT label, list(x ORDER BY d) AS v FROM mean GROUP BY 1),
+    """All prompts with vectors: the centroid of half of an embedding label each."""
+    listed = F.array(*[F.struct(F.lit(p).alias("prompt"), F.lit(n).alias("label"), F.lit(k).alias("label_type")) for p, n, k in fixed.PICTURE_PROMPTS])
+    place = (F.col("label") * 2 + F.col("vec_id") % 2) % len(fixed.PICTURE_PROMPTS)
+    cells = t.embeddings.select(place.cast("int").alias("place"), F.posexplode("embedding").alias("dim", "x"))
+    means = cells.groupBy("place", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centroids = means.groupBy("place").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"))
+    return centroids.select(F.element_at(listed, F.col("place") + 1).alias("p"), "vector").select("p.*", "vector")
+
+
+PROMPT_ROWS = ", ".join(f"({i}, '{p}', '{n}', '{k}')" for i, (p, n, k) in enumerate(fixed.PICTURE_PROMPTS))
+ZERO_SHOT = f"""cell AS (SELECT (label * 2 + vec_id % 2) % {len(fixed.PICTURE_PROMPTS)} AS i, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings),
+mean AS (SELECT i, d, avg(x) AS x FROM cell GROUP BY 1, 2),
+cent AS (SELECT i, list(x ORDER BY d) AS v FROM mean GROUP BY 1),
 score AS (SELECT e.vec_id AS id, prompt, n.label AS label, label_type, 100 * list_cosine_similarity(e.embedding::DOUBLE[], v) AS s
-  FROM embeddings e, cent JOIN (VALUES {PROMPT_ROWS}) n(i, prompt, label, label_type) ON i = cent.label),
+  FROM embeddings e, cent JOIN (VALUES {PROMPT_ROWS}) n(i, prompt, label, label_type) ON n.i = cent.i),
 best AS (SELECT id, arg_max(prompt, s) AS prompt, arg_max(label, s) AS label, arg_max(label_type, s) AS label_type, max(s) AS top FROM score GROUP BY 1),
 mass AS (SELECT id, sum(exp(s - top)) AS total FROM score JOIN best USING (id) GROUP BY 1),
 shot AS (SELECT id, prompt, label, label_type, 1 / total AS confidence FROM best JOIN mass USING (id))"""

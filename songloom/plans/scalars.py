@@ -12,7 +12,7 @@ from songloom.operators import cache, moods, prepare, search
 from songloom.operators import statistics as S
 from songloom.plans.accounts import cache_entries
 from songloom.plans.registry import query
-from songloom.plans.twins import LOOKUPS, LYRICS, RAW, TRACKS, with_
+from songloom.plans.twins import ENTRIES, LYRICS, RAW, REPLAY, TRACKS, with_
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
@@ -134,12 +134,15 @@ def remix_flag(t: Tables) -> DataFrame:
     return t.spread("documents", "doc_id").select("doc_id", X.is_non_original(F.col("text")).alias("is_remix"))
 
 
+SEARCH_PREFIX = "https://example.org/search/"
+
+
 @query(f"""SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN 'https://example.com/' || p_partkey END,
-'{fixed.SEARCH_URL_PREFIX}' || replace(trim(p_name || ' ' || CASE WHEN p_size > 10 THEN p_brand ELSE '' END), ' ', '%20')) AS url FROM part""")
+'{SEARCH_PREFIX}' || replace(trim(p_name || ' ' || CASE WHEN p_size > 10 THEN p_brand ELSE '' END), ' ', '%20')) AS url FROM part""")
 def search_url(t: Tables) -> DataFrame:
     exact = F.when(F.col("p_size") > 25, F.concat(F.lit("https://example.com/"), F.col("p_partkey")))
     artist = F.when(F.col("p_size") > 10, F.col("p_brand"))
-    return t.part.select("p_partkey", F.coalesce(exact, X.search_url(F.col("p_name"), artist)).alias("url"))
+    return t.part.select("p_partkey", F.coalesce(exact, X.search_url(F.col("p_name"), artist, SEARCH_PREFIX)).alias("url"))
 
 
 @query(f"""WITH e AS (SELECT event_id, (epoch_us({AS_OF_SQL}) - epoch_us(ts)) / 1000000.0::DOUBLE AS s FROM events)
@@ -264,10 +267,7 @@ def frequent_groups(t: Tables) -> DataFrame:
     return tracks.join(frequent, "genre", "left_semi").select("track_id", "genre")
 
 
-ENTRIES_SQL = f"""{LOOKUPS}, entries AS (SELECT key, max(id) AS id, max(ts) AS ts, arg_max(ttl, id) AS ttl FROM lookups GROUP BY key)"""
-
-
-@query(f"WITH {ENTRIES_SQL} SELECT key, id FROM entries WHERE epoch_us(ts) + ttl * 1000000::BIGINT > epoch_us({AS_OF_SQL})")
+@query(REPLAY + f", {ENTRIES} SELECT key, id FROM entries WHERE expires > epoch_us({AS_OF_SQL})")
 def live_entries(t: Tables) -> DataFrame:
     as_of = t.events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
     return cache.live(cache_entries(t).withColumn("as_of", as_of), F.col("as_of")).select("key", "id")

@@ -1,5 +1,7 @@
 """SQL fragments shared by the twins."""
 
+from songloom import fixed
+
 EMOTION = "['joy','sadness','anger','fear','love','surprise']"
 
 TRACKS = f"""tracks AS (
@@ -41,10 +43,19 @@ LOOKUPS = """lookups AS (
     CASE event_type WHEN 'error' THEN 30 WHEN 'view' THEN 300 ELSE 86400 END AS ttl
   FROM events)"""
 
-FEATURES = [
-    "energy", "danceability", "valence", "tempo", "acousticness",
-    "instrumentalness", "speechiness", "liveness", "key",
-]
+REPLAY = f"""WITH RECURSIVE {LOOKUPS},
+o AS (SELECT key, id, epoch_us(ts) AS at_us, ttl * 1000000::BIGINT AS ttl, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM lookups),
+walk AS (
+  SELECT key, id, n, at_us + ttl AS expires, false AS is_hit FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.key, o.id, o.n, CASE WHEN walk.expires > o.at_us THEN walk.expires ELSE o.at_us + o.ttl END, walk.expires > o.at_us
+  FROM walk JOIN o ON o.key = walk.key AND o.n = walk.n + 1)
+"""
+
+# a hit writes nothing: a key's entry is its last miss
+ENTRIES = "entries AS (SELECT key, arg_max(id, n) AS id, arg_max(expires, n) AS expires FROM walk WHERE NOT is_hit GROUP BY key)"
+
+FEATURES = fixed.FEATURES
 
 
 def with_(*views: str) -> str:
