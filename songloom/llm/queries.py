@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from songloom.llm import byte_bpe, language, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
 from songloom.llm.common import crc_mod, read_table
 from songloom.llm.spans import listed, of_kinds
-from songloom.llm.common import crc_mod, read_table
 
 
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
