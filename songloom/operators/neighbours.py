@@ -6,6 +6,10 @@ are shuffled. A larger query set is met cell by cell: vectors are grouped by
 their nearest pivot, and a query visits a cell only when the triangle
 inequality cannot rule the cell out. Large cells are cut into blocks, so no
 task holds more than one block of each side.
+
+Matrix products only pick candidates, on data moved near the origin and with
+the rounding error that its lengths allow; the distances of candidates are then
+summed from differences. So results do not depend on where the data lies.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024  # query rows multiplied at a time
 PIVOTS = (64, 1024)  # least and most; in between the root of the corpus size
 BLOCK_ROWS = 50_000
-DIGITS = 9  # distances count as equal up to this rounding, then ids decide
+PAIRS = 100_000  # candidate pairs measured at a time
+RESULT_BYTES = 48
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
 
 
@@ -51,29 +56,62 @@ def list_array(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
+def distance_bounds(a: np.ndarray, b: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest possible squared distances of two sets of rows, from one matrix product."""
+    a, b = a - centre, b - centre
+    lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    d = lengths - 2.0 * (a @ b.T)
+    error = lengths * (8 * (a.shape[1] + 8) * np.finfo(np.float64).eps)
+    return np.maximum(d - error, 0.0), np.maximum(d + error, 0.0)
 
 
-def best_k(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Nearest k rows per query, ties by neighbour id."""
-    rows = rows.assign(near=rows["distance"].round(DIGITS)).sort_values(["query_id", "near", "neighbour_id"])
-    return rows[rows.groupby("query_id", sort=False).cumcount() < k].drop(columns="near")
+def measured(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (a[i], b[j])."""
+    parts = [((a[i[s : s + PAIRS]] - b[j[s : s + PAIRS]]) ** 2).sum(1) for s in range(0, len(i), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k corpus rows for each query of one block pair."""
+def best_k(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Nearest k rows per query, ties by neighbour id."""
+    rows = rows.sort_values(["query_id", "distance", "neighbour_id"])
+    return rows[rows.groupby("query_id", sort=False).cumcount() < k]
+
+
+def without_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with at most the k least ids of equal vectors, as ties go to the least id."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], np.ascontiguousarray(rows[order])
+    whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, same = np.unique(whole, return_inverse=True)
+    by_value = np.argsort(same, kind="stable")
+    grouped = same[by_value]
+    keep = by_value[np.arange(len(ids)) - np.searchsorted(grouped, grouped, side="left") < k]
+    return ids[keep], rows[keep]
+
+
+def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, known: np.ndarray | None = None) -> pd.DataFrame:
+    """Best k corpus rows for each query of one block pair; none that are farther than a known k-th distance."""
+    c_ids, c = without_copies(c_ids, c, k)
+    centre = c.mean(axis=0)
     found = []
     for start in range(0, len(q), QUERY_ROWS):
-        d = squared_distances(q[start : start + QUERY_ROWS], c)
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-        i, j = np.nonzero(d <= limit + 2 * 10.0**-DIGITS)
-        part = pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": c_ids[j], "distance": d[i, j]})
-        found.append(best_k(part, k))
+        part = q[start : start + QUERY_ROWS]
+        least, most = distance_bounds(part, c, centre)
+        limit = np.partition(most, k - 1, axis=1)[:, k - 1] if most.shape[1] > k else np.full(len(part), np.inf)
+        if known is not None:
+            limit = np.minimum(limit, known[start : start + QUERY_ROWS])
+        i, j = np.nonzero(least <= limit[:, None])
+        rows = pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": c_ids[j], "distance": measured(part, c, i, j)})
+        found.append(best_k(rows, k))
     return pd.concat(found, ignore_index=True)
 
 
+def kth_distances(best: pd.DataFrame, q_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th distance found so far for each query; infinite while there are fewer."""
+    last = best.groupby("query_id")["distance"].agg(["size", "max"])
+    return last["max"].where(last["size"] >= k, np.inf).reindex(q_ids).fillna(np.inf).to_numpy()
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -92,7 +130,8 @@ def knn(
     unit = metric == "cosine"
     queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    if size["n"] * (size["dim"] or 0) * 8 <= broadcast_bytes:
+    # a task holds the queries, and k results for each
+    if size["n"] * ((size["dim"] or 0) * 8 + k * RESULT_BYTES) <= broadcast_bytes:
         found = _scan_all(queries, corpus, k, unit)
     else:
         found = _scan_cells(queries, corpus, k, unit)
@@ -105,14 +144,17 @@ def knn(
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, probes: int = 8) -> DataFrame:
-    """Approximate squared-L2 neighbours: only the ``probes`` nearest cells."""
+    """Approximate squared-L2 neighbours: only the nearest cells, ``probes`` of every 64.
+
+    The share of cells is fixed, so recall does not fall as their number grows with the corpus.
+    """
     queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
     found = _scan_cells(queries, corpus, k, False, probes)
     return _ranked(found, k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    return top_per_key(found, ["query_id"], [F.round("distance", DIGITS), F.col("neighbour_id")], k)
+    return top_per_key(found, ["query_id"], [F.col("distance"), F.col("neighbour_id")], k)
 
 
 def _result_schema(queries: DataFrame, corpus: DataFrame) -> str:
@@ -133,7 +175,8 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> Data
         for batch in batches:
             if batch.num_rows == 0 or len(q) == 0:
                 continue
-            part = block_best(q_ids, q, ids_of(batch.column("id")), matrix(batch.column("embedding"), unit), k)
+            known = None if best is None else kth_distances(best, q_ids, k)
+            part = block_best(q_ids, q, ids_of(batch.column("id")), matrix(batch.column("embedding"), unit), k, known)
             best = part if best is None else best_k(pd.concat([best, part], ignore_index=True), k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
@@ -154,9 +197,9 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
         for batch in batches:
             if batch.num_rows:
                 rows = matrix(batch.column("embedding"), unit)
-                d = np.sqrt(squared_distances(rows, sent_pivots.value))
-                cell = d.argmin(1).astype(np.int32)
-                near = d[np.arange(len(d)), cell]
+                _, most = distance_bounds(rows, sent_pivots.value, sent_pivots.value.mean(axis=0))
+                cell = most.argmin(1).astype(np.int32)
+                near = np.sqrt(most[np.arange(len(most)), cell])  # never too small
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), list_array(rows), pa.array(cell), pa.array(near)],
                     ["id", "embedding", "cell", "to_pivot"],
@@ -184,18 +227,18 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, names, reach, close, n_blocks = sent.value
-        for batch in batches:
+        for batch in batches if len(centres) else ():
             for start in range(0, batch.num_rows, QUERY_ROWS):
                 piece = batch.slice(start, QUERY_ROWS)
                 rows = matrix(piece.column("embedding"), unit)
-                d = np.sqrt(squared_distances(rows, centres))
+                least, most = (np.sqrt(x) for x in distance_bounds(rows, centres, pivots.mean(axis=0)))
                 if probes is None:
                     # k vectors lie within this distance, so nothing beyond it matters
-                    upper = np.concatenate([d[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
-                    bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(d), np.inf)
-                    visit = d - reach[None, :] <= bound[:, None] + 1e-6
+                    upper = np.concatenate([most[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
+                    bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(rows), np.inf)
+                    visit = least <= (reach[None, :] + bound[:, None]) * (1 + 1e-12)
                 else:
-                    visit = d.argsort(1).argsort(1) < probes
+                    visit = most.argsort(1).argsort(1) < -(-len(centres) * probes // PIVOTS[0])
                 i, j = np.nonzero(visit)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id").take(pa.array(i)), list_array(rows[i]), pa.array(names[j].astype(np.int32)), pa.array(n_blocks[j].astype(np.int32))],

@@ -146,6 +146,27 @@ def test_knn_is_exact(spark, limit, clustered, monkeypatch):
         assert {(r.query_id, r.neighbour_id, r["rank"]) for r in got} == brute(queries, corpus, k)
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+@pytest.mark.parametrize(("middle", "spread"), [(1e5, 0.01), (0.0, 1e-7), (-3e8, 50.0)])
+def test_knn_is_exact_wherever_the_data_lies(spark, limit, middle, spread):
+    rng = np.random.default_rng(8)
+    rows = middle + spread * rng.normal(size=(300, 16))
+    rows[200:230] = rows[5]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id bigint, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.neighbour_id for r in neighbours.knn(frame, frame, 7, broadcast_bytes=limit).collect()}
+    for q in range(300):
+        d = ((rows - rows[q]) ** 2).sum(1)
+        assert [got[q, i + 1] for i in range(7)] == np.lexsort((np.arange(300), d))[:7].tolist()
+
+
+def test_knn_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id bigint, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 2.0])], none.schema)
+    for limit in (1 << 26, 0):
+        assert neighbours.knn(one, none, 3, broadcast_bytes=limit).count() == 0
+        assert neighbours.knn(none, one, 3, broadcast_bytes=limit).count() == 0
+
+
 def test_knn_cosine_and_text_ids(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [10.0, 1.0]), ("c", [0.0, 2.0])], "id string, embedding array<double>")
     for limit in (1 << 20, 0):
