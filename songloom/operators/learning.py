@@ -17,6 +17,7 @@ from songloom.functions import vectors as V
 from songloom.functions.text import clean_text
 from songloom.operators import statistics as S
 from songloom.operators.neighbours import list_array
+from songloom.operators.prepare import pending
 from songloom.session import cut_lineage, spread
 
 LOGIT_SCALE = 100.0
@@ -111,17 +112,48 @@ def zero_shot(images: DataFrame, prompts: DataFrame, scale: float = LOGIT_SCALE)
     )
 
 
-def text_vectors(lyrics: DataFrame, id_col: str, size: int = 256) -> DataFrame:
-    """Unit-norm hashed TF-IDF vectors of the cleaned text."""
-    cleaned = lyrics.select(id_col, clean_text(F.col("lyrics")).alias("text"))
+def text_vectors(lyrics: DataFrame, id_col: str, size: int = 256, by_rarity: bool = True) -> DataFrame:
+    """Unit-norm hashed TF-IDF vectors of the cleaned text; term counts alone if rarity is not asked for.
+
+    Null texts, and texts without a word, get a zero vector.
+    """
+    cleaned = lyrics.select(id_col, F.coalesce(clean_text(F.col("lyrics")), F.lit("")).alias("text"))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(cleaned)
     counted = HashingTF(inputCol="words", outputCol="counts", numFeatures=size).transform(words)
-    weighted = IDF(inputCol="counts", outputCol="weights").fit(counted).transform(counted)
-    return Normalizer(inputCol="weights", outputCol="unit").transform(weighted).select(
+    weighted = IDF(inputCol="counts", outputCol="weights").fit(counted).transform(counted) if by_rarity else counted
+    return Normalizer(inputCol="weights" if by_rarity else "counts", outputCol="unit").transform(weighted).select(
         id_col, vector_to_array("unit", "float32").alias("embedding")
     )
 
 
+def encode_missing(rows: DataFrame, size: int) -> DataFrame:
+    """(id, embedding, origin) of rows (id, text, embedding): stored vectors, else the encoded text.
+
+    A vector that is null, empty or zero counts as missing. An encoded row depends on its own text only, so it is
+    the same whenever it is encoded. origin: stored, encoded, or empty for a text without a word (zero vector).
+    """
+    there = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    stored = rows.filter(there).select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit("stored").alias("origin"))
+    texts = rows.filter(~there).select("id", F.col("text").alias("lyrics"))
+    coded = text_vectors(texts, "id", size, by_rarity=False)
+    has_word = F.exists("embedding", lambda x: x != 0)
+    return stored.unionByName(coded.withColumn("origin", F.when(has_word, "encoded").otherwise("empty")))
+
+
+def append_encoded(rows: DataFrame, folder: str, size: int) -> DataFrame:
+    """Encode the rows (id, text) whose id the table in ``folder`` lacks, append them to it, and read it again.
+
+    A second run with the same rows appends nothing.
+    """
+    spark = rows.sparkSession
+    stored = spark.read.parquet(folder)
+    todo = pending(rows, stored.select("id"), "id").withColumn("embedding", F.lit(None).cast("array<float>"))
+    # written apart first: the table cannot be read and appended to in one job
+    new = cut_lineage(encode_missing(todo, size).select("id", "embedding"), "encoded")
+    new.write.mode("append").parquet(folder)
+    return spark.read.schema(stored.schema).parquet(folder)
+
+
 def train_classifier(tracks: DataFrame, weights: DataFrame, seed: int = 42) -> DataFrame:
     """Emotion classifier with class weights; labels predicted on all splits."""
     train = tracks.filter(F.col("split") == "train")

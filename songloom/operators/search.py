@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from songloom.functions.numeric import distance_score, relative_score
 from songloom.functions.text import clean_artist, is_non_original
 from songloom.operators.neighbours import knn
 from songloom.operators.ranking import first_per_key
+from songloom.session import cut_lineage
 
 
 def check_limit(value: int, bounds: tuple[int, int]) -> int:
@@ -149,6 +152,25 @@ def similar_songs(query_ids: DataFrame, catalogue: DataFrame, k: int = 5) -> Dat
     )
 
 
+def similar_songs_by_name(requests: DataFrame, songs: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
+    """``similar_songs`` of the song that each request (request_id, name, artist) means.
+
+    Requests for the same song share one search. A request that finds no song, or one that the catalogue lacks, has
+    no rows; ``learning.encode_missing`` gives a catalogue without such gaps.
+    """
+    return _by_name(find_songs(requests, songs), lambda ids: similar_songs(ids, catalogue, k))
+
+
+def similar_tracks_by_name(requests: DataFrame, songs: DataFrame, catalogue: DataFrame, k: int = 10) -> DataFrame:
+    """``similar_tracks`` by name; here the artist must fit, also where only a part of the name matches."""
+    return _by_name(find_songs(requests, songs, strict=True), lambda ids: similar_tracks(ids, catalogue, k))
+
+
+def _by_name(found: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    meant = cut_lineage(found.select("request_id", F.col("pos").alias("query_id")), "meant")
+    return meant.join(search(meant.select(F.col("query_id").alias("id")).distinct()), "query_id")
+
+
 def lookup_list(emotion: Column) -> Column:
     """Emotions compatible with a known one, else null."""
     pairs = [x for e, fit in fixed.COMPATIBLE_EMOTIONS.items() for x in (F.lit(e), F.array(*[F.lit(f) for f in fit]))]

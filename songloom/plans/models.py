@@ -10,11 +10,12 @@ from songloom.functions import numeric as N
 from songloom.functions import vectors as V
 from songloom.operators import evaluate, learning, moods, ranking
 from songloom.operators import statistics as S
+from songloom.plans.neighbourhood import LABEL_SEARCH
 from songloom.plans.registry import query
 from songloom.plans.retrieval import pool_sql
-from songloom.plans.scalars import MOOD_SQL
+from songloom.plans.scalars import CLEAN, MOOD_SQL
 from songloom.plans.twins import TRACKS, with_
-from songloom.session import cut_lineage
+from songloom.session import cut_lineage, scratch_path
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
@@ -63,6 +64,39 @@ def zero_shot_to_songs(t: Tables) -> DataFrame:
     return labelled.join(top, "mood").select("id", "label", "confidence", "track_id", "rank")
 
 
+@query("WITH shot AS (" + with_(ZERO_SHOT) + "SELECT * FROM shot), near AS (" + LABEL_SEARCH + """)
+SELECT id, label, round(confidence, 6) AS confidence, track_id, score, rank FROM shot JOIN near USING (label)""")
+def zero_shot_to_tracks(t: Tables) -> DataFrame:
+    """Picture label, then the tracks nearest to the profile of that label (at most ten for each)."""
+    near = moods.label_search(catalogue.tracks(t)).select(F.col("query_id").alias("label"), F.col("neighbour_id").alias("track_id"), "score", "rank")
+    labelled = zero_shot(t).select("id", "label", F.round("confidence", 6).alias("confidence"))
+    return labelled.join(near, "label").select("id", "label", "confidence", "track_id", "score", "rank")
+
+
+LENGTH = "round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 3)"
+HAS_WORD = f"length({CLEAN.format(x='text')}) > 0"
+VECTOR_SIZE = 64
+
+
+@query(f"""SELECT doc_id, CASE WHEN vec_id IS NOT NULL THEN 'stored' WHEN {HAS_WORD} THEN 'encoded' ELSE 'empty' END AS origin,
+  CASE WHEN vec_id IS NOT NULL THEN {LENGTH} WHEN {HAS_WORD} THEN 1.0 ELSE 0.0 END::DOUBLE AS length, {VECTOR_SIZE} AS dims FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
+def encode_fallback(t: Tables) -> DataFrame:
+    """A vector for every document: the stored one, else its encoded text."""
+    rows = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("id"), "text", "embedding")
+    found = learning.encode_missing(rows, VECTOR_SIZE)
+    return found.select(F.col("id").alias("doc_id"), "origin", F.round(V.norm(F.col("embedding")), 3).alias("length"), F.size("embedding").alias("dims"))
+
+
+@query(f"""SELECT vec_id AS id, {LENGTH} AS length FROM embeddings
+UNION ALL SELECT doc_id, CASE WHEN {HAS_WORD} THEN 1.0 ELSE 0.0 END::DOUBLE FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def append_pending(t: Tables) -> DataFrame:
+    """The vector table after the documents that it lacked were encoded and appended."""
+    folder = scratch_path(t.spark, "vector-table")
+    t.embeddings.select(F.col("vec_id").alias("id"), "embedding").write.parquet(folder)
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return learning.append_encoded(rows, folder, VECTOR_SIZE).select("id", F.round(V.norm(F.col("embedding")), 3).alias("length"))
+
+
 @query()
 def pca_encode(t: Tables) -> DataFrame:
     return learning.pca_encode(catalogue.tracks(t)).select("track_id", "embedding")

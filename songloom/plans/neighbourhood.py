@@ -10,6 +10,7 @@ from songloom.functions import vectors as V
 from songloom.functions.numeric import distance_score
 from songloom.operators import moods, neighbours, search
 from songloom.plans.registry import query
+from songloom.plans.retrieval import find_sql, requests
 from songloom.plans.twins import FEATURES, TRACKS, VECTORS, with_
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
@@ -96,42 +97,68 @@ def relative_scores_l2(t: Tables) -> DataFrame:
 ALLOWED = "CASE qe " + " ".join(f"WHEN '{e}' THEN {fit}" for e, fit in fixed.COMPATIBLE_EMOTIONS.items()) + " END"
 
 
-@query(with_(VECTORS) + f""", d AS (SELECT q.id AS query_id, c.id AS neighbour_id, lower(q.song) AS qs, q.emotion AS qe, c.song, c.artist, c.genre, c.emotion,
+SIMILAR_SONGS = with_(VECTORS) + f""", d AS (SELECT q.id AS query_id, c.id AS neighbour_id, lower(q.song) AS qs, q.emotion AS qe, c.song, c.artist, c.genre, c.emotion,
   pow(list_distance(q.embedding, c.embedding), 2) AS distance FROM vectors q, vectors c),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbour_id) AS rank FROM d) WHERE rank <= 16),
 f AS (SELECT *, lower(song) <> qs AS other, lower(song) <> qs AND list_contains({ALLOWED}, emotion) AS ok FROM r),
 g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) AS n_ok, count(*) FILTER (ok) OVER (PARTITION BY query_id ORDER BY rank) AS ok_rank FROM f)
 SELECT query_id, neighbour_id, song, artist, genre, emotion, round(1 / (1 + distance), 4) AS similarity FROM g
-WHERE (n_ok > 0 AND ok AND ok_rank <= 5) OR (n_ok = 0 AND rank <= 6 AND other)""")
+WHERE (n_ok > 0 AND ok AND ok_rank <= 5) OR (n_ok = 0 AND rank <= 6 AND other)"""
+
+
+@query(SIMILAR_SONGS)
 def similar_songs(t: Tables) -> DataFrame:
     catalogue_vectors = catalogue.song_vectors(t)
     return search.similar_songs(catalogue_vectors.select("id"), catalogue_vectors)
 
 
-@query(with_(VECTORS) + """, d AS (SELECT q.id AS query_id, c.id AS neighbour_id, c.song, c.artist, list_cosine_similarity(q.embedding, c.embedding) AS s FROM vectors q, vectors c),
+SIMILAR_TRACKS = with_(VECTORS) + """, d AS (SELECT q.id AS query_id, c.id AS neighbour_id, c.song, c.artist, list_cosine_similarity(q.embedding, c.embedding) AS s FROM vectors q, vectors c),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(2 - 2 * s, 9), neighbour_id) AS rank FROM d) WHERE rank <= 11 AND query_id <> neighbour_id),
 t AS (SELECT *, s AS x, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rk FROM r),
 w AS (SELECT *, min(x) OVER (PARTITION BY query_id) AS lo, max(x) OVER (PARTITION BY query_id) AS hi FROM t WHERE rk <= 10)
-SELECT query_id, neighbour_id, song, artist, """ + RANGE_SQL.format(mid=0.725, a=0.5, b=0.95) + " AS score, rk AS rank FROM w")
+SELECT query_id, neighbour_id, song, artist, """ + RANGE_SQL.format(mid=0.725, a=0.5, b=0.95) + " AS score, rk AS rank FROM w"
+
+
+@query(SIMILAR_TRACKS)
 def similar_tracks(t: Tables) -> DataFrame:
     catalogue_vectors = catalogue.song_vectors(t)
     found = search.similar_tracks(catalogue_vectors.select("id"), catalogue_vectors)
     return found.select("query_id", "neighbour_id", "song", "artist", "score", "rank")
 
 
+def by_name_sql(found: str, similar: str, columns: str) -> str:
+    return f"WITH meant AS ({found}), near AS ({similar}) SELECT request_id, {columns} FROM meant JOIN near ON query_id = pos"
+
+
+@query(by_name_sql(find_sql(strict=False), SIMILAR_SONGS, "query_id, neighbour_id, near.song, near.artist, similarity"))
+def similar_songs_by_name(t: Tables) -> DataFrame:
+    """Similar songs of all requests by name, by a part of it, and by name and artist."""
+    found = search.similar_songs_by_name(requests(t), catalogue.songs(t), catalogue.song_vectors(t))
+    return found.select("request_id", "query_id", "neighbour_id", "song", "artist", "similarity")
+
+
+@query(by_name_sql(find_sql(strict=True), SIMILAR_TRACKS, "query_id, neighbour_id, near.song, near.artist, score, rank"))
+def similar_tracks_by_name(t: Tables) -> DataFrame:
+    found = search.similar_tracks_by_name(requests(t), catalogue.songs(t), catalogue.song_vectors(t))
+    return found.select("request_id", "query_id", "neighbour_id", "song", "artist", "score", "rank")
+
+
 PROFILE_ROWS = ", ".join(f"('{name}', {values}::DOUBLE[])" for name, values in fixed.LABEL_PROFILES.items())
 Z = ", ".join(f'("{f}" - m_{f}) / (s_{f} + 1e-8)' for f in FEATURES)
 Z_PROFILE = ", ".join(f"(v[{i + 1}] - m_{f}) / (s_{f} + 1e-8)" for i, f in enumerate(FEATURES))
 STATS = "st AS (SELECT " + ", ".join(f'avg("{f}") AS m_{f}, stddev_samp("{f}") AS s_{f}' for f in FEATURES) + " FROM tracks)"
 
 
-@query(with_(TRACKS, STATS) + f""", p AS (SELECT n AS query_id, [{Z_PROFILE}] AS e FROM (VALUES {PROFILE_ROWS}) x(n, v), st),
+LABEL_SEARCH = with_(TRACKS, STATS) + f""", p AS (SELECT n AS query_id, [{Z_PROFILE}] AS e FROM (VALUES {PROFILE_ROWS}) x(n, v), st),
 c AS (SELECT track_id AS neighbour_id, [{Z}] AS e FROM tracks, st),
 d AS (SELECT query_id, neighbour_id, 2 - 2 * list_cosine_similarity(p.e, c.e) AS d FROM p, c),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), neighbour_id) AS rk FROM d) WHERE rk <= 50),
 k AS (SELECT *, 1 - d / 2 AS x FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '|' || neighbour_id || '-42')) AS pick FROM n) WHERE pick <= 10),
 w AS (SELECT *, min(x) OVER (PARTITION BY query_id) AS lo, max(x) OVER (PARTITION BY query_id) AS hi FROM k)
-SELECT query_id AS label, neighbour_id AS track_id, """ + RANGE_SQL.format(mid=0.725, a=0.5, b=0.95) + " AS score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, neighbour_id) AS rank FROM w")
+SELECT query_id AS label, neighbour_id AS track_id, """ + RANGE_SQL.format(mid=0.725, a=0.5, b=0.95) + " AS score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, neighbour_id) AS rank FROM w"
+
+
+@query(LABEL_SEARCH)
 def label_profile_search(t: Tables) -> DataFrame:
     found = moods.label_search(catalogue.tracks(t))
     return found.select(F.col("query_id").alias("label"), F.col("neighbour_id").alias("track_id"), "score", "rank")

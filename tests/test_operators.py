@@ -338,3 +338,34 @@ def test_classifier_learns(spark):
     split = ranking.exact_split(spark.createDataFrame(rows, schema), "track_id", ranking.halved_tail_sizes(0.2), ["label"])
     predicted = learning.train_classifier(split, S.class_weights(split.filter("split = 'train'"), "label"))
     assert predicted.filter("split <> 'train' AND label <> predicted").count() == 0
+
+
+def test_missing_vectors_are_encoded(spark):
+    rows = spark.createDataFrame(
+        [(1, "a song", [1.0, 0.0]), (2, "rain on me", None), (3, "rain on me", [0.0, 0.0]), (4, None, None), (5, "  ", []), (None, "x", None)],
+        "id bigint, text string, embedding array<float>",
+    )
+    got = {r.id: r for r in learning.encode_missing(rows, 8).collect()}
+    assert {i: r.origin for i, r in got.items()} == {1: "stored", 2: "encoded", 3: "encoded", 4: "empty", 5: "empty", None: "encoded"}
+    assert got[2].embedding == got[3].embedding and got[1].embedding == [1.0, 0.0] and got[4].embedding == [0.0] * 8
+    assert learning.encode_missing(rows.limit(0), 8).count() == 0
+
+
+def test_appending_twice_adds_nothing(spark, tmp_path):
+    folder = str(tmp_path / "vectors")
+    spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<float>").write.parquet(folder)
+    rows = spark.createDataFrame([(1, "old"), (2, "new words"), (3, None)], "id bigint, text string")
+    first = sorted(map(tuple, learning.append_encoded(rows, folder, 2).collect()))
+    assert [r[0] for r in first] == [1, 2, 3] and first[0][1] == [1.0, 0.0]
+    assert sorted(map(tuple, learning.append_encoded(rows, folder, 2).collect())) == first
+
+
+def test_similar_songs_by_name(spark):
+    songs = spark.createDataFrame([(i, f"Song {i}", "Ann" if i % 2 else "Bob", "pop", "joy") for i in range(12)], "pos bigint, song string, artist string, genre string, emotion string")
+    vectors = songs.filter("pos < 10").select(F.col("pos").alias("id"), "song", "artist", "genre", "emotion", F.array(F.col("pos").cast("float")).alias("embedding"))
+    asked = spark.createDataFrame([("a", "SONG 3", "ann"), ("b", "song 3", None), ("c", "ong 4", None), ("d", "nothing", None), ("e", "song 11", None), ("f", None, None)], "request_id string, name string, artist string")
+    got = search.similar_songs_by_name(asked, songs, vectors, 2).collect()
+    by = {r: {x.neighbour_id for x in got if x.request_id == r} for r in "abcdef"}
+    assert by == {"a": {2, 4}, "b": {2, 4}, "c": {3, 5}, "d": set(), "e": set(), "f": set()}
+    tracks = search.similar_tracks_by_name(asked.filter("request_id < 'c'"), songs, vectors, 3).collect()
+    assert {r.request_id for r in tracks} == {"a", "b"} and all(r.query_id == 3 != r.neighbour_id for r in tracks)
