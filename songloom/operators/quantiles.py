@@ -10,7 +10,6 @@ from songloom.session import cut_lineage
 
 BINS = 4096
 READ_OFF = 100_000  # values per group that may be read off in one task
-MAX_LEVELS = 4
 
 
 def unpivot(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -25,55 +24,55 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles as rows (by..., feature, prob, value).
 
-    Each level counts the values of the current interval in ``BINS`` bins and
-    keeps the bins that hold the wanted ranks. What remains is counted by value
-    and read off exactly. Counts are folded before the shuffle, and large groups
-    get as many levels as they need, so no task holds the values of a column.
+    Each level counts the values of the current interval of a wanted rank in
+    ``BINS`` bins and keeps the bin that holds the rank, until few enough values,
+    or copies of one, are left in every interval. These are counted by value and
+    read off exactly. Counts are folded before the shuffle, so no task holds the
+    values of a column.
     """
     by = by or []
     long = unpivot(df, columns, by)
     keys = [*by, "feature"]
-    found = cut_lineage(
-        long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")), "ranges"
+    ranges = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.col("prob") * (F.col("n") - 1)
+    bracket = cut_lineage(
+        ranges.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumns({"k": F.floor(at), "part": at - F.floor(at)})
+        .withColumn("rank", F.explode(F.when(F.col("part") > 0, F.array(F.col("k"), F.col("k") + 1)).otherwise(F.array("k"))))
+        .select(*keys, "prob", "k", "part", "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("left")),
+        "ranges",
     )
-    left, levels = found.agg(F.max("n")).first()[0] or 0, 0
-    while left > READ_OFF and levels < MAX_LEVELS:
-        left, levels = left / BINS, levels + 1
-    bracket = (
-        found.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("at", F.col("prob") * (F.col("n") - 1))
-        .select(
-            *keys, "prob", F.floor("at").alias("k"), (F.col("at") - F.floor("at")).alias("part"), "lo", "hi",
-            F.lit(0).cast("bigint").alias("below"),
-        )
-    )
-    ids = [*keys, "prob", "k", "part"]
-    for _ in range(levels):
-        bracket = _narrow(long, bracket, keys, ids)
-    running = Window.partitionBy(*keys, "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ids = [*keys, "prob", "k", "part", "rank"]
+    while (bracket.filter("lo < hi").agg(F.max("left")).first()[0] or 0) > READ_OFF:
+        bracket = cut_lineage(_narrow(long, bracket, keys, ids), "ranges")
+    running = Window.partitionBy(*keys, "prob", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     values = (
         _inside(long, bracket, keys)
         .groupBy(*ids, "below", "value")
         .agg(F.count("*").alias("c"))
         .withColumn("end", F.col("below") + F.sum("c").over(running))
     )
-    low = F.min(F.when(F.col("end") > F.col("k"), F.col("value")))
-    high = F.min(F.when(F.col("end") > F.col("k") + 1, F.col("value")))
+    low = F.min(F.when((F.col("rank") == F.col("k")) & (F.col("end") > F.col("rank")), F.col("value")))
+    high = F.min(F.when((F.col("rank") > F.col("k")) & (F.col("end") > F.col("rank")), F.col("value")))
     return (
-        values.groupBy(*ids)
+        values.groupBy(*keys, "prob", "part")
         .agg(low.alias("a"), high.alias("b"))
         .select(*keys, "prob", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("part")).alias("value"))
     )
 
 
 def _inside(long: DataFrame, bracket: DataFrame, keys: list[str]) -> DataFrame:
+    """Values within the interval of each wanted rank."""
+    if keys == ["feature"]:  # then there is a row for each column and rank, so it may be sent; a join would shuffle all values to a few keys
+        bracket = F.broadcast(bracket)
     return long.join(bracket, keys).filter(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def _narrow(long: DataFrame, bracket: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
+    """The bin of each interval that holds its rank."""
     share = (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     bin_no = F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0))
-    running = Window.partitionBy(*keys, "prob").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*keys, "prob", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return (
         _inside(long, bracket, keys)
         .withColumn("bin", bin_no)
@@ -81,9 +80,8 @@ def _narrow(long: DataFrame, bracket: DataFrame, keys: list[str], ids: list[str]
         .agg(F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         .withColumn("end", F.col("below") + F.sum("c").over(running))
         .withColumn("start", F.col("end") - F.col("c"))
-        .filter((F.col("end") > F.col("k")) & (F.col("start") <= F.col("k") + 1))
-        .groupBy(*ids)
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("below"))
+        .filter((F.col("end") > F.col("rank")) & (F.col("start") <= F.col("rank")))
+        .select(*ids, "lo", "hi", F.col("start").alias("below"), F.col("c").alias("left"))
     )
 
 

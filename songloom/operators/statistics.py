@@ -149,7 +149,7 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     inside = F.col("value").between(F.col("q25") - F.col("reach"), F.col("q75") + F.col("reach"))
     return (
         unpivot(df, columns)
-        .join(fences, "feature")
+        .join(F.broadcast(fences), "feature")  # one row for each column
         .groupBy("feature", "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
