@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import byte_bpe, language, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
+from songloom.llm import byte_bpe, language, merkle, oracle, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
 from songloom.llm.common import crc_mod, read_table
 from songloom.llm.spans import listed, of_kinds
 
@@ -70,7 +70,14 @@ def op10_permutation(spark: SparkSession, folder: str) -> DataFrame:
     return permutation.neighbours(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(read_table(spark, folder, "documents"))
+    root = merkle.folded(F.coalesce("other_leaf", "leaf"), F.col("path"))
+    told = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation)
+    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation, op13_manifest)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_manifest": oracle.manifest_sql()}
