@@ -49,3 +49,14 @@ def manifest_sql(levels: int = 8, top: int = 4) -> str:
     fold = "list_reduce(list_prepend({'a': used, 'z': ''}, steps), lambda h, x: {'a': sha256(x.a || h.a || x.z), 'z': ''}).a"
     return f"""WITH {', '.join(parts)}, ends AS (SELECT *, {fold} AS folded_root FROM paths)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.a || x.z), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM ends"""
+
+NGRAM_JOIN = r"""WITH RECURSIVE w AS (
+ SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT i, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) END AS g FROM w),
+e AS (SELECT i, len(g) AS n, hash(unnest(g)) AS gram FROM s),
+o AS (SELECT a.i AS x, b.i AS y, any_value(a.n + b.n) AS n, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.i <> b.i GROUP BY a.i, b.i),
+l AS (SELECT x, y FROM o WHERE 100 * c >= 80 * (n - c)),
+reach AS (SELECT i AS x, i AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x)
+SELECT s.doc_id, len(any_value(s.g))::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN reach r ON r.x = s.i JOIN s t ON t.i = r.y GROUP BY s.i, s.doc_id"""
