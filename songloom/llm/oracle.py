@@ -60,3 +60,12 @@ l AS (SELECT x, y FROM o WHERE 100 * c >= 80 * (n - c)),
 reach AS (SELECT i AS x, i AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x)
 SELECT s.doc_id, len(any_value(s.g))::BIGINT AS n_shingles, min(t.doc_id) AS component_id
 FROM s JOIN reach r ON r.x = s.i JOIN s t ON t.i = r.y GROUP BY s.i, s.doc_id"""
+
+HARD_NEGATIVES = """WITH v AS (
+ SELECT row_number() OVER () AS i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.i AS a, a.vec_id AS anchor_id, b.i AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.i <> b.i AND len(a.x) = len(b.x)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

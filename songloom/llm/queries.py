@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import byte_bpe, language, merkle, ngram_join, oracle, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
+from songloom.llm import byte_bpe, hard_negatives, language, merkle, ngram_join, oracle, packing, permutation, personal, quality, secrets, simhash, suffix_tree, topk
 from songloom.llm.common import crc_mod, read_table
 from songloom.llm.spans import listed, of_kinds
 
@@ -70,6 +70,11 @@ def op10_permutation(spark: SparkSession, folder: str) -> DataFrame:
     return permutation.neighbours(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, folder, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, folder, "documents"), words=5, num=80, den=100).drop("set_key")
 
@@ -82,6 +87,6 @@ def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation, op12_ngram_join, op13_manifest)
+    f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation, op11_hard_negatives, op12_ngram_join, op13_manifest)
 }
-ORACLE_SQL: dict[str, str] = {"op12_ngram_join": oracle.NGRAM_JOIN, "op13_manifest": oracle.manifest_sql()}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_ngram_join": oracle.NGRAM_JOIN, "op13_manifest": oracle.manifest_sql()}
