@@ -27,7 +27,8 @@ Defined results: a text with fewer words than a gram is one gram; a null text or
 one without words has the empty set and links with nothing; copies of a set
 share a component; rows with a null id get a component but never name one;
 repeated rows are rows of their own; an empty table gives an empty result; other
-columns are not read. Sets are equal when their 64-bit hashes are.
+columns are not read. Sets are equal when their 64-bit hashes are. The table is
+read twice and must hold the same rows both times.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from songloom.llm.simhash import components
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HELD_WORDS, BLOCK, FLUSH = 200_000, 4_000_000, 1_500_000
-FRAGMENTS, ROUNDS = 16, 2
+FRAGMENTS, ROUNDS, MARKS = 16, 2, 1 << 26
 
 
 class Grams:
@@ -94,164 +95,271 @@ def prefix(n, num: int, den: int):
     return n - -(-n * num // den) + 1
 
 
-def sharing(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(row, n, key, shared): size and content key of each row's set, and parts of the number of its first grams seen in other rows."""
-    parts = parts_of(texts)
+def packed(rows: list[int], sets: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, grams, owners, counts): the grams of many rows dealt to buckets; an owner is followed by its number of grams."""
+    grams = np.concatenate(sets)
+    owner = np.repeat(np.array(rows, dtype=np.int64), [len(s) for s in sets])
+    place = (grams % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    grams, owner, place = grams[order], owner[order], place[order]
+    cuts = np.searchsorted(place, np.arange(buckets + 1))
+    for b in np.nonzero(np.diff(cuts))[0].tolist():
+        a, z = cuts[b], cuts[b + 1]
+        starts = np.concatenate([[0], np.nonzero(np.diff(owner[a:z]))[0] + 1])
+        yield b, grams[a:z].tobytes(), owner[a:z][starts].tobytes(), np.diff(np.append(starts, z - a)).astype(np.int32).tobytes()
+
+
+def unpacked(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of a bucket in order, their owners, and in how many rows each gram occurs."""
+    grams = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.uint64)
+    owner = np.repeat(np.frombuffer(b"".join(p[1] for p in parts), dtype=np.int64), np.frombuffer(b"".join(p[2] for p in parts), dtype=np.int32))
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    _, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    return grams, owner, counts[of]
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch | None, list]]:
+    """Every batch as it comes, and the parts of each bucket once it is complete. Columns from ``first``: bucket, grams, owners, counts."""
+    key, held = None, []
+    for batch in batches:
+        yield batch, []
+        for bucket, *part in zip(*(batch.column(first + i) for i in range(4))):
+            if part[0].is_valid:
+                if bucket.as_py() != key:
+                    if held:
+                        yield None, held
+                    key, held = bucket.as_py(), []
+                held.append(tuple(x.as_py() for x in part))
+    if held:
+        yield None, held
+
+
+def sharing(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(row, doc_id, text_hash, n, key, shared) from (row, doc_id, text_hash, text): size and content key of each row's set, and how many of its first grams other rows have."""
+    parts = parts_of(docs)
     buckets = 2 * parts
-    fields = ["row", "n", "key", "bucket", "grams", "owners", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=fields)
-
-    def told(rows: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
-        grams = np.concatenate(sets)
-        owner = np.repeat(np.array(rows, dtype=np.int64), [len(s) for s in sets])
-        place = (grams % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        grams, owner, place = grams[order], owner[order], place[order]
-        cuts = np.searchsorted(place, np.arange(buckets + 1))
-        for b in range(buckets):
-            a, z = cuts[b], cuts[b + 1]
-            if a < z:
-                starts = np.concatenate([[0], np.nonzero(np.diff(owner[a:z]))[0] + 1])
-                counts = np.diff(np.append(starts, z - a)).astype(np.int32)
-                yield (None, None, None, b, grams[a:z].tobytes(), owner[a:z][starts].tobytes(), counts.tobytes())
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    blobs = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["row", "doc_id", "text_hash", "n", "key", "bucket", "grams", "owners", "counts"]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Grams(words)
+        maker, id_kind = Grams(words), None
         rows, sets, size = [], [], 0
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*packed(rows, sets, buckets)))
+            none = [pa.nulls(len(columns[0]), t) for t in (pa.int64(), id_kind, pa.int64(), pa.int64(), pa.binary())]
+            return pa.record_batch([*none, *[pa.array(list(c), t) for c, t in zip(columns, blobs)]], names=names)
+
         for batch in batches:
-            docs = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            id_kind = batch.column(1).type
+            ns, keys = [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(3)):
                 grams = maker.of(text.as_py())
-                n = len(grams)
-                docs.append((row, n, xxhash.xxh3_128_digest(grams.tobytes()) if n else None, row % buckets, None, None, None))
-                if n:
-                    low = grams[: 2 * prefix(n, num, den) - 1]
+                ns.append(len(grams))
+                keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
+                if len(grams):
+                    sets.append(grams[: 2 * prefix(len(grams), num, den) - 1].copy())
                     rows.append(row)
-                    sets.append(low)
-                    size += len(low)
+                    size += len(sets[-1])
                 if size > FLUSH:
-                    yield batch_of(list(told(rows, sets)))
+                    yield told()
                     rows, sets, size = [], [], 0
-            if docs:
-                yield batch_of(docs)
+            if ns:
+                dealt = pa.array([r % buckets for r in batch.column(0).to_pylist()], pa.int64())
+                none = [pa.nulls(len(ns), t) for t in blobs[1:]]
+                yield pa.record_batch([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), dealt, *none], names=names)
         if rows:
-            yield batch_of(list(told(rows, sets)))
+            yield told()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, out_kinds = ["row", "n", "key", "shared"], [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-
-        def counted(grams: list[bytes], owners: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-            g = np.frombuffer(b"".join(grams), dtype=np.uint64)
-            who = np.repeat(np.frombuffer(b"".join(owners), dtype=np.int64), np.frombuffer(b"".join(counts), dtype=np.int32))
-            order = np.argsort(g, kind="stable")
-            g, who = g[order], who[order]
-            same = g[1:] == g[:-1]
-            seen = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            rows, shared = np.unique(who[seen], return_counts=True)
-            none = [None] * len(rows)
-            return pa.record_batch([pa.array(rows), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(shared.astype(np.int64))], names=names)
-
-        open_bucket, held = None, ([], [], [])
-        for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(fields)}
-            docs = [(r, n, k, 0) for r, n, k in zip(*(columns[c].to_pylist() for c in ("row", "n", "key"))) if r is not None]
-            if docs:
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*docs), out_kinds)], names=names)
-            for bucket, g, o, c in zip(*(columns[name] for name in ("bucket", "grams", "owners", "counts"))):
-                if not g.is_valid:
-                    continue
-                if bucket.as_py() != open_bucket:
-                    if held[0]:
-                        yield counted(*held)
-                    open_bucket, held = bucket.as_py(), ([], [], [])
-                for store, value in zip(held, (g, o, c)):
-                    store.append(value.as_py())
-        if held[0]:
-            yield counted(*held)
-
-    shape = "row bigint, n bigint, key binary, bucket bigint, grams binary, owners binary, counts binary"
-    asked = texts.select("row", "text").mapInArrow(tell, shape).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    seen = cut_lineage(asked.mapInArrow(answer, "row bigint, n bigint, key binary, shared bigint"), "ngram-sharing")
-    return seen.groupBy("row").agg(F.max("n").alias("n"), F.max("key").alias("key"), F.sum("shared").alias("shared"))
-
-
-def gram_arrays(texts: DataFrame, words: int) -> DataFrame:
-    """(row, grams) of whole texts."""
+        out, id_kind = [*names[:5], "shared"], None
+        for batch, bucket in by_bucket(batches, 5):
+            if batch is not None:
+                id_kind = batch.column(1).type
+                docs = batch.filter(batch.column(0).is_valid())
+                yield pa.record_batch([*docs.columns[:5], pa.array(np.zeros(docs.num_rows, np.int64))], names=out)
+                continue
+            _, owner, often = unpacked(bucket)
+            rows, shared = np.unique(owner[often > 1], return_counts=True)
+            none = [pa.nulls(len(rows), t) for t in (id_kind, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.record_batch([pa.array(rows), *none, pa.array(shared.astype(np.int64))], names=out)
+
+    asked = docs.mapInArrow(tell, f"row bigint, doc_id {id_type}, text_hash bigint, n bigint, key binary, bucket bigint, grams binary, owners binary, counts binary")
+    met = asked.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    seen = met.mapInArrow(answer, f"row bigint, doc_id {id_type}, text_hash bigint, n bigint, key binary, shared bigint")
+    seen = cut_lineage(seen, "ngram-sharing")
+    shared = seen.filter("n is null").groupBy("row").agg(F.sum("shared").alias("shared"))
+    return seen.filter("n is not null").drop("shared").join(shared, "row", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+
+
+def only(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of texts whose key, a hash, may be among the wanted ones.
+
+    The wanted keys are marked in a bitmap of MARKS bits, a table of a fixed size that is sent to the tasks. It spares
+    the shuffle of most other rows; those that slip through are for a join to drop.
+    """
+    bit = lambda: F.pmod(F.col(key), F.lit(MARKS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(bit()).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("bits"))
+    place = F.bitmap_bit_position(bit())
+    octet = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = texts.withColumn("page", F.bitmap_bucket_number(bit()))
+    marked = F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
+    return rows.join(F.broadcast(marks), "page").filter(marked).drop("page", "bits")
+
+
+def gram_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(row, grams) of (row, text); grams as little-endian 64-bit numbers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Grams(words)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                sets = [maker.of(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "grams"])
+                yield pa.record_batch([part.column(0), pa.array([maker.of(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["row", "grams"])
+
+    return texts.select("row", "text").mapInArrow(make, "row bigint, grams binary")
+
+
+def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(row, n, grams, dfs): the grams of each set that other sets have, by frequency, rarest first; sets with too few of them go."""
+    parts = parts_of(sets)
+    buckets = 2 * parts
+    names = ["bucket", "grams", "owners", "counts"]
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sets_held, size = [], [], 0
+
+        def told() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*packed(rows, sets_held, buckets)), kinds)], names=names)
+
+        for batch in batches:
+            for row, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows.append(row)
+                sets_held.append(np.frombuffer(grams.as_py(), dtype=np.uint64))
+                size += len(sets_held[-1])
+                if size > FLUSH:
+                    yield told()
+                    rows, sets_held, size = [], [], 0
+        if rows:
+            yield told()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, bucket in by_bucket(batches, 0):
+            if not bucket:
+                continue
+            grams, owner, often = unpacked(bucket)
+            use = often > 1
+            grams, owner, often = grams[use], owner[use], often[use].astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            grams, owner, often = grams[order], owner[order], often[order]
+            starts = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1, [len(owner)]]) if len(owner) else np.zeros(1, int)
+            spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+            found = [[int(owner[a]) for a, _ in spans], [grams[a:z].tobytes() for a, z in spans], [often[a:z].tobytes() for a, z in spans]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.binary(), pa.binary()))], names=["row", "grams", "dfs"])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row, n, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                parts_of_row = told.as_py()
+                grams = np.frombuffer(b"".join(p["grams"] for p in parts_of_row), dtype=np.uint64)
+                dfs = np.frombuffer(b"".join(p["dfs"] for p in parts_of_row), dtype=np.int64)
+                if len(grams) * den >= n * num:
+                    order = np.lexsort((grams, dfs))
+                    for store, value in zip(out, (row, n, grams[order].tobytes(), dfs[order].tobytes())):
+                        store.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "n", "grams", "dfs"])
 
-    return texts.select("row", "text").mapInArrow(make, "row bigint, grams array<bigint>")
+    asked = sets.select("row", "grams").mapInArrow(tell, "bucket bigint, grams binary, owners binary, counts binary")
+    met = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "row bigint, grams binary, dfs binary")
+    of_row = met.groupBy("row").agg(F.collect_list(F.struct("grams", "dfs")).alias("told"))
+    whole = of_row.join(sets.select("row", "n"), "row").filter(F.aggregate("told", F.lit(0), lambda a, p: a + F.octet_length(p["grams"])) * F.lit(den) >= F.col("n") * num * 8)
+    return cut_lineage(whole.select("row", "n", "told").mapInArrow(sort, "row bigint, n bigint, grams binary, dfs binary"), "ngram-order")
+
+
+def place_of(grams: np.ndarray, dfs: np.ndarray) -> np.ndarray:
+    """Place in the global order: by frequency, then by hash."""
+    return dfs + grams.astype(np.float64) * 2.0**-64 * 0.999
 
 
 class Fragments:
-    """Sets in the global order, cut into segments: entries of the order, segments, sizes, and lists of rare grams."""
+    """Sets in the global order, cut into segments: the segments, their sizes, and the lists of rare grams."""
 
     def __init__(self, sets: DataFrame, num: int, den: int, fragments: int = FRAGMENTS):
         self.num, self.den, self.fragments = num, den, fragments
-        entries = sets.select("row", "n", F.explode("grams").alias("gram"))
-        often = entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-        ordered = entries.join(often, "gram").groupBy("row").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("s"))
-        least = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
-        self.ordered = cut_lineage(ordered.filter(F.size("s") >= least), "ngram-order")
-
-        place = F.col("e.df") + F.col("e.gram") / F.lit(2.0**64) + 0.5
-        entry = self.ordered.select("row", "n", F.size("s").alias("m"), F.posexplode("s").alias("pos", "e")).withColumn("place", place)
+        order = ordered(sets, num, den)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [place_of(np.frombuffer(g.as_py(), dtype=np.uint64), np.frombuffer(d.as_py(), dtype=np.int64)) for g, d in zip(batch.column(0), batch.column(1))]
+                if found:
+                    yield pa.record_batch([pa.array(np.concatenate(found))], names=["place"])
+
         shares = [i / fragments for i in range(1, fragments)]
-        cuts = entry.agg(F.percentile_approx("place", shares, 2000)).first()[0] or []
-        fragment = reduce(lambda a, b: a + b, [(F.col("place") >= c).cast("int") for c in cuts], F.lit(0))
-        entry = entry.withColumn("f", fragment)
-        self.segments = cut_lineage(entry.groupBy("row", "f").agg(F.collect_list("e.gram").alias("grams")), "ngram-segments")
-        sizes = [F.sum((F.col("f") == i).cast("int")).alias(f"c{i}") for i in range(fragments)]
-        self.rows = cut_lineage(entry.groupBy("row").agg(F.max("n").alias("n"), F.max("m").alias("m"), *sizes), "ngram-rows")
-        p = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1
-        self.lists = cut_lineage(entry.filter(F.col("pos") < p - (F.col("n") - F.col("m"))).select(F.col("e.gram").alias("gram"), "row"), "ngram-lists")
+        cuts = order.select("grams", "dfs").mapInArrow(places, "place double").agg(F.percentile_approx("place", shares, 2000)).first()[0] or []
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                for n, g, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    grams, dfs = np.frombuffer(g.as_py(), dtype=np.uint64), np.frombuffer(d.as_py(), dtype=np.int64)
+                    ends = np.searchsorted(place_of(grams, dfs), cuts, side="left")
+                    segments = np.split(grams.view(np.int64), ends)
+                    rare = grams.view(np.int64)[: max(0, prefix(n, num, den) - (n - len(grams)))]
+                    for store, value in zip(out, (len(grams), [len(s) for s in segments], segments, rare)):
+                        store.append(value)
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, kinds)]], names=["row", "n", "m", "sizes", "segments", "rare"])
+
+        whole = order.mapInArrow(cut, "row bigint, n bigint, m bigint, sizes array<bigint>, segments array<array<bigint>>, rare array<bigint>")
+        whole = cut_lineage(whole, "ngram-segments")
+        self.segments = whole.select("row", F.posexplode("segments").alias("f", "grams"))
+        self.sizes = whole.select("row", *[F.coalesce(F.get("sizes", F.lit(i)), F.lit(0)).alias(f"c{i}") for i in range(fragments)])
+        self.rows = whole.select("row", "n", ((F.col("n") - F.col("m")) / F.col("n")).alias("own"))
+        self.lists = whole.select("row", F.explode("rare").alias("gram"))
 
     def listed(self, roots: DataFrame | None) -> DataFrame:
-        """Lists of rare grams with sizes and components of their rows."""
+        """Lists of rare grams with size, share of own grams, and component of their rows."""
         rows = self.rows.withColumn("comp", F.col("row"))
         if roots is not None:
             rows = self.rows.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
         return self.lists.join(rows, "row")
 
     def may_link(self, a: str, b: str) -> Column:
-        """Whether sizes, of sets and of their segments, allow the threshold."""
-        n = F.col(f"{a}.n") + F.col(f"{b}.n")
-        small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+        """Whether the sizes of segments allow the threshold."""
         most = reduce(lambda x, y: x + y, [F.least(f"{a}.c{i}", f"{b}.c{i}") for i in range(self.fragments)])
-        return (small * self.den >= large * self.num) & (most * (self.num + self.den) >= n * self.num)
+        return most * (self.num + self.den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * self.num
 
-    def pair(self, a: str, b: str) -> list[Column]:
-        first = F.col(f"{a}.row") < F.col(f"{b}.row")
-        pick = lambda c, x, y: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-        return [pick("row", a, b).alias("a"), pick("row", b, a).alias("b"), (F.col(f"{a}.n") + F.col(f"{b}.n")).alias("n")]
+    def alike(self, a: str, b: str) -> Column:
+        """Whether different components and the sizes of sets allow a link."""
+        small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+        return (F.col(f"{a}.comp") != F.col(f"{b}.comp")) & (small * self.den >= large * self.num)
 
     def led(self, listed: DataFrame) -> DataFrame:
         """Pairs of each list's leader, the set with the smallest share of grams of its own, with the others."""
-        own = (F.col("n") - F.col("m")) / F.col("n")
-        columns = ["row", "n", "comp", *[f"c{i}" for i in range(self.fragments)]]
-        lead = listed.groupBy("gram").agg(F.min(F.struct(own.alias("own"), *columns)).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        lead = lead.select("gram", "l.*").drop("own")
-        met = listed.alias("x").join(lead.alias("l"), F.col("x.gram") == F.col("l.gram"))
-        return met.filter((F.col("x.comp") != F.col("l.comp")) & self.may_link("x", "l")).select(*self.pair("x", "l")).distinct()
+        lead = listed.groupBy("gram").agg(F.min(F.struct("own", "row", "n", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram", "l.row", "l.n", "l.comp")
+        met = listed.alias("x").join(lead.alias("y"), F.col("x.gram") == F.col("y.gram")).filter(self.alike("x", "y"))
+        pairs = met.select(F.col("x.row").alias("a"), F.col("x.n").alias("n_a"), F.col("y.row").alias("b"), F.col("y.n").alias("n_b")).distinct()
+        one = self.sizes.withColumnRenamed("row", "a")
+        two = self.sizes.withColumnRenamed("row", "b")
+        sized = pairs.join(one, "a").select("a", "b", "n_b", F.struct(F.col("n_a").alias("n"), *[f"c{i}" for i in range(self.fragments)]).alias("x"))
+        sized = sized.join(two, "b").select("a", "b", "x", F.struct(F.col("n_b").alias("n"), *[f"c{i}" for i in range(self.fragments)]).alias("y"))
+        return sized.filter(self.may_link("x", "y")).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"))
 
     def left(self, listed: DataFrame) -> DataFrame:
         """Pairs of different components in a list: every set outside the largest one with all others."""
         comps = listed.groupBy("gram", "comp").agg(F.count("*").alias("k"))
         largest = comps.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-        open_lists = listed.join(largest.select("gram", F.col("most.comp").alias("major")), "gram")
+        open_lists = listed.join(largest.select("gram", F.col("most.comp").alias("major")), "gram").join(self.sizes, "row")
+        open_lists = cut_lineage(open_lists, "ngram-open")
         minor = open_lists.filter("comp <> major")
         met = open_lists.alias("x").join(minor.alias("y"), F.col("x.gram") == F.col("y.gram"))
         once = (F.col("x.comp") == F.col("x.major")) | (F.col("x.row") < F.col("y.row"))
-        return met.filter((F.col("x.comp") != F.col("y.comp")) & once & self.may_link("x", "y")).select(*self.pair("x", "y")).distinct()
+        good = met.filter(self.alike("x", "y") & once & self.may_link("x", "y"))
+        return good.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n")).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that reach the threshold: overlaps by fragment, summed by pair."""
@@ -279,13 +387,16 @@ def links(sets: DataFrame, num: int = 80, den: int = 100, rounds: int = ROUNDS)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_key) for every row. The threshold num / den is at least a half."""
-    texts = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "ngram-texts")
-    seen = cut_lineage(sharing(texts, words, num, den).join(texts.select("row", "doc_id"), "row"), "ngram-rows")
+    own = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), own.alias("text_hash"), F.col(text_col).alias("text"))
+    seen = cut_lineage(sharing(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text"), words, num, den), "ngram-rows")
     least = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
     enough = least - F.ceil(least * num / F.lit(float(den)) - 1e-9) + 1
-    kept = seen.filter("key is not null").filter(F.col("shared") >= enough).groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    some = texts.select("row", "text").join(kept.select("row"), "row", "left_semi")
-    sets = cut_lineage(gram_arrays(some, words).withColumn("n", F.size("grams").cast("bigint")), "ngram-sets")
+    kept = seen.filter("key is not null").filter(F.col("shared") >= enough).groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("text_hash").alias("text_hash"))
+    kept = cut_lineage(kept.drop("key"), "ngram-kept")
+    once = only(texts.select("text_hash", "text"), kept, "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
+    some = once.join(kept, "text_hash")
+    sets = cut_lineage(gram_sets(some, words).withColumn("n", (F.octet_length("grams") / 8).cast("bigint")), "ngram-sets")
     roots = components(links(sets, num, den))
 
     classes = seen.filter("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
