@@ -95,44 +95,46 @@ def prefix(n, num: int, den: int):
     return n - -(-n * num // den) + 1
 
 
-def packed(rows: list[int], sets: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(bucket, grams, owners, counts): the grams of many rows dealt to buckets; an owner is followed by its number of grams."""
+def packed(owners: np.ndarray, sets: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, grams, owners, counts): the grams of many sets dealt to buckets; counts has the number of grams of each owner in turn."""
     grams = np.concatenate(sets)
-    owner = np.repeat(np.array(rows, dtype=np.int64), [len(s) for s in sets])
-    place = (grams % np.uint64(buckets)).astype(np.int64)
+    whose = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    yield from dealt((grams % np.uint64(buckets)).astype(np.int64), owners, whose, grams)
+
+
+def dealt(place: np.ndarray, owners: np.ndarray, whose: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """(place, values..., owners, counts) for every place; whose ascends."""
     order = np.argsort(place, kind="stable")
-    grams, owner, place = grams[order], owner[order], place[order]
-    cuts = np.searchsorted(place, np.arange(buckets + 1))
-    for b in np.nonzero(np.diff(cuts))[0].tolist():
-        a, z = cuts[b], cuts[b + 1]
-        starts = np.concatenate([[0], np.nonzero(np.diff(owner[a:z]))[0] + 1])
-        yield b, grams[a:z].tobytes(), owner[a:z][starts].tobytes(), np.diff(np.append(starts, z - a)).astype(np.int32).tobytes()
-
-
-def unpacked(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams of a bucket in order, their owners, and in how many rows each gram occurs."""
-    grams = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.uint64)
-    owner = np.repeat(np.frombuffer(b"".join(p[1] for p in parts), dtype=np.int64), np.frombuffer(b"".join(p[2] for p in parts), dtype=np.int32))
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    _, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    return grams, owner, counts[of]
+    place, whose, values = place[order], whose[order], [v[order] for v in values]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else np.zeros(1, np.int64)
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(whose[a:z])) + 1])
+        yield int(place[a]), *[v[a:z].tobytes() for v in values], owners[whose[a:z][starts]].tobytes(), np.diff(np.append(starts, z - a)).astype(np.int32).tobytes()
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch | None, list]]:
-    """Every batch as it comes, and the parts of each bucket once it is complete. Columns from ``first``: bucket, grams, owners, counts."""
+    """Every batch as it comes, and the columns of each bucket once it is complete. Columns from ``first``: bucket, then bytes."""
     key, held = None, []
     for batch in batches:
         yield batch, []
-        for bucket, *part in zip(*(batch.column(first + i) for i in range(4))):
+        for bucket, *part in zip(*batch.columns[first:]):
             if part[0].is_valid:
                 if bucket.as_py() != key:
                     if held:
-                        yield None, held
+                        yield None, [b"".join(c) for c in zip(*held)]
                     key, held = bucket.as_py(), []
                 held.append(tuple(x.as_py() for x in part))
     if held:
-        yield None, held
+        yield None, [b"".join(c) for c in zip(*held)]
+
+
+def counted(bucket: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of a bucket, owners, whose each gram is, and in how many sets it occurs."""
+    grams = np.frombuffer(bucket[0], dtype=np.uint64)
+    owners = np.frombuffer(bucket[1], dtype=np.int64).reshape(-1, width)
+    whose = np.repeat(np.arange(len(owners)), np.frombuffer(bucket[2], dtype=np.int32))
+    _, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    return grams, owners, whose, counts[of]
 
 
 def sharing(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -148,7 +150,7 @@ def sharing(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         rows, sets, size = [], [], 0
 
         def told() -> pa.RecordBatch:
-            columns = list(zip(*packed(rows, sets, buckets)))
+            columns = list(zip(*packed(np.array(rows, dtype=np.int64), sets, buckets)))
             none = [pa.nulls(len(columns[0]), t) for t in (pa.int64(), id_kind, pa.int64(), pa.int64(), pa.binary())]
             return pa.record_batch([*none, *[pa.array(list(c), t) for c, t in zip(columns, blobs)]], names=names)
 
@@ -181,8 +183,8 @@ def sharing(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 docs = batch.filter(batch.column(0).is_valid())
                 yield pa.record_batch([*docs.columns[:5], pa.array(np.zeros(docs.num_rows, np.int64))], names=out)
                 continue
-            _, owner, often = unpacked(bucket)
-            rows, shared = np.unique(owner[often > 1], return_counts=True)
+            _, owners, whose, often = counted(bucket, 1)
+            rows, shared = np.unique(owners[whose[often > 1], 0], return_counts=True)
             none = [pa.nulls(len(rows), t) for t in (id_kind, pa.int64(), pa.int64(), pa.binary())]
             yield pa.record_batch([pa.array(rows), *none, pa.array(shared.astype(np.int64))], names=out)
 
@@ -226,58 +228,54 @@ def ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(row, n, grams, dfs): the grams of each set that other sets have, by frequency, rarest first; sets with too few of them go."""
     parts = parts_of(sets)
     buckets = 2 * parts
-    names = ["bucket", "grams", "owners", "counts"]
+    names, kinds = ["bucket", "grams", "owners", "counts"], (pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, sets_held, size = [], [], 0
+        owners, held, size = [], [], 0
 
         def told() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*packed(rows, sets_held, buckets)), kinds)], names=names)
+            columns = zip(*packed(np.array(owners, dtype=np.int64), held, buckets))
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            for row, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.append(row)
-                sets_held.append(np.frombuffer(grams.as_py(), dtype=np.uint64))
-                size += len(sets_held[-1])
+            for row, n, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                owners.append((row, n))
+                held.append(np.frombuffer(grams.as_py(), dtype=np.uint64))
+                size += n
                 if size > FLUSH:
                     yield told()
-                    rows, sets_held, size = [], [], 0
-        if rows:
+                    owners, held, size = [], [], 0
+        if owners:
             yield told()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a bucket knows of its grams, packed by the part that gathers their rows."""
         for _, bucket in by_bucket(batches, 0):
             if not bucket:
                 continue
-            grams, owner, often = unpacked(bucket)
+            grams, owners, whose, often = counted(bucket, 2)
             use = often > 1
-            grams, owner, often = grams[use], owner[use], often[use].astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            grams, owner, often = grams[order], owner[order], often[order]
-            starts = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1, [len(owner)]]) if len(owner) else np.zeros(1, int)
-            spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
-            found = [[int(owner[a]) for a, _ in spans], [grams[a:z].tobytes() for a, z in spans], [often[a:z].tobytes() for a, z in spans]]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.binary(), pa.binary()))], names=["row", "grams", "dfs"])
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row, n, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                parts_of_row = told.as_py()
-                grams = np.frombuffer(b"".join(p["grams"] for p in parts_of_row), dtype=np.uint64)
-                dfs = np.frombuffer(b"".join(p["dfs"] for p in parts_of_row), dtype=np.int64)
-                if len(grams) * den >= n * num:
-                    order = np.lexsort((grams, dfs))
-                    for store, value in zip(out, (row, n, grams[order].tobytes(), dfs[order].tobytes())):
-                        store.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "n", "grams", "dfs"])
+            columns = list(zip(*dealt(owners[whose[use], 0] % parts, owners, whose[use], grams[use], often[use].astype(np.int64))))
+            if columns:
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4))], names=["part", "grams", "dfs", "owners", "counts"])
 
-    asked = sets.select("row", "grams").mapInArrow(tell, "bucket bigint, grams binary, owners binary, counts binary")
-    met = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "row bigint, grams binary, dfs binary")
-    of_row = met.groupBy("row").agg(F.collect_list(F.struct("grams", "dfs")).alias("told"))
-    whole = of_row.join(sets.select("row", "n"), "row").filter(F.aggregate("told", F.lit(0), lambda a, p: a + F.octet_length(p["grams"])) * F.lit(den) >= F.col("n") * num * 8)
-    return cut_lineage(whole.select("row", "n", "told").mapInArrow(sort, "row bigint, n bigint, grams binary, dfs binary"), "ngram-order")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in by_bucket(batches, 0):
+            if not part:
+                continue
+            grams, dfs = np.frombuffer(part[0], dtype=np.uint64), np.frombuffer(part[1], dtype=np.int64)
+            owner = np.repeat(np.frombuffer(part[2], dtype=np.int64).reshape(-1, 2), np.frombuffer(part[3], dtype=np.int32), axis=0)
+            order = np.lexsort((grams, dfs, owner[:, 0]))
+            grams, dfs, owner = grams[order], dfs[order], owner[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(owner[:, 0])) + 1, [len(owner)]])
+            spans = [(a, z) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()) if (z - a) * den >= owner[a, 1] * num]
+            found = [[int(owner[a, 0]) for a, _ in spans], [int(owner[a, 1]) for a, _ in spans], [grams[a:z].tobytes() for a, z in spans], [dfs[a:z].tobytes() for a, z in spans]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "n", "grams", "dfs"])
+
+    asked = sets.select("row", "n", "grams").mapInArrow(tell, "bucket bigint, grams binary, owners binary, counts binary")
+    met = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "part bigint, grams binary, dfs binary, owners binary, counts binary")
+    of_row = met.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "row bigint, n bigint, grams binary, dfs binary")
+    return cut_lineage(of_row, "ngram-order")
 
 
 def place_of(grams: np.ndarray, dfs: np.ndarray) -> np.ndarray:
