@@ -46,7 +46,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 TOKEN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
 BREAKS = "\n\t\r\x0b\x0c"
 MARK = b"\0"
-HELD_WORDS = 1_500_000
+HELD_WORDS = 200_000
 BATCH_CHARS = 2_000_000
 GROUP = 12_000
 
@@ -162,6 +162,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        tok.held = {}  # workers outlive a task
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>")
