@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom import fixed
 from songloom.functions import vectors as V
 from songloom.functions.numeric import distance_score
 from songloom.operators import moods, neighbours, search
+from songloom.operators.index import VectorIndex
 from songloom.plans.registry import query
 from songloom.plans.retrieval import find_sql, requests
 from songloom.plans.twins import FEATURES, TRACKS, VECTORS, with_
+from songloom.session import cut_lineage, scratch_path
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
@@ -51,17 +53,46 @@ def knn_cells(t: Tables) -> DataFrame:
     return neighbours.knn(rows, rows, 5, broadcast_bytes=0).select("query_id", "neighbour_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query()
+def saved_index(t: Tables, rows: DataFrame) -> VectorIndex:
+    return VectorIndex.build(rows, scratch_path(t.spark, "vector-index"))
+
+
+@query("""SELECT vec_id AS query_id, rank, TRUE AS ascending, TRUE AS is_distance FROM embeddings, (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS rank)""")
 def knn_lsh(t: Tables) -> DataFrame:
-    """Approximate neighbours: the 16 nearest of 64 pivot cells."""
+    """Approximate neighbours by product-quantised codes: five for every vector, nearest first, with their true distances."""
     rows = vectors(t)
-    return neighbours.knn_approx(rows, rows, 5, probes=16)
+    found = saved_index(t, rows).search_codes(rows, 5, cells=1.0)
+    both = found.join(rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    both = both.join(rows.select(F.col("id").alias("neighbour_id"), F.col("embedding").alias("c")), "neighbour_id")
+    before = F.lag("distance").over(Window.partitionBy("query_id").orderBy("rank"))
+    true = V.squared_l2(F.col("q"), F.col("c"))
+    return both.select("query_id", "rank", F.coalesce(before <= F.col("distance"), F.lit(True)).alias("ascending"), (F.abs(true - F.col("distance")) < 1e-9).alias("is_distance"))
 
 
-@query()
+@query("SELECT 5 AS k, TRUE AS recall_reached, TRUE AS work_bounded")
 def knn_recall(t: Tables) -> DataFrame:
+    """Whether the search by codes finds 0.9 of the exact neighbours and measures less than a tenth of the vectors a query."""
+    rows = vectors(t)
+    found = saved_index(t, rows)
+    near = found.search_codes(rows, 5, cells=1.0)
+    work = near.agg(F.max("measured")).scalar() / found.vectors.agg(F.count("*")).scalar()
+    hits = neighbours.recall(near, found.search(rows, 5), 5)
+    return hits.select("k", (F.col("recall") >= 0.9).alias("recall_reached"), (work < 0.1).alias("work_bounded"))
+
+
+@query("WITH " + ranked_sql(5).replace("FROM embeddings q, embeddings c", "FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT * FROM embeddings WHERE vec_id % 10 <> 3) c")
+       + " SELECT 1 AS turn, query_id, neighbour_id, round(distance, 6) AS distance, rank FROM knn UNION ALL SELECT * FROM (WITH "
+       + ranked_sql(5).replace("FROM embeddings q, embeddings c", "FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings c")
+       + " SELECT 2 AS turn, query_id, neighbour_id, round(distance, 6) AS distance, rank FROM knn)")
+def index_roundtrip(t: Tables) -> DataFrame:
+    """An index is saved, opened and searched; then all vectors come, those it lacks are appended, and it is opened and searched again."""
     rows = vectors(t)
-    return neighbours.recall(neighbours.knn_approx(rows, rows, 5, probes=16), neighbours.knn(rows, rows, 5), 5)
+    folder = saved_index(t, rows.filter("id % 10 <> 3")).folder
+    queries = rows.filter("id % 20 = 0")
+    first = cut_lineage(VectorIndex(t.spark, folder).search(queries, 5).withColumn("turn", F.lit(1)), "turn")
+    VectorIndex(t.spark, folder).append(rows)
+    second = VectorIndex(t.spark, folder).search(queries, 5).withColumn("turn", F.lit(2))
+    return first.unionByName(second).select("turn", "query_id", "neighbour_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(with_(VECTORS) + ", " + ranked_sql(5) + """ SELECT query_id, neighbour_id, song, artist, genre, emotion, rank, round(1 / (1 + distance), 4) AS score

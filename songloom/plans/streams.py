@@ -45,7 +45,41 @@ def stream_requests(t: Tables) -> DataFrame:
     return jobs.run_to_table(jobs.request_stream(asked).select("event_id", "kind", "mood"), jobs.stream_path(t.spark, "requests"))
 
 
+ARRIVALS = 5
+
+
+def arriving(t: Tables, parts: int = ARRIVALS) -> tuple[str, DataFrame]:
+    """A folder into which the events came in several files, a fifth of them a file too late; and the events as a stream from there."""
+    folder = jobs.stream_path(t.spark, "arrivals")
+    bounds = t.events.agg(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi")).first()
+    days = max(1, -(-(bounds["hi"] - bounds["lo"]).days // parts)) if bounds["lo"] else 1
+    part = F.floor(F.datediff(F.col("ts"), F.lit(bounds["lo"])) / days) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    events = t.events.withColumn("part", part)
+    for i in range(parts + 2):
+        events.filter(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
+    return folder, t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+
+
+class Arrivals(StreamTables):
+    """The same tables with ``events`` as they arrive in a folder."""
+
+    def __init__(self, t: Tables):
+        super().__init__(t.spark, t.folder)
+        self.arrivals, self._events = arriving(t)
+
+    @property
+    def events(self) -> DataFrame:
+        return self._events
+
+
 @query(accounts.REPLAY + "SELECT key, id, is_hit FROM walk")
 def stream_cache(t: Tables) -> DataFrame:
-    hits = jobs.cache_stream(accounts.lookups(stream_tables(t)))
-    return jobs.run_to_table(hits, jobs.stream_path(t.spark, "cache"))
+    """The cache over lookups that come late and in several batches: the outcomes of the batch form."""
+    arrivals = Arrivals(t)
+    asked = accounts.lookups(arrivals).withColumn("key", F.when(F.col("id") >= 0, F.col("key")))
+    hits, path = jobs.cache_stream(asked, "20 days"), jobs.stream_path(t.spark, "cache")
+    jobs.run_to_table(hits, path, jobs.TIMERS_STORE)
+    # the source is closed by an event far ahead, whose id stands for none
+    last = t.events.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 100 days"), "event_id": F.lit(-1).cast("bigint")})
+    last.select(*t.events.columns).write.mode("append").parquet(arrivals.arrivals)
+    return jobs.run_to_table(hits, path, jobs.TIMERS_STORE)

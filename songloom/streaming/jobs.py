@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from songloom.operators.cache import MICROS, NEVER, replay_part
@@ -22,12 +22,31 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{folder}/{name}*.parquet")
+        .parquet(f"{folder}/{name}.parque[t]")  # a pattern, as a path to one file is refused; it fits this name alone
     )
 
 
-def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Process what is there, appending to a Parquet table; then read it."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+TIMERS_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, path: str, state_store: str | None = None) -> DataFrame:
+    """Process what is there, appending to a Parquet table; then read it.
+
+    A stream with timers needs TIMERS_STORE as its state store; the session's own setting is put back afterwards.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    if state_store:
+        conf.set(STATE_STORE, state_store)
+    try:
+        return _run_to_table(stream, path)
+    finally:
+        if state_store:
+            conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
+
+
+def _run_to_table(stream: DataFrame, path: str) -> DataFrame:
     writer: DataStreamWriter = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -51,31 +70,62 @@ def request_stream(requests: DataFrame) -> DataFrame:
     return requests.withColumn("mood", mood)
 
 
-def cache_stream(lookups: DataFrame) -> DataFrame:
-    """Hit or miss of each lookup, with the expiry of each key as state.
+class CacheReplay(StatefulProcessor):
+    """The cache of one key in event time.
 
-    Within a micro-batch the lookups of a key are put in time order; across
-    batches they are taken as they arrive. The state is one number per key.
+    Lookups wait in a list until the watermark has passed them, so that none can still arrive before them; then they
+    are replayed in time order. Of a replayed lookup nothing is kept but the expiry of the entry, and that goes when
+    the watermark passes it: a later lookup misses either way.
     """
-    key_type = lookups.schema["key"].dataType.simpleString()
-    timed = lookups.select(
-        "key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl")
-    )
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["at", "id"])
-        expires = state.get[0] if state.exists else NEVER
-        hits, expires = replay_part(rows["at"].to_numpy(), rows["ttl"].to_numpy(), expires)
-        state.update((expires,))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "is_hit": hits})
-
-    return timed.groupBy("key").applyInPandasWithState(
-        fold,
-        f"key {key_type}, id bigint, is_hit boolean",
-        "expires bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint, ttl bigint")
+        self.entry = handle.getValueState("entry", "expires bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            if key[0] is not None and len(part):
+                self.waiting.appendList([(int(a), int(i), int(t)) for a, i, t in zip(part["at"], part["id"], part["ttl"])])
+                self.handle.registerTimer(int(part["at"].max()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = np.array(list(self.waiting.get()) if self.waiting.exists() else [], dtype=np.int64).reshape(-1, 3)
+        due = rows[:, 0] < passed
+        if due.any():
+            left = rows[~due]
+            if len(left):
+                self.waiting.put([tuple(map(int, r)) for r in left])
+            else:
+                self.waiting.clear()
+            rows = rows[due]
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            hits, expires = replay_part(rows[:, 0], rows[:, 2], self.entry.get()[0] if self.entry.exists() else NEVER)
+            self.entry.update((int(expires),))
+            self.handle.registerTimer(int(expires) // 1000 + 1)
+            yield pd.DataFrame({"key": [key[0]] * len(rows), "id": rows[:, 1], "is_hit": hits})
+        if self.entry.exists() and self.entry.get()[0] < passed:
+            self.entry.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def cache_stream(lookups: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Hit or miss of each lookup (key, ts, id, ttl), in event time.
+
+    The same for any way in which lookups are spread over batches, as long as none comes more than ``lateness`` after
+    a later one; Spark drops those. An outcome appears once the watermark has passed its lookup. A lookup without a
+    key has no outcome; it only moves time on, which lets the last ones of a closed source out.
+    """
+    key_type = lookups.schema["key"].dataType.simpleString()
+    # microseconds, as in the batch form; the watermark stays on the time itself
+    timed = lookups.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
+        "key", "id", "ts", F.unix_micros("ts").alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl")
     )
+    return timed.groupBy("key").transformWithStateInPandas(CacheReplay(), f"key {key_type}, id bigint, is_hit boolean", "Append", "EventTime")
 
 
 def stream_path(spark: SparkSession, name: str) -> str:

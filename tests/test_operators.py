@@ -1,12 +1,14 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from songloom import fixed
-from songloom.operators import cache, learning, moods, neighbours, prepare, quantiles, ranking, search, triplets, users
+from songloom.operators import cache, index, learning, moods, neighbours, prepare, quantiles, ranking, search, triplets, users
 from songloom.operators import statistics as S
 from songloom.sources import catalogue, readers
 
@@ -183,6 +185,72 @@ def test_approximate_search_recall(spark, tables):
     assert neighbours.recall(neighbours.knn_approx(rows, rows, 5, probes=24), exact, 5).first()["recall"] > 0.7
 
 
+def brute_knn(queries, corpus, k):
+    out = set()
+    for q, v in queries:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in corpus)[:k]
+        out |= {(q, i, r + 1) for r, (_, i) in enumerate(near)}
+    return out
+
+
+@pytest.fixture(scope="module")
+def clustered_rows():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 12)) * 3
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=12)]) for i in range(900)]
+    rows += [(900 + i, rows[5][1]) for i in range(300)]  # a hot vector
+    return rows
+
+
+@pytest.mark.parametrize("block", [50, 20_000])
+def test_saved_index_is_exact_after_rereading_and_appending(spark, tmp_path, clustered_rows, block, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", block)
+    shape = "id bigint, embedding array<double>"
+    odd = [(5000, None), (5001, []), (5002, [1.0, None] * 6), (5003, [float("nan")] * 12), (5004, [1.0, 2.0])]
+    first = spark.createDataFrame(clustered_rows[:700] + odd, shape)
+    index.VectorIndex.build(first, str(tmp_path / "index"), cells=12)
+    found = index.VectorIndex(spark, str(tmp_path / "index"))
+    asked = clustered_rows[::40]
+    queries = spark.createDataFrame(asked + odd, shape)
+    got = found.search(queries, 6)
+    assert {(r.query_id, r.neighbour_id, r["rank"]) for r in got.collect()} == brute_knn(asked, clustered_rows[:700], 6)
+    before = found.vectors.count()
+    for _ in range(2):  # the second time adds nothing
+        found.append(spark.createDataFrame(clustered_rows + odd, shape))
+    assert (before, found.vectors.count()) == (700, len(clustered_rows))
+    got = index.VectorIndex(spark, str(tmp_path / "index")).search(queries, 6).collect()
+    assert {(r.query_id, r.neighbour_id, r["rank"]) for r in got} == brute_knn(asked, clustered_rows, 6)
+    if block == 50:  # clusters lie apart, so most vectors are never compared
+        assert sum(r.measured for r in got if r["rank"] == 1) < 0.5 * len(asked) * len(clustered_rows)
+
+
+def test_index_reads_only_visited_cells(spark, tmp_path, clustered_rows):
+    shape = "id bigint, embedding array<double>"
+    found = index.VectorIndex.build(spark.createDataFrame(clustered_rows, shape), str(tmp_path / "index"), cells=12)
+    visits = spark.createDataFrame([(3,), (3,), (7,)], "cell int")
+    plan = found.in_cells(visits)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*cell#\d+ IN \([37], ?[37]\)", plan)
+    assert {r.cell for r in found.in_cells(visits).select("cell").distinct().collect()} == {3, 7}
+
+
+def test_search_by_codes_finds_most(spark, tables, tmp_path):
+    rows = tables.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    found = index.VectorIndex.build(rows, str(tmp_path / "index"))
+    exact = {(r.query_id, r.neighbour_id) for r in found.search(rows, 5).collect()}
+    rough = found.search_codes(rows, 5, cells=1.0).collect()
+    assert len({(r.query_id, r.neighbour_id) for r in rough} & exact) > 0.9 * len(exact)
+    assert {r.measured for r in rough} == {40}
+
+
+def test_empty_index(spark, tmp_path):
+    none = spark.createDataFrame([], "id bigint, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 2.0])], none.schema)
+    assert index.VectorIndex.build(none, str(tmp_path / "a")).search(some, 3).count() == 0
+    found = index.VectorIndex.build(some, str(tmp_path / "b"))
+    assert found.search(none, 3).count() == found.search_codes(none, 3).count() == 0
+    assert [tuple(r)[:2] for r in found.search(some, 3).collect()] == [(1, 1)]
+
+
 def test_find_song_cases(spark, songs):
     asked = [("exact", "someone like you", None), ("artist", "Shape of You", "sheeran"), ("part", "LIGHTS", None), ("other", "Shape of You", "Adele"), ("none", "zzz", None), ("blank", " ", None), ("short", "Y", None)]
     requests = spark.createDataFrame(asked, "request_id string, name string, artist string")
@@ -276,19 +344,29 @@ def test_cache_replay(spark, slot_rows):
     assert got == replayed(rows)
 
 
-def test_cache_stream_over_several_files(spark, tmp_path):
-    """Time-ordered files give the stream the result of the batch job."""
+@pytest.mark.parametrize("files, order", [(1, "time"), (4, "time"), (5, "any")])
+def test_cache_stream_is_the_same_for_any_batches(spark, tmp_path, files, order):
+    """Late lookups, several batches, and a state that is empty in the end."""
     from songloom.streaming import jobs
 
-    rows = sorted(lookup_rows(5, 900), key=lambda r: r[2])
+    rows = sorted(lookup_rows(5, 600), key=lambda r: r[2] if order == "time" else zlib.crc32(str(r[1]).encode()))
     schema = "key string, id bigint, at bigint, ttl int"
-    for i in range(3):
-        part = spark.createDataFrame(rows[i * 300 : (i + 1) * 300], schema).withColumn("ts", F.timestamp_seconds("at"))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "lookups.parquet"))
-        full = part.schema
-    stream = jobs.table_stream(spark, str(tmp_path), "lookups", full, files_per_batch=1)
-    got = jobs.run_to_table(jobs.cache_stream(stream), str(tmp_path / "out"))
+    size = -(-len(rows) // files)
+    parts = [rows[i * size : (i + 1) * size] for i in range(files)]
+    for part in [*parts, [(None, -1, max(r[2] for r in rows) + 10**7, 0)]]:
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "lookups.parquet"))
+    (tmp_path / "lookups2.parquet").mkdir()
+    stream = jobs.table_stream(spark, str(tmp_path), "lookups", df.schema, files_per_batch=1)
+    hits = jobs.cache_stream(stream, "100 days")
+    got = jobs.run_to_table(hits, str(tmp_path / "out"), jobs.TIMERS_STORE)
     assert {(r.key, r.id): r.is_hit for r in got.collect()} == replayed(rows)
+    for name in ("waiting", "entry"):
+        state = spark.read.format("statestore").option("stateVarName", name)
+        if name == "waiting":
+            state = state.option("flattenCollectionTypes", True)
+        assert state.load(f"{tmp_path / 'out'}-progress").count() == 0
+    assert spark.conf.get(jobs.STATE_STORE, "").find("RocksDB") < 0
 
 
 def test_history_limits(spark):
