@@ -10,6 +10,12 @@ def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def is_sound(v: Column) -> Column:
+    """Neither null nor empty, and every component a finite number."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite, F.lit(False))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songloom.functions.vectors import squared_l2
+from songloom.functions.vectors import is_sound, squared_l2
 from songloom.operators.prepare import pending
 from songloom.session import cut_lineage
 
@@ -43,15 +43,9 @@ NAMED_CELLS = 2000  # most cells a scan names in its filter
 FOUND = "query_id {q}, neighbour_id {c}, distance double, measured bigint"
 
 
-def sound(vector: Column) -> Column:
-    """Neither null nor empty, and every component a finite number."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
-
-
 def clean(rows: DataFrame, dim: int | None = None) -> DataFrame:
     """(id, vector) of the rows (id, embedding) that can be searched."""
-    rows = rows.filter(sound(F.col("embedding")))
+    rows = rows.filter(is_sound(F.col("embedding")))
     return (rows if dim is None else rows.filter(F.size("embedding") == dim)).select("id", F.col("embedding").cast("array<double>").alias("vector"))
 
 
@@ -135,7 +129,7 @@ class VectorIndex:
         is a cell for every CELL_ROWS rows, and at least eight.
         """
         spark = rows.sparkSession
-        first = rows.filter(sound(F.col("embedding"))).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        first = rows.filter(is_sound(F.col("embedding"))).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
         usable = clean(rows, first["dim"] or 0)
         some = usable.orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE).toArrow()  # bounded by SAMPLE
         x = stacked(some["vector"].combine_chunks()) if some.num_rows else np.zeros((0, 1))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from songloom.functions.vectors import is_sound
 from songloom.operators.ranking import top_per_key
 from songloom.session import cut_lineage
 
@@ -112,6 +113,14 @@ def kth_distances(best: pd.DataFrame, q_ids: np.ndarray, k: int) -> np.ndarray:
     return last["max"].where(last["size"] >= k, np.inf).reindex(q_ids).fillna(np.inf).to_numpy()
 
 
+def usable(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, embedding) of both sides whose vectors can be compared."""
+    sizes = corpus.filter(is_sound(F.col("embedding"))).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max(F.struct("n", "dim"))["dim"]).first()[0] or 0
+    keep = is_sound(F.col("embedding")) & (F.size("embedding") == most)
+    return queries.select("id", "embedding").filter(keep), corpus.select("id", "embedding").filter(keep)
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -123,12 +132,14 @@ def knn(
 
     ``l2`` gives the squared distance; ``cosine`` the inner product of the
     normalised vectors, best first. Columns: query_id, neighbour_id, distance
-    or similarity, rank.
+    or similarity, rank. Vectors that are null, empty, hold a null or
+    non-finite component, or are not of the corpus's most frequent length take
+    no part.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric: {metric}")
     unit = metric == "cosine"
-    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
+    queries, corpus = usable(queries, corpus)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     # a task holds the queries, and k results for each
     if size["n"] * ((size["dim"] or 0) * 8 + k * RESULT_BYTES) <= broadcast_bytes:
@@ -148,7 +159,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, probes: int = 8) -
 
     The share of cells is fixed, so recall does not fall as their number grows with the corpus.
     """
-    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
+    queries, corpus = usable(queries, corpus)
     found = _scan_cells(queries, corpus, k, False, probes)
     return _ranked(found, k)
 

@@ -78,7 +78,9 @@ def exact_split(
         .select(*strata, "_prefix", "_start", "_cut1", "_cut2")
     )
     inner = Window.partitionBy(*strata, "_prefix").orderBy("_hash")
-    ranked = keyed.join(cuts, [*strata, "_prefix"]).withColumn("_rank", F.row_number().over(inner) + F.col("_start"))
+    of = cuts.select(*[F.col(c).alias(f"_of_{c}") for c in [*strata, "_prefix"]], "_start", "_cut1", "_cut2")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*strata, "_prefix"]]  # null is a stratum
+    ranked = keyed.join(of, same).withColumn("_rank", F.row_number().over(inner) + F.col("_start"))
     at_cut = ranked.groupBy(*strata).agg(
         F.max(F.when(F.col("_rank") == F.col("_cut1"), F.col("_hash"))).alias("_hash1"),
         F.max(F.when(F.col("_rank") == F.col("_cut2"), F.col("_hash"))).alias("_hash2"),

@@ -88,7 +88,8 @@ def test_harmonise_features(spark):
 @pytest.mark.parametrize("read_off", [1_000_000, 3])
 def test_exact_quantiles(spark, values, read_off, monkeypatch):
     monkeypatch.setattr(quantiles, "READ_OFF", read_off)
-    monkeypatch.setattr(quantiles, "BINS", 16)
+    monkeypatch.setattr(quantiles, "SKETCH", 64)
+    monkeypatch.setattr(quantiles, "SLACK", 0.05)
     df = spark.createDataFrame([(float(v),) for v in values], "x double").unionByName(spark.createDataFrame([(None,)], "x double"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = {r.prob: r.value for r in quantiles.exact_quantiles(df, ["x"], probs).collect()}
@@ -97,6 +98,36 @@ def test_exact_quantiles(spark, values, read_off, monkeypatch):
         assert got[p] == pytest.approx(np.quantile(clean, p), rel=1e-12)
 
 
+def test_quantiles_of_infinite_values_and_null_groups(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "READ_OFF", 3)
+    inf = float("inf")
+    rows = [("a", float(i)) for i in range(100)] + [("a", inf)] * 30 + [("a", -inf)] * 30 + [(None, float(i % 3)) for i in range(50)] + [("b", None), ("c", inf)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(r.k, r.prob): r.value for r in quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.9, 1.0], ["k"]).collect()}
+    assert [got["a", p] for p in (0.0, 0.1, 0.5, 0.9, 1.0)] == [-inf, -inf, 49.5, inf, inf]
+    assert [got[None, p] for p in (0.0, 0.5, 1.0)] == [0.0, 1.0, 2.0]
+    assert got["c", 0.5] == inf and not any(k == "b" for k, _ in got)
+    assert quantiles.exact_quantiles(df.filter("false"), ["x"], [0.5]).count() == 0
+
+
+def test_a_null_stratum_is_split_like_others(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    rows = ranking.exact_split(df, "id", ranking.holdout_sizes(0.1, 0.1), ["s"]).collect()
+    for s in (None, 1, 2):
+        own = [r.split for r in rows if r.s == s]
+        assert (own.count("train"), own.count("val"), own.count("test")) == (239, 31, 30)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_knn_leaves_out_unusable_vectors(spark, limit):
+    rows = [(i, [float(i), 1.0]) for i in range(20)]
+    odd = [(100, None), (101, []), (102, [1.0]), (103, [1.0, None]), (104, [float("nan"), 1.0]), (105, [1.0, 2.0, 3.0])]
+    shape = "id bigint, embedding array<double>"
+    df, all_rows = spark.createDataFrame(rows, shape), spark.createDataFrame(rows + odd, shape)
+    expected = sorted(map(tuple, neighbours.knn(df, df, 3).collect()))
+    assert sorted(map(tuple, neighbours.knn(all_rows, all_rows, 3, broadcast_bytes=limit).collect())) == expected
+
+
 def test_split_sizes_and_parts(spark):
     for n in (1, 7, 100, 1003):
         rows = ranking.exact_split(spark.range(n), "id", ranking.holdout_sizes(0.1, 0.1)).collect()
