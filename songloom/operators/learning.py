@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,81 +12,31 @@ from pyspark.sql import functions as F
 from songloom import fixed
 from songloom.functions import vectors as V
 from songloom.functions.text import clean_text
+from songloom.operators import encoder
 from songloom.operators import statistics as S
-from songloom.operators.neighbours import list_array
 from songloom.operators.prepare import pending
 from songloom.session import cut_lineage, spread
 
 LOGIT_SCALE = 100.0
 
 
-def scaled_tracks(tracks: DataFrame, population: bool = False) -> DataFrame:
-    """Tracks with z-scored features."""
-    return S.apply_zscore(tracks, S.fit(tracks, fixed.FEATURES, population), fixed.FEATURES)
-
-
 def assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=fixed.FEATURES, outputCol="features").transform(df)
 
 
-def principal_axes(tracks: DataFrame, k: int) -> np.ndarray:
-    """First ``k`` principal axes of the z-scored features, as columns.
-
-    The covariance of z-scores is the correlation matrix, which one pass over
-    the table yields; only its 81 values reach the driver. The first weight
-    of an axis that is not near zero is made positive.
-    """
-    place = {name: i for i, name in enumerate(fixed.FEATURES)}
-    table = np.zeros((len(place), len(place)))
-    for row in S.correlations(tracks, fixed.FEATURES).collect():
-        table[place[row["feature_a"]], place[row["feature_b"]]] = row["corr"]
-    values, axes = np.linalg.eigh((table + table.T) / 2)
-    axes = axes[:, np.argsort(values)[::-1][:k]]
-    lead = (np.abs(axes) > 0.01).argmax(0)
-    return axes * np.sign(axes[lead, np.arange(axes.shape[1])])
-
-
 def pca_encode(tracks: DataFrame, k: int = 8) -> DataFrame:
-    """Unit-norm latent vectors and the squared error of their reconstruction.
-
-    Projection and reconstruction are sums of products with constants, which
-    Spark compiles into the scan.
-    """
-    scaled = scaled_tracks(tracks).select("track_id", *fixed.FEATURES)
-    axes = principal_axes(tracks, k)
-    codes = [f"_c{i}" for i in range(k)]
-    coded = scaled.withColumns(dict(zip(codes, V.project(fixed.FEATURES, axes.T.tolist()))))
-    error, square = F.lit(0.0), F.lit(0.0)
-    for name, back in zip(fixed.FEATURES, V.project(codes, axes.tolist())):
-        error = error + (F.col(name) - back) * (F.col(name) - back)
-    for code in codes:
-        square = square + F.col(code) * F.col(code)
-    measured = coded.withColumns({"_length": F.sqrt(square), "mse": error / len(fixed.FEATURES)})
-    length = F.coalesce(F.nullif("_length", F.lit(0.0)), F.lit(1.0))
-    embedding = F.array(*[(F.col(c) / length).cast("float") for c in codes])
-    return measured.select("track_id", embedding.alias("embedding"), "mse")
+    """Unit-norm latent vectors and the squared error of their reconstruction."""
+    return encoder.fit(tracks, k).encode(tracks, "track_id")
 
 
 def reconstruction_mse(encoded: DataFrame) -> DataFrame:
     return encoded.agg(F.count("*").alias("rows"), F.avg("mse").alias("mse"))
 
 
-def encode_batch(tracks: DataFrame, k: int = 8) -> DataFrame:
-    """Encoder inference in Arrow batches with weights loaded once per task."""
-    weights = principal_axes(tracks, k)
-    sent = tracks.sparkSession.sparkContext.broadcast(weights)
-    features = list(fixed.FEATURES)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
-        for batch in batches:
-            code = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]) @ w
-            length = np.linalg.norm(code, axis=1, keepdims=True)
-            code = (code / np.where(length == 0, 1.0, length)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("track_id"), list_array(code)], ["track_id", "embedding"])
-
-    rows = scaled_tracks(tracks).select("track_id", *features)
-    return rows.mapInArrow(encode, "track_id string, embedding array<float>")
+def encode_batch(tracks: DataFrame, folder: str, k: int = 8) -> DataFrame:
+    """Fit an encoder, keep it in ``folder``, and encode the table by what was kept."""
+    encoder.fit(tracks, k).save(tracks.sparkSession, folder)
+    return encoder.load(tracks.sparkSession, folder).encode(tracks, "track_id").select("track_id", "embedding")
 
 
 def zero_shot(images: DataFrame, prompts: DataFrame, scale: float = LOGIT_SCALE) -> DataFrame:
@@ -173,11 +120,12 @@ def first_component(tracks: DataFrame) -> DataFrame:
 
     The sign is chosen so that energy counts upwards.
     """
-    axis = principal_axes(tracks, 1)[:, 0]
+    model = encoder.fit(tracks, 1)
+    axis = np.array(model.axes[0])
     if axis[fixed.FEATURES.index("energy")] < 0:
         axis = -axis
     score = V.project(fixed.FEATURES, [axis.tolist()])[0]
-    return S.minmax_scale(scaled_tracks(tracks).select("track_id", score.alias("gradient")), ["gradient"])
+    return S.minmax_scale(model.scaled(tracks).select("track_id", score.alias("gradient")), ["gradient"])
 
 
 def effective_rank(vectors: DataFrame, share: float = 0.99) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom import fixed
-from songloom.functions.numeric import lookup, zscore
-from songloom.operators import statistics as S
-from songloom.operators.neighbours import knn
+from songloom.functions.numeric import lookup
+from songloom.operators.encoder import Encoder, fit_scaler, nearest
 from songloom.operators.ranking import top_per_key
 from songloom.operators.search import relative_scores
 
@@ -82,25 +81,14 @@ def context_top(tracks: DataFrame, context: str, k: int = 10) -> DataFrame:
     return mood_top(tracks, fixed.CONTEXT_MOODS.get(context.lower(), "happy"), k)
 
 
-def label_search(tracks: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """Tracks nearest to each label profile by cosine of z-scored features.
+def label_search(tracks: DataFrame, k: int = 10, seed: int = 42, encoder: Encoder | None = None) -> DataFrame:
+    """Tracks nearest to each label profile by cosine of their codes.
 
-    ``k`` of the nearest 50 per label are drawn, nearest first.
+    Profiles and tracks are encoded by the same model; without one, codes are
+    the z-scored features. ``k`` of the nearest 50 per label are drawn, nearest
+    first.
     """
-    spark = tracks.sparkSession
-    profiles = spark.createDataFrame(
-        [(name, *values) for name, values in fixed.LABEL_PROFILES.items()],
-        "id string, " + ", ".join(f"`{f}` double" for f in fixed.FEATURES),
-    )
-    stats = S.pinned(S.fit(tracks, fixed.FEATURES, population=False))
-
-    def encoded(df: DataFrame) -> DataFrame:
-        s = F.col("_stats")
-        scaled = [zscore(F.col(f), s.getField(f).getField("mean"), s.getField(f).getField("std")) for f in fixed.FEATURES]
-        return S.attach(df, stats).select("id", F.array(*scaled).alias("embedding"))
-
-    corpus = tracks.withColumnRenamed("track_id", "id")
-    near = knn(encoded(profiles), encoded(corpus), LABEL_POOL, metric="cosine")
+    near = nearest(tracks, "track_id", encoder or fit_scaler(tracks), fixed.LABEL_PROFILES, LABEL_POOL)
     pick = F.md5(F.concat("query_id", F.lit("|"), "neighbour_id", F.lit(f"-{seed}")))
     drawn = top_per_key(near.drop("rank"), ["query_id"], [pick], k, "pick").drop("pick")
     ranked = top_per_key(drawn, ["query_id"], [F.desc("similarity"), F.col("neighbour_id")], k)

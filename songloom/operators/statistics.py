@@ -6,19 +6,13 @@ computes it once, and applying it adds neither a join nor a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from songloom import fixed
 from songloom.functions.numeric import is_missing, zscore
 from songloom.operators.quantiles import exact_quantiles, medians_row, unpivot
 
-PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
 
 def attach(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
     """Add a one-row table to every row as a struct column."""
@@ -159,43 +153,55 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+def column_facts(df: DataFrame, columns: list[str], population: bool = False) -> Row:
+    """Rows in ``_n``, and per column a struct (mean, std, n) over its present values."""
+    spread = F.stddev_pop if population else F.stddev_samp
+
+    def fact(c: str) -> Column:
+        x = F.when(~is_missing(F.col(c).cast("double")), F.col(c).cast("double"))
+        return F.struct(F.avg(x).alias("mean"), spread(x).alias("std"), F.count(x).alias("n")).alias(c)
+
+    return df.agg(F.count("*").alias("_n"), *[fact(c) for c in columns]).first()
+
+
+def correlations(
+    df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None, facts: Row | None = None
+) -> DataFrame:
     """Pearson correlation of column pairs over the rows where both are present.
 
-    Tasks fold their rows to one line of sums per pair with matrix products;
-    only those lines are shuffled.
+    Two aggregates of one row: means and counts, then sums of products around
+    the means. A pair of complete columns needs one product; only where values
+    are missing are sums kept for the pair's own rows. Null where a column has
+    no spread, or no row has both. ``facts`` are those of ``column_facts``, if
+    already at hand.
     """
     pairs = pairs or [(a, b) for a in columns for b in columns]
-    used = [c for c in columns if any(c in p for p in pairs)]
-    x = [used.index(a) for a, _ in pairs]
-    y = [used.index(b) for _, b in pairs]
-    # any point near the data keeps the sums well conditioned
-    centre = df.select(*[F.avg(c).cast("double").alias(c) for c in used]).first()
-    shift = np.array([v if v is not None else 0.0 for v in centre])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            values = batch.to_numpy(dtype=np.float64) - shift
-            there = ~np.isnan(values)
-            values = np.where(there, values, 0.0)
-            there = there.astype(np.float64)
-            sums = np.stack(
-                [there.T @ there, values.T @ there, there.T @ values, (values**2).T @ there, there.T @ values**2, values.T @ values]
-            )
-            total = sums if total is None else total + sums
-        if total is not None:
-            picked = total[:, x, y]
-            yield pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], **dict(zip(PAIR_SUMS, picked))})
-
-    lines = df.select(*[F.col(c).cast("double").alias(c) for c in used]).mapInPandas(
-        fold, "a string, b string, " + ", ".join(f"{s} double" for s in PAIR_SUMS)
-    )
-    total = lines.groupBy(F.col("a").alias("feature_a"), F.col("b").alias("feature_b")).agg(*[F.sum(s).alias(s) for s in PAIR_SUMS])
-    joint = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return total.select("feature_a", "feature_b", F.try_divide(joint, F.sqrt(spread_x * spread_y)).alias("corr"))
+    used = sorted({c for p in pairs for c in p})
+    numbers = df.select(*[F.when(~is_missing(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in used])
+    facts = facts or column_facts(numbers, used)
+    if not facts["_n"]:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    x = numbers.select(*[(F.col(c) - (facts[c]["mean"] or 0.0)).alias(c) for c in used])
+    complete = {c for c in used if facts[c]["n"] == facts["_n"]}
+    wanted: dict[str, Column] = {}
+
+    def total(name: str, value: Column) -> Column:
+        wanted[name] = F.sum(value).alias(name)
+        return F.col(name)
+
+    def measured(a: str, b: str) -> Column:
+        u, v = F.col(a), F.col(b)
+        joint = total(f"{a}*{b}", u * v)
+        if {a, b} <= complete:  # sums around the means of these rows are zero
+            return F.try_divide(joint, F.sqrt(total(f"{a}*{a}", u * u) * total(f"{b}*{b}", v * v)))
+        n = total(f"n {a}*{b}", F.when((u * v).isNotNull(), 1.0))
+        su, sv = total(f"{a} of {a}*{b}", F.when(v.isNotNull(), u)), total(f"{b} of {a}*{b}", F.when(u.isNotNull(), v))
+        suu, svv = total(f"{a}2 of {a}*{b}", F.when(v.isNotNull(), u * u)), total(f"{b}2 of {a}*{b}", F.when(u.isNotNull(), v * v))
+        return F.try_divide(joint - su * sv / n, F.sqrt((suu - su * su / n) * (svv - sv * sv / n)))
+
+    found = {p: measured(*p) for p in sorted({tuple(sorted(p)) for p in pairs})}
+    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), found[tuple(sorted((a, b)))].alias("corr")) for a, b in pairs]
+    return x.agg(*wanted.values()).select(F.inline(F.array(*rows)))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -218,34 +224,6 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
-def kde(df: DataFrame, column: str, points: int) -> DataFrame:
-    """Gaussian density on an even grid, exact over all values.
-
-    The bandwidth is Scott's rule. Tasks add up the parts of their values on
-    every grid point; only one line of sums per task is shuffled.
-    """
-    x = F.col(column).cast("double")
-    values = df.select(x.alias("value")).filter(~is_missing(F.col("value")))
-    facts = values.agg(F.count("value").alias("n"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
-    h = (facts["std"] or 0.0) * facts["n"] ** -0.2 if facts["n"] else 0.0
-    if not h > 0:
-        raise ValueError(f"no spread in {column}")
-    grid = facts["lo"] + np.arange(points) * ((facts["hi"] - facts["lo"]) / (points - 1))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(points)
-        for batch in batches:
-            unique, rows = np.unique(batch["value"].to_numpy(), return_counts=True)
-            for start in range(0, len(unique), 10_000):
-                z = (grid[:, None] - unique[None, start : start + 10_000]) / h
-                total += np.exp(-0.5 * z * z) @ rows[start : start + 10_000]
-        yield pd.DataFrame({"point": np.arange(points), "x": grid, "mass": total})
-
-    lines = values.mapInPandas(fold, "point bigint, x double, mass double")
-    norm = facts["n"] * h * float(np.sqrt(2 * np.pi))
-    return lines.groupBy("point", "x").agg((F.sum("mass") / norm).alias("density"))
-
-
 def density_grid(df: DataFrame, x: str, y: str, size: int) -> DataFrame:
     """Non-empty cells of an even ``size`` by ``size`` grid with log counts."""
     stats = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))

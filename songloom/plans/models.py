@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songloom import fixed
 from songloom.functions import numeric as N
 from songloom.functions import vectors as V
-from songloom.operators import evaluate, learning, moods, ranking
+from songloom.operators import encoder, evaluate, learning, moods, ranking
 from songloom.operators import statistics as S
 from songloom.plans.neighbourhood import LABEL_SEARCH
 from songloom.plans.registry import query
@@ -104,7 +107,32 @@ def pca_encode(t: Tables) -> DataFrame:
 
 @query()
 def encode_batch(t: Tables) -> DataFrame:
-    return learning.encode_batch(catalogue.tracks(t))
+    return learning.encode_batch(catalogue.tracks(t), scratch_path(t.spark, "encoder"))
+
+
+@query(LABEL_SEARCH)
+def label_search_encoded(t: Tables) -> DataFrame:
+    """Label search by a model written and read again; with all axes it must find what z-scores find."""
+    tracks, folder = catalogue.tracks(t), scratch_path(t.spark, "encoder")
+    encoder.fit(tracks, len(fixed.FEATURES)).save(t.spark, folder)
+    found = moods.label_search(tracks, encoder=encoder.load(t.spark, folder))
+    return found.select(F.col("query_id").alias("label"), F.col("neighbour_id").alias("track_id"), "score", "rank")
+
+
+@query(with_(TRACKS) + f"SELECT count(*) AS rows, count(*) AS unit_length, true AS closer_with_axes, true AS whole_with_all, {len(fixed.FEATURES)} AS axes_orthogonal FROM tracks")
+def encoder_properties(t: Tables) -> DataFrame:
+    """What must hold of the codes: length one, errors that fall with each axis to zero, axes at right angles."""
+    tracks = catalogue.tracks(t)
+    whole = encoder.fit(tracks, len(fixed.FEATURES))
+    cut = {k: dataclasses.replace(whole, weights=[w[:k] for w in whole.weights]) for k in (2, 5, 8)}
+    errors = {k: e.encode(tracks, "track_id") for k, e in (cut | {len(fixed.FEATURES): whole}).items()}
+    checks = [F.count("*").alias("rows"), F.count_if(F.abs(V.norm(F.col("embedding")) - 1) < 1e-5).alias("unit_length")]
+    coded = errors[8].agg(*checks)
+    falls = [e.agg(F.avg("mse").alias("mse")).scalar() for e in errors.values()]
+    closer = (falls[0] > falls[1]) & (falls[1] > falls[2]) & (falls[2] > falls[3])
+    angles = np.array(whole.weights).T @ np.array(whole.weights)
+    straight = int((np.abs(angles - np.eye(len(angles))) < 1e-9).all(axis=1).sum())
+    return coded.select("rows", "unit_length", closer.alias("closer_with_axes"), (falls[3] < 1e-12).alias("whole_with_all"), F.lit(straight).alias("axes_orthogonal"))
 
 
 @query()

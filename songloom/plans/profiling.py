@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from songloom import fixed
 from songloom.functions import numeric as N
+from songloom.operators import density
 from songloom.operators import statistics as S
 from songloom.operators.quantiles import exact_quantiles, unpivot
 from songloom.plans.registry import query
@@ -203,7 +204,7 @@ v AS (SELECT popularity AS value, count(*) AS rows FROM tracks GROUP BY 1)
 SELECT g AS point, round(lo + g * step, 6) AS x, round(sum(rows * exp(-0.5::DOUBLE * pow((lo + g * step - value) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density
 FROM range(200) r(g), s, v GROUP BY g, lo, step""")
 def kde_grid(t: Tables) -> DataFrame:
-    curve = S.kde(catalogue.tracks(t), "popularity", 200)
+    curve = density.kde(catalogue.tracks(t), "popularity", 200)
     return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 

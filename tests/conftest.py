@@ -28,11 +28,14 @@ def tables(spark):
 
 @pytest.fixture(scope="session")
 def songs(spark):
-    """Three songs with their features."""
+    """Songs with one name by two artists, a name inside another, a remix, a null artist and null features."""
     rows = [
-        (0, "Shape of You", "Ed Sheeran", "pop", "joy", 0.652, 0.931, 90.0),
-        (1, "Someone Like You", "Adele", "soul", "sadness", 0.33, 0.28, 80.0),
-        (2, "Blinding Lights", "The Weeknd", "synth-pop", "joy", 0.73, 0.334, 95.0),
+        (0, "Harbour Fog", "Nils Ardent", "folk", "joy", 0.55, 0.64, 40.0),
+        (1, "Harbour Fog", "Orla Quay", "jazz", "sadness", 0.21, 0.12, 75.0),
+        (2, "The Harbour Fog Returns (Remix)", "Orla Quay", "electronic", "joy", 0.88, 0.97, 62.0),
+        (3, "Ça ira, Zoë", None, "chanson", "joy", 0.70, 0.60, 62.0),
+        (4, "100% Copper_Wire", "Glass Heron", "rock", "anger", 0.93, 0.05, 51.0),
+        (5, "Untitled", "Glass Heron", "rock", "joy", None, 0.80, 99.0),
     ]
     return spark.createDataFrame(
         rows, "pos bigint, song string, artist string, genre string, emotion string, energy double, valence double, popularity double"

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from songloom import fixed
-from songloom.operators import cache, index, learning, moods, neighbours, prepare, quantiles, ranking, search, triplets, users
+from songloom.operators import cache, density, encoder, index, learning, moods, neighbours, prepare, quantiles, ranking, search, triplets, users
 from songloom.operators import statistics as S
 from songloom.sources import catalogue, readers
 
@@ -283,10 +284,17 @@ def test_empty_index(spark, tmp_path):
 
 
 def test_find_song_cases(spark, songs):
-    asked = [("exact", "someone like you", None), ("artist", "Shape of You", "sheeran"), ("part", "LIGHTS", None), ("other", "Shape of You", "Adele"), ("none", "zzz", None), ("blank", " ", None), ("short", "Y", None)]
+    asked = [
+        ("first of two", "HARBOUR FOG", None), ("by artist", "Harbour Fog", "quay"), ("part", "fog returns", None),
+        ("other artist", "Untitled", "Orla"), ("null artist", "ça IRA, zoë", None), ("null artist asked", "Ça ira, Zoë", "x"),
+        ("no pattern", "0% copper_", None), ("not a wildcard", "c_pper", None), ("none", "qqq", None), ("blank", "\t ", None), ("one letter", "%", None),
+    ]
     requests = spark.createDataFrame(asked, "request_id string, name string, artist string")
-    assert {r.request_id: r.pos for r in search.find_songs(requests, songs).collect()} == {"exact": 1, "artist": 0, "part": 2, "other": 0, "short": 0}
-    assert {r.request_id: r.pos for r in search.find_songs(requests, songs, strict=True).collect()} == {"exact": 1, "artist": 0, "part": 2, "short": 0}
+    lenient = {r.request_id: r.pos for r in search.find_songs(requests, songs).collect()}
+    strict = {r.request_id: r.pos for r in search.find_songs(requests, songs, strict=True).collect()}
+    same = {"first of two": 0, "by artist": 1, "part": 2, "null artist": 3, "no pattern": 4, "one letter": 4}
+    assert strict == same
+    assert lenient == same | {"other artist": 5, "null artist asked": 3}
 
 
 def test_song_search_order(spark):
@@ -301,9 +309,14 @@ def test_song_search_order(spark):
 
 def test_moods(spark, songs):
     tracks = songs.withColumn("track_id", F.col("pos").cast("string"))
-    assert [r.song for r in moods.mood_top(tracks, "happy").collect()] == ["Shape of You"]
-    assert [r.song for r in moods.mood_top(tracks, "unheard").collect()] == ["Shape of You"]
-    assert [r.song for r in moods.context_top(tracks, "driving").collect()] == ["Shape of You"]
+    # both ends of a range count, a null feature fits no rule, and popularity ties go by id
+    happy = [2, 3, 0]
+    assert [r.pos for r in moods.mood_top(tracks, "happy").collect()] == happy
+    assert [r.pos for r in moods.mood_top(tracks, "unheard").collect()] == happy
+    assert [r.pos for r in moods.context_top(tracks, "driving").collect()] == happy
+    assert [r.pos for r in moods.mood_top(tracks, "ANGRY").collect()] == [4]
+    assert [r.pos for r in moods.context_top(tracks, "party").collect()] == [2, 3]
+    assert moods.mood_top(tracks, "calm").count() == 0
     for check, name in ((moods.check_mood, "party"), (moods.check_context, "happy")):
         with pytest.raises(ValueError):
             check(name)
@@ -330,6 +343,9 @@ def test_correlation_with_missing_values(spark):
         for j, y in enumerate("abc"):
             both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
             assert got[x, y] == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
+    flat = S.correlations(df.withColumn("b", F.lit(3.0)), ["a", "b"]).collect()
+    assert {(r.feature_a, r.feature_b) for r in flat if r["corr"] is None} == {("a", "b"), ("b", "a"), ("b", "b")}
+    assert S.correlations(df.limit(0), ["a", "b"]).count() == 0
 
 
 def test_triplets(spark):
@@ -405,16 +421,56 @@ def test_history_limits(spark):
         users.latest(spark.range(1), 201)
 
 
-def test_encoders_agree(spark, tables):
+def test_encoder_artefact(spark, tables, tmp_path):
     tracks = catalogue.tracks(tables)
-    a = learning.pca_encode(tracks).select("track_id", F.col("embedding").alias("a"))
-    b = learning.encode_batch(tracks).select("track_id", F.col("embedding").alias("b"))
-    gaps = a.join(b, "track_id").select(F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x).alias("gap"))
-    assert gaps.agg(F.max("gap")).first()[0] < 1e-5
+    values = tracks.select("track_id", *fixed.FEATURES).orderBy("track_id").toPandas()
+    z = values[fixed.FEATURES].to_numpy()
+    z = (z - z.mean(0)) / (z.std(0, ddof=1) + fixed.EPSILON)
+    _, _, axes = np.linalg.svd(z, full_matrices=False)
+    codes = z @ axes[:8].T
+    codes /= np.linalg.norm(codes, axis=1, keepdims=True)
+    made = learning.encode_batch(tracks, str(tmp_path / "encoder")).orderBy("track_id").toPandas()
+    got = np.stack(made["embedding"].to_numpy())
+    assert (made["track_id"] == values["track_id"]).all()
+    # an axis may point either way
+    assert np.allclose(got @ got[:50].T, codes @ codes[:50].T, atol=1e-4)
+    read = encoder.load(spark, str(tmp_path / "encoder"))
+    assert read == encoder.load(spark, str(tmp_path / "encoder")) and read.features == fixed.FEATURES
+    assert np.allclose(read.codes_of(values[fixed.FEATURES].to_numpy()[7].tolist()), got[7], atol=1e-5)
+    with pytest.raises(AnalysisException):
+        read.save(spark, str(tmp_path / "encoder"))
     # with all nine axes nothing is lost
     assert learning.reconstruction_mse(learning.pca_encode(tracks, 9)).first()["mse"] < 1e-12
 
 
+def test_encoder_odd_rows(spark):
+    rows = [("a", 1.0, 2.0), ("b", 3.0, float("nan")), ("c", None, 1.0), ("d", 2.0, 2.0), ("e", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "id string, x double, y double")
+    model = encoder.fit(df, 2, ["x", "y"])
+    assert {r.id for r in model.encode(df, "id").filter("embedding IS NULL").collect()} == {"b", "c"}
+    scaler = encoder.fit_scaler(df, ["x", "y"])
+    found = encoder.nearest(df, "id", scaler, {"p": [2.0, 2.0], "q": [0.0, 2.0]}, 2).collect()
+    assert {(r.query_id, r["rank"]) for r in found} == {("p", 1), ("p", 2), ("q", 1), ("q", 2)}
+    assert [r.neighbour_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == "p"] == ["d", "e"]
+    assert encoder.nearest(df.limit(0), "id", scaler, {"p": [2.0, 2.0]}, 2).count() == 0
+    assert encoder.nearest(df, "id", scaler, {"p": [2.0, 2.0]}, 9).count() == 3
+
+
+def test_density(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=500), rng.normal(30, 0.1, 80), np.full(60, 4.0), [500.0]])
+    rows = [(float(v),) for v in values] + [(None,), (math.nan,), (math.inf,)]
+    df = spark.createDataFrame(rows, "x double")
+    curve = density.kde(df, "x", 40).orderBy("point").toPandas()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    grid = np.linspace(values.min(), values.max(), 40)
+    exact = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert np.allclose(curve["x"], grid)
+    assert np.abs(curve["density"] - exact).max() < 2e-11 / h
+    with pytest.raises(ValueError):
+        density.kde(df.filter("x = 4"), "x", 40)
+
+
 def test_text_vectors_and_gradient(spark, tables):
     lengths = learning.text_vectors(catalogue.lyrics(tables), "doc_id").select(
         F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("n")
