@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from songloom import fixed
 from songloom.functions import numeric as N
 from songloom.functions import vectors as V
-from songloom.operators import encoder, evaluate, learning, moods, ranking
+from songloom.operators import classifier, encoder, evaluate, learning, moods, ranking
 from songloom.operators import statistics as S
 from songloom.plans.neighbourhood import LABEL_SEARCH
+from songloom.plans.preparation import HALVED, split_sql
 from songloom.plans.registry import query
 from songloom.plans.retrieval import pool_sql
 from songloom.plans.scalars import CLEAN, MOOD_SQL
@@ -156,6 +157,30 @@ def train_classifier(t: Tables) -> DataFrame:
     return evaluate.classification_report(predicted.filter("split <> 'train'"), "label", "predicted")
 
 
+@query(with_(TRACKS, split_sql("tracks", "track_id", *[x.format(f=0.2) for x in HALVED], by="emotion")) + """SELECT emotion, count(*) AS test_rows, count(*) AS predicted_rows,
+  true AS best_of_tried, true AS kept_as_measured, true AS above_majority FROM split WHERE split = 'test' GROUP BY emotion""")
+def classifier_choice(t: Tables) -> DataFrame:
+    """A classifier chosen on the validation part, saved, loaded and applied to the test part.
+
+    The kept one must be the best tried, give the recorded accuracy again when
+    loaded, and beat the most frequent class on the test part.
+    """
+    rows = catalogue.tracks(t).select("track_id", "emotion", *fixed.FEATURES)
+    split = cut_lineage(ranking.exact_split(rows, "track_id", ranking.halved_tail_sizes(0.2), ["emotion"]), "classifier-split")
+    chosen, tried = classifier.choose(split, "emotion")
+    folder = scratch_path(t.spark, "classifier")
+    chosen.save(t.spark, folder)
+    kept = classifier.load(t.spark, folder)
+    again = classifier.accuracy(kept.predict(split.filter("split = 'val'")), "emotion")
+    by_class = kept.predict(split.filter("split = 'test'")).groupBy("emotion").agg(
+        F.count("*").alias("test_rows"), F.count("predicted").alias("predicted_rows"), F.count_if(F.col("predicted") == F.col("emotion")).alias("hits")
+    )
+    above = by_class.agg(F.sum("hits") > F.max("test_rows")).scalar()
+    best = all((c.accuracy or 0.0) <= (chosen.accuracy or 0.0) for c in tried)
+    facts = [F.lit(best).alias("best_of_tried"), F.lit(again == chosen.accuracy).alias("kept_as_measured"), above.alias("above_majority")]
+    return by_class.select("emotion", "test_rows", "predicted_rows", *facts)
+
+
 @query()
 def pc1_gradient(t: Tables) -> DataFrame:
     return learning.first_component(catalogue.tracks(t))
