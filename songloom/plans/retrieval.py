@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from songloom import fixed
 from songloom.functions.text import clean_artist
 from songloom.operators import moods, search
+from songloom.operators.names import NameIndex
 from songloom.plans.registry import query
 from songloom.plans.scalars import MOOD_SQL
 from songloom.plans.twins import SONGS, TRACKS, with_
+from songloom.session import scratch_path
 from songloom.sources import catalogue
 from songloom.sources.readers import Tables
 
@@ -61,6 +63,26 @@ def find_track(t: Tables) -> DataFrame:
     return found.select("request_id", "pos", "is_exact", "song", "artist")
 
 
+def stored_names(t: Tables) -> NameIndex:
+    """An index built of two thirds of the songs, the others appended, and opened again."""
+    folder = scratch_path(t.spark, "name-index")
+    songs = catalogue.songs(t)
+    NameIndex.build(songs.filter("pos % 3 <> 1"), folder).append(songs.filter("pos % 3 = 1"))
+    return NameIndex(t.spark, folder)
+
+
+@query(find_sql(strict=False))
+def find_song_stored(t: Tables) -> DataFrame:
+    """The lookup by stored lists: what ``find_song`` finds."""
+    return stored_names(t).find(requests(t)).join(catalogue.songs(t), "pos").select("request_id", "pos", "is_exact", "song", "artist")
+
+
+@query(find_sql(strict=True))
+def find_track_stored(t: Tables) -> DataFrame:
+    """The strict lookup by stored lists: what ``find_track`` finds."""
+    return stored_names(t).find(requests(t), strict=True).join(catalogue.songs(t), "pos").select("request_id", "pos", "is_exact", "song", "artist")
+
+
 TITLES = """titles AS (SELECT l_orderkey * 8 + l_linenumber AS line, p_partkey AS pos,
   CASE l_linenumber % 4 WHEN 0 THEN p_name || ' (Live)' WHEN 1 THEN p_name || ' Remix' ELSE p_name END AS song,
   '[''' || p_brand || ''']' AS artist, p_type AS genre FROM lineitem JOIN part ON l_partkey = p_partkey)"""
