@@ -9,7 +9,7 @@ from songloom import fixed
 from songloom.functions.numeric import lookup
 from songloom.operators.encoder import Encoder, fit_scaler, nearest
 from songloom.operators.ranking import top_per_key
-from songloom.operators.search import relative_scores
+from songloom.operators.search import check_limit, relative_scores
 
 POOL = 100
 LABEL_POOL = 50
@@ -81,6 +81,15 @@ def context_top(tracks: DataFrame, context: str, k: int = 10) -> DataFrame:
     return mood_top(tracks, fixed.CONTEXT_MOODS.get(context.lower(), "happy"), k)
 
 
+def mood_request(tracks: DataFrame, mood: str, limit: int = 10) -> DataFrame:
+    """``mood_top`` as users ask for it: an unknown mood or a limit out of range is an error."""
+    return mood_top(tracks, check_mood(mood), check_limit(limit, fixed.RESULT_LIMITS))
+
+
+def context_request(tracks: DataFrame, context: str, limit: int = 10) -> DataFrame:
+    return context_top(tracks, check_context(context), check_limit(limit, fixed.RESULT_LIMITS))
+
+
 def label_search(tracks: DataFrame, k: int = 10, seed: int = 42, encoder: Encoder | None = None) -> DataFrame:
     """Tracks nearest to each label profile by cosine of their codes.
 

@@ -84,3 +84,14 @@ def batch_ids_100(t: Tables) -> DataFrame:
         F.max("p_partkey").alias("last_id"),
         F.array_join(F.sort_array(F.collect_list("p_partkey")), ",").alias("listed"),
     )
+
+
+@query("SELECT least(count(*), 700) AS rows, least(count(*), 700) AS ids, 0 AS foreign_rows FROM events")
+def scan_capped(t: Tables) -> DataFrame:
+    """A row cap on a scan of several files: exactly so many rows of the table, none twice."""
+    path = scratch_path(t.spark, "events-capped")
+    t.events.select("event_id", "event_type").repartition(8, "event_id").write.csv(path, header=True)
+    rows = read_csv(t.spark, path, "event_id bigint, event_type string", max_rows=700, multi_line=False)
+    known = t.events.select("event_id", "event_type").withColumn("known", F.lit(1))
+    met = rows.join(known, ["event_id", "event_type"], "left")
+    return met.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.count_if(F.col("known").isNull()).alias("foreign_rows"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songloom.functions import text as X
-from songloom.operators import prepare, ranking
+from songloom.operators import preparation, prepare, ranking
 from songloom.operators import statistics as S
 from songloom.plans.registry import query
 from songloom.plans.twins import LYRICS, RAW, SONGS, TRACKS, with_
+from songloom.session import scratch_path
 from songloom.sources import catalogue
-from songloom.sources.readers import Tables
+from songloom.sources.readers import Tables, read_csv
 
 KEY_SQL = "md5(trim(lower(coalesce(artist, ''))) || '|' || trim(lower(coalesce(lyrics, ''))))"
 
@@ -141,3 +142,56 @@ def pending_encodes(t: Tables) -> DataFrame:
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 250")
 def sample_n(t: Tables) -> DataFrame:
     return ranking.sample_exact(t.documents.select("doc_id"), "doc_id", 250)
+
+
+PREPARED_FEATURES = ["energy", "danceability", "valence", "tempo", "acousticness"]
+PREPARED = with_(TRACKS) + """, src AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS track_id,
+    p_name AS song, l_quantity / 100 AS energy, nullif(l_tax, 0) AS danceability, nullif(l_discount, 0) AS valence, l_extendedprice AS tempo FROM lineitem JOIN part ON l_partkey = p_partkey),
+first AS (SELECT lower(p_name) AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size / 50 END AS d, p_size / 100 AS a FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1),
+rich AS (SELECT track_id, energy, coalesce(danceability, d) AS danceability, valence, tempo, a AS acousticness FROM src LEFT JOIN first ON lower(song) = name),
+whole AS (SELECT r.track_id, CASE WHEN t.emotion = 'fear' THEN 'neutral' ELSE t.emotion END AS emotion, r.energy, coalesce(r.danceability, (SELECT quantile_cont(danceability, 0.5) FROM rich)) AS danceability,
+  coalesce(r.valence, (SELECT quantile_cont(valence, 0.5) FROM rich)) AS valence, r.tempo, r.acousticness FROM rich r JOIN tracks t USING (track_id)),
+""" + split_sql("whole", "track_id", *[x.format(f=0.2) for x in HALVED], by="emotion")
+
+
+def prepared_folder(t: Tables) -> str:
+    """Two raw sources of other names, units and formats, prepared and written."""
+    tracks = t.spread("lineitem", "l_orderkey").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    emotion = catalogue.emotion_by_number(F.col("l_linenumber"))
+    mood = F.when(emotion != "fear", emotion)
+    tax, discount = F.nullif("l_tax", F.lit(0.0)), F.nullif("l_discount", F.lit(0.0))
+    raw = {
+        "first": (F.col("l_linenumber") <= 4, [catalogue.track_id().alias("track_id"), F.col("p_name").alias("song"), F.col("s_name").alias("Artist(s)"), mood.alias("emotion"),
+                  F.col("l_quantity").alias("Energy"), tax.alias("Danceability"), discount.alias("Positiveness"), F.col("l_extendedprice").alias("Tempo")]),
+        "second": (F.col("l_linenumber") >= 3, [catalogue.track_id().alias("track_id"), F.col("p_name").alias("name"), F.col("s_name").alias("artists"), mood.alias("emotion"),
+                   (F.col("l_quantity") / 100).alias("energy"), tax.alias("danceability"), discount.alias("valence"), F.col("l_extendedprice").alias("tempo"), F.lit("x").alias("only_here")]),
+    }
+    folder, sources = scratch_path(t.spark, "prepared"), {}
+    for place, (rows, columns) in raw.items():
+        path = f"{folder}/raw-{place}"
+        chosen = tracks.filter(rows).select(*columns)
+        chosen.write.csv(path, header=True)
+        # as collected: every field is text
+        sources[place] = read_csv(t.spark, path, ", ".join(f"`{c}` string" for c in chosen.columns), multi_line=False)
+    lookup = t.part.select(F.col("p_name").alias("song"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") / 50).alias("danceability"), (F.col("p_size") / 100).alias("acousticness"))
+    required = ["track_id", "song", "artist", "emotion", "energy", "danceability", "valence", "tempo"]
+    done = preparation.prepared(
+        sources["first"], sources["second"], lookup, F.col("track_id"), F.lower("song"), "p_partkey", "track_id", PREPARED_FEATURES, required
+    )
+    preparation.write(done.select("track_id", "emotion", *PREPARED_FEATURES, "split"), folder, PREPARED_FEATURES)
+    return folder
+
+
+@query(PREPARED + " SELECT w.*, split FROM whole w JOIN split USING (track_id)")
+def prepared_catalogue(t: Tables) -> DataFrame:
+    """Load, harmonise, merge, enrich, impute, split, write; then the written parts."""
+    schema = "track_id string, emotion string, " + ", ".join(f"{f} double" for f in PREPARED_FEATURES)
+    return preparation.written(t.spark, prepared_folder(t), schema)
+
+
+@query(PREPARED + ", train AS (SELECT whole.* FROM whole JOIN split USING (track_id) WHERE split = 'train') " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS std, min({f}) AS min, max({f}) AS max FROM train" for f in PREPARED_FEATURES))
+def prepared_statistics(t: Tables) -> DataFrame:
+    """The training part's statistics that the same job wrote."""
+    rows = preparation.written_statistics(t.spark, prepared_folder(t))
+    return rows.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})

@@ -158,6 +158,15 @@ def by_mood(t: Tables) -> DataFrame:
     return moods.mood_top(catalogue.tracks(t), "Energetic").select("mood", *SHOWN)
 
 
+@query(with_(TRACKS) + "SELECT * FROM (" + with_("dummy AS (SELECT 1)") + pool_sql(f"SELECT 'calm' AS mood, * FROM tracks WHERE {MOOD_SQL['calm']}", "mood")
+       + ") UNION ALL SELECT * FROM (" + with_("dummy AS (SELECT 1)") + pool_sql(f"SELECT '{fixed.CONTEXT_MOODS['driving']}' AS mood, * FROM tracks WHERE {MOOD_SQL[fixed.CONTEXT_MOODS['driving']]}", "mood") + ")")
+def checked_requests(t: Tables) -> DataFrame:
+    """A mood and a context as users ask for them, after the checks of name and limit."""
+    tracks = catalogue.tracks(t)
+    found = moods.mood_request(tracks, "Calm", 10).unionByName(moods.context_request(tracks, "driving", 10))
+    return found.select("mood", *SHOWN)
+
+
 @query(with_(TRACKS) + """SELECT track_id, round(abs(energy - 0.8::DOUBLE) + abs(valence - 0.6::DOUBLE), 9) AS gap FROM tracks
 WHERE genre IN ('ECONOMY', 'SMALL') AND danceability >= 0.25 AND tempo <= 60000
 ORDER BY abs(energy - 0.8::DOUBLE) + abs(valence - 0.6::DOUBLE), track_id LIMIT 20""")
