@@ -2,9 +2,11 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 
@@ -18,6 +20,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from songloom.llm import byte_bpe, packing, simhash, suffix_tree
+from songloom.llm.common import cut_lineage, parts_of
 from tests.llm import cases
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -172,20 +175,114 @@ def test_suffix_tree(spark):
 
 
 def test_tree_distributions_add_up_and_learn_contexts():
-    counts = np.zeros((suffix_tree.K,) * 3, dtype=np.int64)
-    counts[1, 2, 3], counts[4, 2, 5], counts[7, 8, 9] = 500, 500, 3
-    p = 10 ** suffix_tree.tree_logs(counts)
-    assert np.allclose(p.sum(axis=2), 1)
-    assert p[1, 2, 3] > 0.9 and p[4, 2, 5] > 0.9  # two classes back decide
-    assert abs(p[6, 2, 3] - p[6, 2, 5]) < 1e-9 and p[6, 2, 3] > 0.4  # unseen: the shorter context
-    assert np.allclose(p[7, 8], p[0, 0])  # too rare: the empty context
+    counts = np.zeros((suffix_tree.K,) * 2, dtype=np.int64)
+    counts[2, 3], counts[4, 5], counts[8, 9] = 500, 500, 3
+    p = 10 ** suffix_tree.short_contexts(counts, 50, 8.0, 20.0)[0]
+    assert np.allclose(p.sum(axis=1), 1)
+    assert p[2, 3] > 0.9 and p[4, 5] > 0.9
+    assert np.allclose(p[8], p[0])  # too rare: the empty context
 
 
-def test_held_out_texts_score_better_than_by_counts(spark):
+def plain_tree_scores(rows, share, min_count=2, divergence=2.0, prior=50.0, depth=4):
+    """Scores by a plain suffix tree over the same symbols; contexts above ``share`` are common. Also the contexts of each length kept."""
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count = collections.Counter(w for i, t in rows if not held(i) for w in words_of(t))
+    alone = {w: i for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[: suffix_tree.TOP])}
+    symbol = lambda w: alone.get(w, suffix_tree.TOP + zlib.crc32(w[-2:].encode()) % suffix_tree.ENDINGS)
+    tokens, kinds = collections.Counter(), collections.Counter()
+    for w, n in count.items():
+        if w not in alone:
+            tokens[symbol(w)] += n
+            kinds[symbol(w)] += 1
+    following = collections.defaultdict(collections.Counter)
+    series = lambda t: [symbol(w) for w in words_of(t)] + [suffix_tree.END]
+    for i, t in rows:
+        if not held(i):
+            seq = [suffix_tree.END] * depth + series(t)
+            for at in range(depth, len(seq)):
+                for d in range(depth + 1):
+                    following[d, tuple(seq[at - d : at])][seq[at]] += 1
+
+    @functools.cache
+    def p(context, nxt):
+        c = following.get((len(context), context), {})
+        if not context:
+            return (c.get(nxt, 0) + 1) / (sum(c.values()) + suffix_tree.K) if c else 1 / suffix_tree.K
+        return (c.get(nxt, 0) + prior * p(context[1:], nxt)) / (sum(c.values()) + prior)
+
+    def passes(context):
+        c = following.get((len(context), context), {})
+        n = sum(c.values())
+        return n >= min_count and sum(x * math.log(x / n / p(context[1:], nxt)) for nxt, x in c.items()) >= divergence
+
+    kept = {c for d, c in following if d >= 1 and (passes(c) or 2 <= d < depth and sum(following[d, c].values()) > share)}
+    out = []
+    for _, t in rows:
+        seq, total = [suffix_tree.END] * depth + series(t), 0.0
+        for at in range(depth, len(seq)):
+            context = next((tuple(seq[at - d : at]) for d in range(depth, 0, -1) if tuple(seq[at - d : at]) in kept), ())
+            total += math.log10(p(context, seq[at]))
+        for w in words_of(t):
+            if w not in alone:
+                total += math.log10((count[w] + 1) / (tokens[symbol(w)] + kinds[symbol(w)] + 1))
+        out.append((total, len(seq) - depth))
+    return out, collections.Counter(map(len, kept)), following
+
+
+def tree_fixture():
+    """Sentences of a small grammar, so that long contexts tell, and one passage that holds a third of all tokens."""
+    rng = random.Random(2)
+    names = [f"w{i}{'abcdefgh'[i % 8]}" for i in range(150)]
+    paths = [[rng.choice(names) for _ in range(8)] for _ in range(12)]
+    texts = []
+    for _ in range(220):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            path = rng.choice(paths)
+            words += path if rng.random() < 0.8 else [*path[:4], rng.choice(names), *path[5:]]
+        texts.append(" ".join(words))
+    texts += ["tick " * 1400, "tick " * 1400, "so tick " + "tick " * 1400, None, "", "  ", "Tick"]
+    return [(i, t) for i, t in enumerate(texts)] + [(None, "tick tock"), (5, texts[5])]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_scores_are_those_of_a_plain_suffix_tree(spark, parts):
+    rows = tree_fixture()
+    table = cut_lineage(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), "tree-test")
+    buckets = parts_of(table)
+    tokens = sum(len((t or "").split()) + 1 for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2)
+    expected, kept, following = plain_tree_scores(rows, max(tokens // buckets, 2))
+    assert all(kept[d] for d in range(1, 5))
+    assert any(sum(c.values()) > tokens // buckets for (d, _), c in following.items() if d == 3)  # a common context of three
+    found = suffix_tree.score(table).collect()
+    assert len(found) == len(rows)
+    told = collections.defaultdict(list)
+    for r in found:
+        told[r.doc_id].append(r.score)
+    for (i, t), (score, n) in sorted(zip(rows, expected), key=lambda x: x[1][0]):
+        near = min(told[i], key=lambda x: abs(x - score))
+        assert abs(near - score) <= n * 0.6 / suffix_tree.STEPS + 1e-6, (i, t, near, score)
+        told[i].remove(near)
+
+
+def test_held_out_texts_score_better_than_by_counts_and_pairs(spark):
+    """Better than word counts, and than word pairs smoothed by them."""
     from songloom.llm.common import read_table
 
-    rows = [r for r in suffix_tree.score(read_table(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [r for r in suffix_tree.score(docs).collect() if r.held_out]
+    held = {r.doc_id for r in rows}
+    words = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower()), None] for r in docs.select("doc_id", "text").collect()}
+    count, pairs = collections.Counter(), collections.Counter()
+    for i, ws in words.items():
+        if i not in held:
+            count.update(ws)
+            pairs.update(zip([None, *ws], ws))
+    n, v = sum(count.values()), len(count)
+    by_pairs = sum(math.log10((pairs[a, w] + 5 * (count[w] + 1) / (n + v + 1)) / (count[a] + 5)) for i in held for a, w in zip([None, *words[i]], words[i]))
+    score, base = sum(r.score for r in rows), sum(r.base_score for r in rows)
+    assert score > by_pairs > base
 
 
 def test_digests(spark):
