@@ -89,22 +89,28 @@ def build(counts: dict[str, np.ndarray], centroids: int = 4, quantile: float = 0
 
 
 def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 2400, centroids: int = 4) -> Model:
-    """A model of the usable rows. At most ``sample`` rows are taken, and at most a fiftieth of them as languages."""
+    """A model of the usable rows. Every language is learnt and gets the same share of ``sample`` rows, eight at least.
+
+    So at most ``sample`` rows are taken, or eight a language if that is more.
+    The distinct labels, and a few centroids of each, are held by the driver.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), usable.alias("ok")).filter("ok and lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 50).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not sizes:
         return build({})
+    sample = max(sample, 8 * len(sizes))
     share = sample / len(sizes)
-    chance = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 0.9 * share / n))) for lang, n in sizes.items()], F.lit(0.0))
+    chances = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 0.9 * share / n)))])
+    chance = F.try_element_at(chances, F.col("lang"))
 
     @F.pandas_udf("binary")
     def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.minimum(gram_counts(t), 65535).astype(np.uint16).tobytes() for t in texts])
+        return pd.Series([gram_counts(t).astype(np.uint32).tobytes() for t in texts])
 
     drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < chance * 1_000_000
     got: dict[str, list] = {}
     for r in rows.filter(drawn).limit(sample).select("lang", counted("text").alias("c")).collect():  # bounded by sample
-        got.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["c"]), dtype=np.uint16))
+        got.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["c"]), dtype=np.uint32))
     return build({lang: np.array(c, dtype=np.float32) for lang, c in got.items()}, centroids)
 
 

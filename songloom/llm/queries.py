@@ -16,7 +16,8 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     model = language.fit(docs, F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
     found = language.identify(docs, model)
-    return found.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,4 +90,4 @@ def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language, op2_packing, op3_simhash, op4_suffix_tree, op5_byte_bpe, op6_secrets, op7_personal, op8_topk, op9_quality, op10_permutation, op11_hard_negatives, op12_ngram_join, op13_manifest)
 }
-ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_ngram_join": oracle.NGRAM_JOIN, "op13_manifest": oracle.manifest_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_topk": oracle.TOP_K, "op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_ngram_join": oracle.NGRAM_JOIN, "op13_manifest": oracle.manifest_sql()}

@@ -1,5 +1,7 @@
 """Classifiers by held-out accuracy, searches by brute force, and the pipeline."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from songloom.llm import language, packing, permutation, quality, queries, simhash, topk
 from songloom.llm.common import crc_mod, read_table
+from songloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import cases
+from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -192,3 +196,27 @@ def test_held_out_rule(spark):
 
     got = [r[0] for r in spark.range(20).select(crc_mod("id", 3)).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 3 for i in range(20)]
+
+
+def test_every_language_is_learnt_however_many(spark):
+    """Seventy languages of ten texts each beside one of two thousand: none is left out, each gets its share."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{n:02}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for n in range(70)}
+    rows = [(lang, " ".join(rng.choice(ws) for _ in range(30))) for lang, ws in words.items() for _ in range(2000 if lang == "l00" else 10)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language.fit(docs, F.lit(True), sample=400)
+    assert model.languages == sorted(words)
+    asked = spark.createDataFrame([(n, " ".join(ws), lang) for n, (lang, ws) in enumerate(words.items())], "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()}
+    assert [found[n] for n in range(70)] == list(words)
+
+
+def test_language_query_has_its_columns_in_order(spark):
+    assert QUERIES["op1_language"](spark, "/root/testdata/sf0.001").columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    _, differences = compare(QUERIES[name](spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), ORACLE_SQL[name])
+    assert differences == []
