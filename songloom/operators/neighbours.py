@@ -2,19 +2,22 @@
 
 A small query set is sent to every task as one matrix. Each task keeps the
 best k per query over all its batches, so at most k rows per query and task
-are shuffled. A larger query set is met cell by cell: vectors are grouped by
-their nearest pivot, and a query visits a cell only when the triangle
-inequality cannot rule the cell out. Large cells are cut into blocks, so no
-task holds more than one block of each side.
+are shuffled. A larger query set is dealt into blocks, as is the corpus, and
+every pair of blocks is one group. A row is sent once for each block of the
+other side; the blocks are as many as the cluster keeps busy, more only where
+they would outgrow a task. The approximate search groups vectors by their
+nearest pivot, and a query visits the nearest cells.
 
 Matrix products only pick candidates, on data moved near the origin and with
 the rounding error that its lengths allow; the distances of candidates are then
-summed from differences. So results do not depend on where the data lies.
+summed from differences. So results do not depend on where the data lies. A
+product covers a piece of the corpus at a time; the k-th distance found so far
+is the limit for the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +30,14 @@ from songloom.operators.ranking import top_per_key
 from songloom.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
-QUERY_ROWS = 1024  # query rows multiplied at a time
+QUERY_ROWS = 512  # query rows multiplied at a time
+CORPUS_ROWS = 4096  # corpus rows multiplied at a time
 PIVOTS = (64, 1024)  # least and most; in between the root of the corpus size
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 100_000  # most rows of a block, in as many bytes as below
+BLOCK_BYTES = 64 << 20
+FULL_ROWS = 1000  # blocks are not made smaller to keep more cores busy
+MANY = 64  # candidates, as a multiple of k, beyond which a product is made in double precision
+TINY = 1e-30  # what single precision takes for nothing, where the longest row has length one
 PAIRS = 100_000  # candidate pairs measured at a time
 RESULT_BYTES = 48
 RESULT = "query_id {q}, neighbour_id {c}, distance double"
@@ -79,34 +87,95 @@ def best_k(rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def without_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows with at most the k least ids of equal vectors, as ties go to the least id."""
+    """The rows by id, with at most the k least ids of equal vectors, as ties go to the least id."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], np.ascontiguousarray(rows[order])
     whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
     _, same = np.unique(whole, return_inverse=True)
     by_value = np.argsort(same, kind="stable")
     grouped = same[by_value]
-    keep = by_value[np.arange(len(ids)) - np.searchsorted(grouped, grouped, side="left") < k]
+    keep = np.sort(by_value[np.arange(len(ids)) - np.searchsorted(grouped, grouped, side="left") < k])
     return ids[keep], rows[keep]
 
 
 def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, known: np.ndarray | None = None) -> pd.DataFrame:
     """Best k corpus rows for each query of one block pair; none that are farther than a known k-th distance."""
     c_ids, c = without_copies(c_ids, c, k)
-    centre = c.mean(axis=0)
+    screen = Screen(c)
     found = []
     for start in range(0, len(q), QUERY_ROWS):
-        part = q[start : start + QUERY_ROWS]
-        least, most = distance_bounds(part, c, centre)
-        limit = np.partition(most, k - 1, axis=1)[:, k - 1] if most.shape[1] > k else np.full(len(part), np.inf)
-        if known is not None:
-            limit = np.minimum(limit, known[start : start + QUERY_ROWS])
-        i, j = np.nonzero(least <= limit[:, None])
-        rows = pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": c_ids[j], "distance": measured(part, c, i, j)})
-        found.append(best_k(rows, k))
+        part = slice(start, start + QUERY_ROWS)
+        i, j, d = nearest_rows(q[part], screen, k, np.full(len(q[part]), np.inf) if known is None else known[part].copy())
+        found.append(pd.DataFrame({"query_id": q_ids[start + i], "neighbour_id": c_ids[j], "distance": d}))
     return pd.concat(found, ignore_index=True)
 
 
+class Screen:
+    """Corpus rows ready for matrix products, moved to their mean and scaled so that the longest has length one."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.centre = rows, rows.mean(axis=0)
+        moved = rows - self.centre
+        self.scale = np.sqrt((moved * moved).sum(1).max()) or 1.0
+        self.moved = moved / self.scale
+        self.lengths = (self.moved * self.moved).sum(1)
+        self.sides: dict[type, np.ndarray] = {}
+        self.buffers: dict[type, np.ndarray] = {}
+
+    def error(self, kind: type) -> float:
+        """Rounding error of a squared distance, as a share of the two squared lengths."""
+        return 8 * (self.rows.shape[1] + 8) * float(np.finfo(kind).eps)
+
+    def least(self, left: np.ndarray, start: int) -> np.ndarray:
+        """Least possible squared distances to a piece of the rows, less what the query alone adds; kept until the next call."""
+        kind = left.dtype.type
+        if kind not in self.sides:
+            self.sides[kind] = np.ascontiguousarray(np.column_stack([self.moved, self.lengths * (1 - self.error(kind))]).T.astype(kind))
+            self.buffers[kind] = np.empty(QUERY_ROWS * CORPUS_ROWS, kind)
+        piece = self.sides[kind][:, start : start + CORPUS_ROWS]
+        return np.matmul(left, piece, out=self.buffers[kind][: len(left) * piece.shape[1]].reshape(len(left), -1))
+
+
+def nearest_rows(q: np.ndarray, screen: Screen, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of the k nearest rows j of each q[i] within its limit, with their squared distances; ties to the smaller j.
+
+    Products are of single precision first, and of double where that leaves too many candidates.
+    """
+    a = (q - screen.centre) / screen.scale
+    own = (a * a).sum(1)
+    left = np.column_stack([-2.0 * a, np.ones(len(a))])
+    # beyond what a precision can hold it rules nothing out
+    kinds = [kind for kind, most in ((np.float32, 1e30), (np.float64, 1e300)) if own.max() < most]
+    area = screen.scale**2
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for start in range(0, len(screen.rows), CORPUS_ROWS):
+        width = min(CORPUS_ROWS, len(screen.rows) - start)
+        near = np.arange(0 if kinds else len(q) * width)
+        for kind in kinds:
+            error = screen.error(kind)
+            least = screen.least(left.astype(kind), start)
+            scaled = limit / area
+            if width > k and np.isinf(limit).any():
+                most = least + (screen.lengths[start : start + CORPUS_ROWS] * (2 * error)).astype(kind)
+                edge = np.partition(most, k - 1, axis=1)[:, k - 1]
+                scaled = np.minimum(scaled, np.maximum(edge + own * (1 + error), 0.0) + TINY)
+            near = np.flatnonzero(least <= (scaled - own * (1 - error) + TINY).astype(kind)[:, None])
+            if len(near) <= MANY * k * len(q):
+                break
+        if not len(near):
+            continue
+        i, j = np.divmod(near, width)
+        j += start
+        i, j, d = (np.concatenate(x) for x in zip(best, (i, j, measured(q, screen.rows, i, j))))
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        limit[i[place == k - 1]] = np.minimum(limit[i[place == k - 1]], d[place == k - 1])
+        best = tuple(x[place < k] for x in (i, j, d))
+    inside = best[2] <= limit[best[0]]
+    return tuple(x[inside] for x in best)
+
+
 def kth_distances(best: pd.DataFrame, q_ids: np.ndarray, k: int) -> np.ndarray:
     """The k-th distance found so far for each query; infinite while there are fewer."""
     last = best.groupby("query_id")["distance"].agg(["size", "max"])
@@ -145,7 +214,7 @@ def knn(
     if size["n"] * ((size["dim"] or 0) * 8 + k * RESULT_BYTES) <= broadcast_bytes:
         found = _scan_all(queries, corpus, k, unit)
     else:
-        found = _scan_cells(queries, corpus, k, unit)
+        found = _scan_blocks(queries, corpus, k, unit, size["n"])
     ranked = _ranked(found, k)
     if metric == "cosine":
         return ranked.select(
@@ -160,7 +229,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, probes: int = 8) -
     The share of cells is fixed, so recall does not fall as their number grows with the corpus.
     """
     queries, corpus = usable(queries, corpus)
-    found = _scan_cells(queries, corpus, k, False, probes)
+    found = _scan_cells(queries, corpus, k, probes)
     return _ranked(found, k)
 
 
@@ -195,62 +264,73 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> Data
     return corpus.mapInArrow(scan, _result_schema(queries, corpus))
 
 
-def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probes: int | None = None) -> DataFrame:
-    """Join queries with the blocks of those cells that can hold neighbours."""
+def _scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, n_queries: int) -> DataFrame:
+    """Every block of queries with every block of the corpus, each pair in one group."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    size = corpus.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (size["dim"] or 1))))
+
+    def blocks(rows: int) -> int:
+        return max(1, -(-rows // most), min(rows // FULL_ROWS, int(np.ceil((4 * cores) ** 0.5))))
+
+    q_blocks, c_blocks = blocks(n_queries), blocks(size["n"])
+
+    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        # by the vector too, so that rows of one id can be dealt out
+        placed = rows.withColumn(own, F.pmod(F.xxhash64("id", "embedding"), F.lit(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    left = dealt(queries, "q_block", q_blocks, "c_block", c_blocks)
+    right = dealt(corpus, "c_block", c_blocks, "q_block", q_blocks)
+    keys = ["q_block", "c_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pair(k, unit), _result_schema(queries, corpus))
+
+
+def _pair(k: int, unit: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best of one group of queries and corpus rows."""
+
+    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
+        if q.num_rows and c.num_rows:
+            best = block_best(ids_of(q["id"]), matrix(q["embedding"], unit), ids_of(c["id"]), matrix(c["embedding"], unit), k)
+            return pa.Table.from_pandas(best, preserve_index=False)
+        return pa.table({"query_id": q["id"].slice(0, 0), "neighbour_id": c["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
+
+    return pair
+
+
+def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, probes: int) -> DataFrame:
+    """Join queries with the blocks of the cells nearest to them."""
     spark = corpus.sparkSession
     number = int(min(max(PIVOTS[0], corpus.count() ** 0.5), PIVOTS[1]))
     some = corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(number).toArrow()
-    pivots = matrix(some["embedding"], unit)
+    pivots = matrix(some["embedding"])
     sent_pivots = spark.sparkContext.broadcast(pivots)
     id_type = corpus.schema["id"].dataType.simpleString()
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = matrix(batch.column("embedding"), unit)
+                rows = matrix(batch.column("embedding"))
                 _, most = distance_bounds(rows, sent_pivots.value, sent_pivots.value.mean(axis=0))
-                cell = most.argmin(1).astype(np.int32)
-                near = np.sqrt(most[np.arange(len(most)), cell])  # never too small
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), list_array(rows), pa.array(cell), pa.array(near)],
-                    ["id", "embedding", "cell", "to_pivot"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(rows), pa.array(most.argmin(1).astype(np.int32))], ["id", "embedding", "cell"])
 
     # kept once: the cells are read for their sizes and again for the join
-    celled = cut_lineage(
-        corpus.mapInArrow(to_cells, f"id {id_type}, embedding array<double>, cell int, to_pivot double")
-    )
-    # one row per pivot, each with k distances
-    nearest = top_per_key(celled.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k)
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("rows"), F.max("to_pivot").alias("radius"))
-    facts = (
-        sizes.join(nearest.groupBy("cell").agg(F.sort_array(F.collect_list("to_pivot")).alias("near")), "cell")
-        .orderBy("cell")
-        .toPandas()
-    )
+    celled = cut_lineage(corpus.mapInArrow(to_cells, f"id {id_type}, embedding array<double>, cell int"))
+    facts = celled.groupBy("cell").agg(F.count("*").alias("rows")).orderBy("cell").toPandas()  # one row per pivot
     cells = facts["cell"].to_numpy()
-    radius = facts["radius"].to_numpy()
-    near = [np.asarray(x, dtype=np.float64) for x in facts["near"]]
     blocks = np.maximum(1, -(-facts["rows"].to_numpy() // BLOCK_ROWS))
-    sent = spark.sparkContext.broadcast((pivots[cells], cells, radius, near, blocks))
+    sent = spark.sparkContext.broadcast((pivots[cells], cells, blocks))
 
     q_type = queries.schema["id"].dataType.simpleString()
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, names, reach, close, n_blocks = sent.value
+        centres, names, n_blocks = sent.value
         for batch in batches if len(centres) else ():
             for start in range(0, batch.num_rows, QUERY_ROWS):
                 piece = batch.slice(start, QUERY_ROWS)
-                rows = matrix(piece.column("embedding"), unit)
-                least, most = (np.sqrt(x) for x in distance_bounds(rows, centres, pivots.mean(axis=0)))
-                if probes is None:
-                    # k vectors lie within this distance, so nothing beyond it matters
-                    upper = np.concatenate([most[:, [i]] + c[None, :] for i, c in enumerate(close)], axis=1)
-                    bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(rows), np.inf)
-                    visit = least <= (reach[None, :] + bound[:, None]) * (1 + 1e-12)
-                else:
-                    visit = most.argsort(1).argsort(1) < -(-len(centres) * probes // PIVOTS[0])
-                i, j = np.nonzero(visit)
+                rows = matrix(piece.column("embedding"))
+                _, most = distance_bounds(rows, centres, pivots.mean(axis=0))
+                i, j = np.nonzero(most.argsort(1).argsort(1) < -(-len(centres) * probes // PIVOTS[0]))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id").take(pa.array(i)), list_array(rows[i]), pa.array(names[j].astype(np.int32)), pa.array(n_blocks[j].astype(np.int32))],
                     ["id", "embedding", "cell", "n_blocks"],
@@ -286,16 +366,8 @@ def _scan_cells(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, probe
         .withColumn("q_block", other_blocks("q_blocks"))
         .select("cell", "q_block", "c_block", "id", "embedding")
     )
-    schema = _result_schema(queries, corpus)
-
-    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows and c.num_rows:
-            best = block_best(ids_of(q["id"]), matrix(q["embedding"]), ids_of(c["id"]), matrix(c["embedding"]), k)
-            return pa.Table.from_pandas(best, preserve_index=False)
-        return pa.table({"query_id": q["id"].slice(0, 0), "neighbour_id": c["id"].slice(0, 0), "distance": pa.array([], pa.float64())})
-
     keys = ["cell", "q_block", "c_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pair(k, False), _result_schema(queries, corpus))
 
 
 def recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -534,3 +535,36 @@ def test_similar_songs_by_name(spark):
     assert by == {"a": {2, 4}, "b": {2, 4}, "c": {3, 5}, "d": set(), "e": set(), "f": set()}
     tracks = search.similar_tracks_by_name(asked.filter("request_id < 'c'"), songs, vectors, 3).collect()
     assert {r.request_id for r in tracks} == {"a", "b"} and all(r.query_id == 3 != r.neighbour_id for r in tracks)
+
+
+def test_knn_sends_a_row_once_for_each_block(spark, monkeypatch):
+    """Vectors without structure: a row is copied for the blocks of the other side, not for every cell that could hold a neighbour."""
+    def counted(k, unit):
+        return lambda q, c: pa.table({"query_id": pa.array([q.num_rows]), "neighbour_id": pa.array([c.num_rows]), "distance": pa.array([0.0])})
+
+    monkeypatch.setattr(neighbours, "FULL_ROWS", 100)
+    monkeypatch.setattr(neighbours, "_pair", counted)
+    rows = np.random.default_rng(4).normal(size=(2000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id bigint, embedding array<double>")
+    sent = neighbours.knn(frame, frame, 5, broadcast_bytes=0).collect()
+    # four cores: the root of sixteen blocks on a side
+    assert sum(r.query_id for r in sent) + sum(r.neighbour_id for r in sent) <= 2 * 4 * len(rows)
+
+
+def test_block_search_in_both_precisions(monkeypatch):
+    """Pieces smaller than a block, ties, copies, tight clusters far from the mean, and vectors too long for single precision."""
+    monkeypatch.setattr(neighbours, "CORPUS_ROWS", 16)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(6)
+    for case in range(12):
+        c = (-3e8, 0.0, 1e5)[case % 3] + rng.normal(size=(90, 7)).round(case % 4)
+        c[60:70] = c[3]
+        if case % 4 == 0:
+            c[1:] = c[0] + 1e-6 * rng.normal(size=(89, 7))
+        if case % 5 == 0:
+            c[7] = 1e40
+        q = np.concatenate([c[::9], c[:9] + 0.5, np.full((1, 7), 1e60)])
+        got = neighbours.block_best(np.arange(len(q)), q, np.arange(90), c, 5)
+        for i in range(len(q)):
+            nearest = np.lexsort((np.arange(90), ((q[i] - c) ** 2).sum(1)))[:5]
+            assert got[got.query_id == i].sort_values(["distance", "neighbour_id"]).neighbour_id.tolist() == nearest.tolist()
