@@ -57,7 +57,9 @@ def arriving(t: Tables, parts: int = ARRIVALS) -> tuple[str, DataFrame]:
     events = t.events.withColumn("part", part)
     for i in range(parts + 2):
         events.filter(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
-    return folder, t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+    # a batch takes three arrivals; each has as many files as the table has splits
+    files = 3 * max(1, t.events.rdd.getNumPartitions())
+    return folder, t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 class Arrivals(StreamTables):

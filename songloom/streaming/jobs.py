@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -29,6 +30,8 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 TIMERS_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+BUCKETS = 256  # states that the keys of a cache share
+
 
 def run_to_table(stream: DataFrame, path: str, state_store: str | None = None) -> DataFrame:
     """Process what is there, appending to a Parquet table; then read it.
@@ -71,61 +74,108 @@ def request_stream(requests: DataFrame) -> DataFrame:
 
 
 class CacheReplay(StatefulProcessor):
-    """The cache of one key in event time.
+    """The caches of the keys of one bucket in event time.
 
-    Lookups wait in a list until the watermark has passed them, so that none can still arrive before them; then they
-    are replayed in time order. Of a replayed lookup nothing is kept but the expiry of the entry, and that goes when
-    the watermark passes it: a later lookup misses either way.
+    Lookups wait until the watermark has passed them, so that none can still arrive before them; then they are replayed
+    in time order, key by key. Of a replayed lookup nothing is kept but the expiry of its key's entry, and that goes
+    when the watermark passes it: a later lookup misses either way. Rows wait as Arrow tables, one for each part that
+    came, so state is read and written by the bucket, not by the key. One timer is set, at the first lookup or expiry.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint, ttl bigint")
-        self.entry = handle.getValueState("entry", "expires bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.entry = handle.getValueState("entry", "entries binary")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _due(self, micros: int | None) -> None:
+        """Set the bucket's timer, or take it away."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        at = None if micros is None else micros // 1000 + 1
+        if at == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            if key[0] is not None and len(part):
-                self.waiting.appendList([(int(a), int(i), int(t)) for a, i, t in zip(part["at"], part["id"], part["ttl"])])
-                self.handle.registerTimer(int(part["at"].max()) // 1000 + 1)
+            part = part.loc[part["key"].notna(), ["key", "at", "id", "ttl"]]
+            if len(part):
+                self.waiting.appendList([(_packed(part),)])
+                early = int(part["at"].min())
+                first = early if first is None else min(first, early)
+        if first is not None and (not self.timer.exists() or first // 1000 + 1 < self.timer.get()[0]):
+            self._due(first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = np.array(list(self.waiting.get()) if self.waiting.exists() else [], dtype=np.int64).reshape(-1, 3)
-        due = rows[:, 0] < passed
-        if due.any():
-            left = rows[~due]
+        self.timer.clear()  # this one has gone off
+        entries = _unpacked(self.entry.get()[0]) if self.entry.exists() else pd.DataFrame({"key": [], "expires": []})
+        expiry = dict(zip(entries["key"], entries["expires"]))
+        parts = [_unpacked(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat(parts, ignore_index=True) if parts else None
+        if rows is not None and (rows["at"] < passed).any():
+            left = rows[rows["at"] >= passed]
             if len(left):
-                self.waiting.put([tuple(map(int, r)) for r in left])
+                self.waiting.put([(_packed(left),)])
             else:
                 self.waiting.clear()
-            rows = rows[due]
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            hits, expires = replay_part(rows[:, 0], rows[:, 2], self.entry.get()[0] if self.entry.exists() else NEVER)
-            self.entry.update((int(expires),))
-            self.handle.registerTimer(int(expires) // 1000 + 1)
-            yield pd.DataFrame({"key": [key[0]] * len(rows), "id": rows[:, 1], "is_hit": hits})
-        if self.entry.exists() and self.entry.get()[0] < passed:
+            rows, waits = rows[rows["at"] < passed].sort_values(["key", "at", "id"], ignore_index=True), left
+            hits = np.empty(len(rows), dtype=bool)
+            keys, at, ttl = rows["key"].to_numpy(), rows["at"].to_numpy(), rows["ttl"].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(rows)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                hits[a:b], expiry[keys[a]] = replay_part(at[a:b], ttl[a:b], expiry.get(keys[a], NEVER))
+            yield pd.DataFrame({"key": keys, "id": rows["id"], "is_hit": hits})
+        else:
+            waits = rows
+        kept = {k: int(e) for k, e in expiry.items() if e >= passed}
+        if kept:
+            self.entry.update((_packed(pd.DataFrame({"key": list(kept), "expires": list(kept.values())})),))
+        elif self.entry.exists():
             self.entry.clear()
+        ahead = [*kept.values(), *([int(waits["at"].min())] if waits is not None and len(waits) else [])]
+        self._due(min(ahead, default=None))
 
     def close(self) -> None:
         pass
 
 
-def cache_stream(lookups: DataFrame, lateness: str = "1 day") -> DataFrame:
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow table in bytes."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(rows)).read_pandas()
+
+
+def cache_stream(lookups: DataFrame, lateness: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Hit or miss of each lookup (key, ts, id, ttl), in event time.
 
     The same for any way in which lookups are spread over batches, as long as none comes more than ``lateness`` after
     a later one; Spark drops those. An outcome appears once the watermark has passed its lookup. A lookup without a
-    key has no outcome; it only moves time on, which lets the last ones of a closed source out.
+    key has no outcome; it only moves time on, which lets the last ones of a closed source out. Keys share ``buckets``
+    states by their hash: a batch costs a call for each bucket, and not one for each key.
     """
     key_type = lookups.schema["key"].dataType.simpleString()
     # microseconds, as in the batch form; the watermark stays on the time itself
     timed = lookups.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
-        "key", "id", "ts", F.unix_micros("ts").alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl")
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"),
+        "key", "id", "ts", F.unix_micros("ts").alias("at"), (F.col("ttl").cast("bigint") * MICROS).alias("ttl"),
     )
-    return timed.groupBy("key").transformWithStateInPandas(CacheReplay(), f"key {key_type}, id bigint, is_hit boolean", "Append", "EventTime")
+    return timed.groupBy("bucket").transformWithStateInPandas(CacheReplay(), f"key {key_type}, id bigint, is_hit boolean", "Append", "EventTime")
 
 
 def stream_path(spark: SparkSession, name: str) -> str:

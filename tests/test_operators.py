@@ -568,3 +568,16 @@ def test_block_search_in_both_precisions(monkeypatch):
         for i in range(len(q)):
             nearest = np.lexsort((np.arange(90), ((q[i] - c) ** 2).sum(1)))[:5]
             assert got[got.query_id == i].sort_values(["distance", "neighbour_id"]).neighbour_id.tolist() == nearest.tolist()
+
+
+def test_cache_stream_keeps_a_state_for_each_bucket(spark, tmp_path):
+    """Many keys share few states, so a batch does not cost a call for every key."""
+    from songloom.streaming import jobs
+
+    rows = [(f"k{i}", i, 1_700_000_000 + i, 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, id bigint, at bigint, ttl int").withColumn("ts", F.timestamp_seconds("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "lookups.parquet"))
+    stream = jobs.table_stream(spark, str(tmp_path), "lookups", df.schema)
+    jobs.run_to_table(jobs.cache_stream(stream, "100 days", buckets=3), str(tmp_path / "out"), jobs.TIMERS_STORE)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", True)
+    assert 1 <= state.load(f"{tmp_path / 'out'}-progress").count() <= 3
