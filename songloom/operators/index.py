@@ -8,15 +8,17 @@ centroid, cut into parts, each replaced by the number of its nearest code word.
 * ``search`` is exact. A query first meets the cell nearest to it; the k-th
   distance found there travels with it, and only blocks that the triangle
   inequality cannot rule out under that distance are visited.
-* ``search_codes`` looks distances up in tables by code, in the nearest cells,
-  and measures a fixed number of vectors exactly, those with the least.
+* ``search_codes`` takes distances to what the codes stand for, in the nearest
+  cells, and measures a fixed number of vectors a bundle exactly, those with the
+  least.
 * ``append`` assigns cells and codes by the stored centroids and books, and adds
   rows for ids the index lacks. Nothing that is there is written again.
 
-A block, at most ``BLOCK`` vectors of a cell, is the unit of work: a task reads
-it once and the queries that visit it stream past in Arrow batches. Only the
-blocks of visited cells are read: with few queries the cells are named in the
-scan's partition filter.
+Blocks, at most ``BLOCK`` vectors of a cell each, are gathered into bundles. A
+query that visits blocks of a bundle is sent there once, whatever their number;
+a task holds one bundle, and a part of the queries streams past in Arrow
+batches. Only visited blocks are read: with few queries their cells are named in
+the scan's partition filter.
 
 Vectors that are null, empty, of another length than the index (the greatest when built), or hold
 a null or non-finite component are left out, of an index as of the queries.
@@ -31,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songloom.functions.vectors import is_sound, squared_l2
+from songloom.functions.vectors import is_sound
+from songloom.operators.neighbours import QUERY_ROWS, Screen, distance_bounds, measured, nearest_rows
 from songloom.operators.prepare import pending
 from songloom.session import cut_lineage
 
 BLOCK = 20_000
+BUNDLE = 100_000  # wanted vectors of a bundle
+FULL_BUNDLE = 1000  # bundles are not made smaller to keep more cores busy
 SAMPLE = 20_000  # rows that centroids and code books are fitted on
 CELL_ROWS = 1000  # wanted size of a cell
 PARTS, WORDS = 16, 256  # parts of a code, words of a code book
 NAMED_CELLS = 2000  # most cells a scan names in its filter
-FOUND = "query_id {q}, neighbour_id {c}, distance double, measured bigint"
+FOUND = "query_id {q}, neighbour_id {c}, distance double, rough double, measured bigint"
 
 
 def clean(rows: DataFrame, dim: int | None = None) -> DataFrame:
@@ -95,10 +100,26 @@ class Coder:
         codes = np.stack([nearest(part, book) for part, book in zip(self.parts(rest), self.books)], axis=1)
         return cell.astype(np.int32), np.sqrt((rest * rest).sum(1)), codes.astype(np.uint8)
 
-    def tables(self, q: np.ndarray, cell: int) -> list[np.ndarray]:
-        """Squared distances of each query's parts to all code words, for one cell."""
-        rest = q - self.centroids[cell]
-        return [((part[:, None, :] - book[None, :, :]) ** 2).sum(2) for part, book in zip(self.parts(rest), self.books)]
+    def decode(self, codes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1) + self.centroids[cells]
+
+
+class Layout:
+    """The blocks of an index: cells, ranges of the distances to the centroids, and bundles."""
+
+    def __init__(self, blocks: list, cores: int):
+        blocks = sorted(blocks, key=lambda r: (r["cell"], r["block"]))
+        self.cell, self.block, self.inner, self.outer = (np.array([r[c] for r in blocks]) for c in ("cell", "block", "inner", "outer"))
+        rows = np.array([r["rows"] for r in blocks], dtype=np.int64)
+        self.parts = bundles(int(rows.sum()), cores)
+        self.bundle = ((np.cumsum(rows) - rows) // max(1, -(-int(rows.sum()) // self.parts))).astype(np.int32)
+        self.number = {(int(c), int(b)): i for i, (c, b) in enumerate(zip(self.cell, self.block))}
+
+
+def bundles(rows: int, cores: int) -> int:
+    """Bundles of so many rows: as many as keep the cores busy with as many parts of queries, more where they would outgrow a task."""
+    return max(1, -(-rows // BUNDLE), min(rows // FULL_BUNDLE, int(np.ceil((4 * cores) ** 0.5))))
 
 
 class VectorIndex:
@@ -163,63 +184,74 @@ class VectorIndex:
 
         Ties go to the smaller id. measured is the number of stored vectors a query was compared with.
         """
-        asked = cut_lineage(clean(queries, self.dim), "index-queries")
-        blocks = cut_lineage(self.blocks(), "index-blocks")
-        placed = asked.withColumn("to_cells", self._distances(F.col("vector")))
-        own = placed.withColumn("own", (F.array_position("to_cells", F.array_min("to_cells")) - 1).cast("int"))
-        first = own.join(F.broadcast(blocks), F.col("own") == F.col("cell")).select("cell", "block", "id", "vector", F.lit(float("inf")).alias("limit"))
-        near = cut_lineage(self._visit(first, _exact(k)), "index-near")
+        layout = Layout(self.blocks().collect(), self.spark.sparkContext.defaultParallelism)  # one row for each block
+        asked = cut_lineage(clean(queries, self.dim).withColumn("limit", F.lit(float("inf"))), "index-queries")
+        near = cut_lineage(self._visit(asked, layout, _own_cell, k), "index-near")
         known = _best(near, k).groupBy("query_id").agg(F.max("distance").alias("edge"), F.count("*").alias("n"))
-        limit = F.when(F.col("n") >= k, F.col("edge")).otherwise(F.lit(float("inf")))
-        told = own.join(known, F.col("id").eqNullSafe(F.col("query_id")), "left").withColumn("limit", F.coalesce(limit, F.lit(float("inf"))))
-        # one row for each block: its cell and the range of its vectors' distances to the centroid
-        listed = blocks.agg(F.collect_list(F.struct("cell", "block", "inner", "outer"))).scalar()
-        gap = lambda b, d: F.greatest(d - b["outer"], b["inner"] - d, F.lit(0.0)) * (1 - 1e-9) - 1e-9
-        under = lambda b: (b["cell"] != F.col("own")) & ((gap(b, F.get("to_cells", b["cell"])) <= 0) | (F.pow(gap(b, F.get("to_cells", b["cell"])), F.lit(2)) <= F.col("limit")))
-        further = told.withColumn("blocks", listed).withColumn("b", F.explode(F.filter("blocks", under)))
-        far = self._visit(cut_lineage(further.select("b.cell", "b.block", "id", "vector", "limit"), "index-visits"), _exact(k))
-        return _ranked(near.unionByName(far), k)
+        limit = F.coalesce(F.when(F.col("n") >= k, F.col("edge")), F.lit(float("inf")))
+        told = asked.drop("limit").join(known, F.col("id").eqNullSafe(F.col("query_id")), "left").select("id", "vector", limit.alias("limit"))
+        return _ranked(self._visit(cut_lineage(told, "index-told"), layout, _within_limit, k), k)
 
     def search_codes(self, queries: DataFrame, k: int, cells: float = 0.5, rerank: int = 40) -> DataFrame:
         """(query_id, neighbour_id, distance, rank, measured): the k nearest found by codes.
 
-        A query visits the given share of the cells, nearest first, looks up the distances to all codes there, and
-        measures the ``rerank`` vectors with the least.
+        A query visits the given share of the cells, nearest first, takes the distances to all codes there, and measures
+        the ``rerank`` vectors of each bundle with the least; of all bundles' the ``rerank`` least are ranked.
         """
-        asked = cut_lineage(clean(queries, self.dim), "index-queries")
+        layout = Layout(self.blocks().collect(), self.spark.sparkContext.defaultParallelism)
+        asked = cut_lineage(clean(queries, self.dim).withColumn("limit", F.lit(float("inf"))), "index-queries")
         take = max(1, round(cells * len(self.coder.centroids)))
-        order = F.slice(F.array_sort(F.transform("to_cells", lambda d, i: F.struct(d.alias("d"), i.alias("cell")))), 1, take)
-        near = asked.withColumn("to_cells", self._distances(F.col("vector"))).select("id", "vector", F.explode(order).alias("c")).select("id", "vector", "c.cell")
-        visits = near.join(F.broadcast(self.blocks()), "cell").select("cell", "block", "id", "vector", F.lit(0.0).alias("limit"))
-        visits = cut_lineage(visits, "index-visits")
-        rough = cut_lineage(_best(self._visit(visits, _by_codes(rerank, self.coder)), rerank).select("query_id", "neighbour_id"), "index-rough")
-        stored = self.in_cells(visits).select(F.col("id").alias("neighbour_id"), F.col("vector").alias("_v"))
-        pairs = rough.join(stored, "neighbour_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("_q")), "query_id")
-        measured = F.count("*").over(Window.partitionBy("query_id"))
-        return _ranked(pairs.select("query_id", "neighbour_id", squared_l2(F.col("_q"), F.col("_v")).alias("distance")).withColumn("measured", measured), k)
-
-    def _distances(self, vector: Column) -> Column:
-        """Distances of a vector to all centroids."""
-        sent = self.spark.sparkContext.broadcast(self.coder.centroids)
-
-        @F.pandas_udf("array<double>")
-        def measure(rows):
-            c = sent.value
-            return rows.map(lambda v: np.sqrt(((c - np.asarray(v)) ** 2).sum(1)))
-
-        return measure(vector)
-
-    def _visit(self, visits: DataFrame, ask: Callable) -> DataFrame:
-        """Run ask for each block with the queries (cell, block, id, vector, limit) that visit it."""
-        q_type = visits.schema["id"].dataType.simpleString()
-        held = self.in_cells(visits)
-        columns = ["cell", "block", "kind", "id", "vector", "limit", "query_id", "code"]
-        stored = held.select("cell", "block", F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("double").alias("limit"), F.lit(None).cast(q_type).alias("query_id"), "code")
-        asked = visits.select("cell", "block", F.lit(1).alias("kind"), F.lit(None).cast(self.id_type).alias("id"), "vector", "limit", F.col("id").alias("query_id"), F.lit(None).cast("binary").alias("code"))
-        rows = stored.join(visits.select("cell", "block").distinct(), ["cell", "block"], "left_semi").select(*columns).unionByName(asked.select(*columns))
+        rough = self._visit(asked, layout, lambda *x: _nearest_cells(take, *x), rerank, by_codes=True)
+        # the least by code are told apart once, in the order of the rough distances
+        order = Window.partitionBy("query_id").orderBy("rough", "neighbour_id")
+        counted = rough.withColumn("measured", F.count("*").over(Window.partitionBy("query_id"))).withColumn("place", F.row_number().over(order))
+        return _ranked(counted.filter(F.col("place") <= rerank), k)
+
+    def _visit(self, asked: DataFrame, layout: Layout, choose: Callable, k: int, by_codes: bool = False) -> DataFrame:
+        """The k nearest of every bundle to each query (id, vector, limit), in the blocks that ``choose`` lets it visit."""
+        q_type = asked.schema["id"].dataType.simpleString()
+        shape = FOUND.format(q=q_type, c=self.id_type)
+        if not len(layout.cell):
+            return self.spark.createDataFrame([], shape)
+        sent = self.spark.sparkContext.broadcast((layout, self.coder))
+        count, cores = layout.parts, self.spark.sparkContext.defaultParallelism
+
+        def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            plan, coder = sent.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, QUERY_ROWS):
+                    piece = batch.slice(start, QUERY_ROWS)
+                    yield piece, choose(stacked(piece.column(1)), piece.column(2).to_numpy(), plan, coder, slice(None))
+
+        def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, mask in masks(batches):
+                yield pa.record_batch([pa.array(np.flatnonzero(mask.any(axis=0)))], names=["number"])
+
+        def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece, mask in masks(batches):
+                for bundle in np.unique(sent.value[0].bundle):
+                    some = piece.filter(pa.array(mask[:, sent.value[0].bundle == bundle].any(axis=1)))
+                    yield pa.record_batch([pa.array(np.full(some.num_rows, bundle, dtype=np.int32)), *some.columns], names=["bundle", "id", "vector", "limit"])
+
+        numbers = [r["number"] for r in asked.mapInArrow(touched, "number bigint").distinct().collect()]  # blocks, at most all
+        if not numbers:
+            return self.spark.createDataFrame([], shape)
+        visited = self.spark.createDataFrame([(int(layout.cell[i]), int(layout.block[i]), int(layout.bundle[i])) for i in numbers], "cell int, block int, bundle int")
+        parts = bundles(asked.count(), cores)
+        columns = ["bundle", "part", "kind", "cell", "block", "id", "vector", "limit", "query_id", "code"]
+        none = lambda kind: F.lit(None).cast(kind)
+        stored = self.in_cells(visited).join(F.broadcast(visited), ["cell", "block"]).select(
+            "bundle", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "cell", "block", "id", "vector",
+            none("double").alias("limit"), none(q_type).alias("query_id"), "code",
+        )
+        queries = asked.mapInArrow(sending, f"bundle int, id {q_type}, vector array<double>, limit double").select(
+            "bundle", F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(0).alias("cell"), F.lit(0).alias("block"),
+            none(self.id_type).alias("id"), "vector", "limit", F.col("id").alias("query_id"), none("binary").alias("code"),
+        )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, parts, block = None, [], None
+            plan, coder = sent.value
+            key, held, bundle = None, [], None
             for batch in batches:
                 keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
                 edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -228,18 +260,87 @@ class VectorIndex:
                     if a == z:
                         continue
                     if key is None or tuple(keys[a][:2]) != key:
-                        key, parts, block = tuple(keys[a][:2]), [], None
+                        key, held, bundle = tuple(keys[a][:2]), [], None
                     if keys[a][2] == 0:
-                        parts.append((part.column(3), stacked(part.column(4)), np.frombuffer(b"".join(part.column(7).to_pylist()), dtype=np.uint8).reshape(z - a, -1)))
-                    elif parts:
-                        if block is None:
-                            ids = pa.chunked_array([p[0] for p in parts]).combine_chunks()
-                            block = (ids, *(np.concatenate([p[i] for p in parts]) for i in (1, 2)))
-                        q, found = stacked(part.column(4)), part.column(6)
-                        i, j, d, n = ask(int(keys[a][0]), block, q, part.column(5).to_numpy())
-                        yield pa.record_batch([found.take(pa.array(i)), block[0].take(pa.array(j)), pa.array(d), pa.array(n)], names=["query_id", "neighbour_id", "distance", "measured"])
-
-        return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "id").mapInArrow(run, FOUND.format(q=q_type, c=self.id_type))
+                        held.append(part.select(["cell", "block", "id", "vector", "code"]))
+                    elif held:
+                        bundle = bundle or Bundle(held, plan, coder, by_codes)
+                        for start in range(0, part.num_rows, QUERY_ROWS):
+                            piece = part.slice(start, QUERY_ROWS)
+                            q, limit = stacked(piece.column("vector")), piece.column("limit").to_numpy()
+                            mask = choose(q, limit, plan, coder, bundle.numbers)
+                            i, j, rough, n = bundle.nearest(q, mask, k, limit.copy())
+                            d = measured(q, bundle.rows, i, j) if by_codes else rough
+                            yield pa.record_batch([piece.column("query_id").take(pa.array(i)), bundle.ids.take(pa.array(j)), pa.array(d), pa.array(rough), pa.array(n[i])], names=["query_id", "neighbour_id", "distance", "rough", "measured"])
+
+        rows = stored.select(*columns).unionByName(queries.select(*columns))
+        return rows.repartition(max(cores, count * parts), "bundle", "part").sortWithinPartitions("bundle", "part", "kind", "id").mapInArrow(run, shape)
+
+
+class Bundle:
+    """The stored vectors of some blocks, by id, as a task holds them."""
+
+    def __init__(self, held: list[pa.RecordBatch], layout: Layout, coder: Coder, by_codes: bool):
+        table = pa.Table.from_batches(held).combine_chunks()
+        self.ids, self.rows = table["id"].combine_chunks(), stacked(table["vector"].combine_chunks())
+        cells = table["cell"].to_numpy()
+        self.compared = self.rows
+        if by_codes:
+            codes = np.frombuffer(b"".join(table["code"].to_pylist()), dtype=np.uint8).reshape(len(cells), -1)
+            self.compared = coder.decode(codes, cells)
+        number = np.array([layout.number[c, b] for c, b in zip(cells.tolist(), table["block"].to_pylist())])
+        self.numbers, of = np.unique(number, return_inverse=True)
+        self.members = [np.flatnonzero(of == i) for i in range(len(self.numbers))]
+        self.loose = not by_codes  # more than what was chosen may be compared
+        self.screens: dict[int, Screen] = {}
+
+    def screen(self, block: int) -> Screen:
+        """The rows of one block, or of all."""
+        if block not in self.screens:
+            self.screens[block] = Screen(self.compared if block < 0 else self.compared[self.members[block]])
+        return self.screens[block]
+
+    def nearest(self, q: np.ndarray, mask: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pairs (i, j) of the k nearest rows to each query under its limit, their distances, and how many a query was compared with."""
+        if mask.all() or (self.loose and mask.mean() > 0.5):
+            return *nearest_rows(q, self.screen(-1), k, limit), np.full(len(q), len(self.rows))
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for block, own in enumerate(self.members):
+            asks = np.flatnonzero(mask[:, block])
+            if not len(asks):
+                continue
+            i, j, d = nearest_rows(q[asks], self.screen(block), k, limit[asks])
+            i, j, d = (np.concatenate(x) for x in zip(best, (asks[i], own[j], d)))
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            limit[i[place == k - 1]] = np.minimum(limit[i[place == k - 1]], d[place == k - 1])
+            best = tuple(x[place < k] for x in (i, j, d))
+        return *best, mask @ np.array([len(m) for m in self.members])
+
+
+def _to_centroids(q: np.ndarray, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest possible distances to all centroids."""
+    return tuple(np.sqrt(d) for d in distance_bounds(q, coder.centroids, coder.centroids.mean(axis=0)))
+
+
+def _own_cell(q: np.ndarray, limit: np.ndarray, layout: Layout, coder: Coder, blocks) -> np.ndarray:
+    """The blocks of the nearest cell that holds any."""
+    filled = np.unique(layout.cell)
+    return layout.cell[blocks][None, :] == filled[_to_centroids(q, coder)[1][:, filled].argmin(1)][:, None]
+
+
+def _within_limit(q: np.ndarray, limit: np.ndarray, layout: Layout, coder: Coder, blocks) -> np.ndarray:
+    """The blocks that the triangle inequality does not rule out under the limit."""
+    least, most = (d[:, layout.cell[blocks]] for d in _to_centroids(q, coder))
+    gap = np.maximum(least - layout.outer[blocks], layout.inner[blocks] - most) * (1 - 1e-9) - 1e-9
+    return (gap <= 0) | (gap * gap <= limit[:, None])
+
+
+def _nearest_cells(take: int, q: np.ndarray, limit: np.ndarray, layout: Layout, coder: Coder, blocks) -> np.ndarray:
+    """The blocks of the ``take`` nearest cells."""
+    place = _to_centroids(q, coder)[1].argsort(axis=1, kind="stable").argsort(axis=1)
+    return place[:, layout.cell[blocks]] < take
 
 
 def _coded(rows: DataFrame, coder: Coder, last_block: int | None = None) -> DataFrame:
@@ -262,64 +363,6 @@ def _coded(rows: DataFrame, coder: Coder, last_block: int | None = None) -> Data
     return placed.join(F.broadcast(size), "cell").select("id", "vector", "to_centroid", "code", (ring + F.lit(start)).cast("int").alias("block"), "cell")
 
 
-def _cut(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k least distances of each query and what ties with the last of them."""
-    order = np.lexsort((d, i))
-    i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(i, i, side="left")
-    last = np.minimum(first + k, np.searchsorted(i, i, side="right")) - 1
-    keep = d <= d[last]
-    return i[keep], j[keep], d[keep]
-
-
-def _measured(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    steps = range(0, len(i), 100_000)
-    return np.concatenate([np.zeros(0), *[((q[i[s : s + 100_000]] - x[j[s : s + 100_000]]) ** 2).sum(1) for s in steps]])
-
-
-def _exact(k: int) -> Callable:
-    """The k nearest of a block under each query's limit. A matrix product, with its rounding error allowed for, picks what is measured."""
-
-    def ask(cell: int, block: tuple, q: np.ndarray, limit: np.ndarray) -> tuple:
-        x = block[1]
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        centre = x.mean(axis=0)
-        b = x - centre
-        for s in range(0, len(q), 256):
-            a = q[s : s + 256] - centre
-            lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
-            error = lengths * (8 * (a.shape[1] + 8) * np.finfo(np.float64).eps)
-            d = lengths - 2.0 * (a @ b.T)
-            most = d + error
-            edge = np.partition(most, k - 1, axis=1)[:, k - 1] if most.shape[1] > k else np.full(len(a), np.inf)
-            i, j = np.nonzero(d - error <= np.minimum(edge, limit[s : s + 256])[:, None])
-            i, j, d = _cut(i, j, _measured(q[s : s + 256], x, i, j), k)
-            for store, value in zip(out, (i + s, j, d)):
-                store.append(value)
-        i, j, d = (np.concatenate([np.zeros(0, t), *c]) for c, t in zip(out, (np.int64, np.int64, np.float64)))
-        return i, j, d, np.full(len(i), len(x), dtype=np.int64)
-
-    return ask
-
-
-def _by_codes(k: int, coder: Coder) -> Callable:
-    """The k vectors of a block whose codes are nearest, with the distances that the tables give."""
-
-    def ask(cell: int, block: tuple, q: np.ndarray, limit: np.ndarray) -> tuple:
-        codes = block[2]
-        tables = coder.tables(q, cell)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for row in range(len(q)):
-            rough = sum(table[row][codes[:, p]] for p, table in enumerate(tables))
-            j = np.argpartition(rough, k - 1)[:k] if k < len(rough) else np.arange(len(rough))
-            for store, value in zip(out, (np.full(len(j), row), j, rough[j])):
-                store.append(value)
-        i, j, d = (np.concatenate([np.zeros(0, t), *c]) for c, t in zip(out, (np.int64, np.int64, np.float64)))
-        return i, j, d, np.zeros(len(i), dtype=np.int64)
-
-    return ask
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)

@@ -581,3 +581,15 @@ def test_cache_stream_keeps_a_state_for_each_bucket(spark, tmp_path):
     jobs.run_to_table(jobs.cache_stream(stream, "100 days", buckets=3), str(tmp_path / "out"), jobs.TIMERS_STORE)
     state = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", True)
     assert 1 <= state.load(f"{tmp_path / 'out'}-progress").count() <= 3
+
+
+def test_index_sends_a_query_once_for_each_bundle(spark, tmp_path):
+    """Not once for each of the many cells that cannot be ruled out."""
+    blocks = [{"cell": c, "block": 0, "rows": 1000, "inner": 0.0, "outer": 9.0} for c in range(600)]
+    layout = index.Layout(blocks, 12)
+    assert layout.parts == 7 and len(set(layout.bundle.tolist())) == 7
+    assert np.bincount(layout.bundle).max() * 1000 <= index.BUNDLE
+    rng = np.random.default_rng(2)
+    coder = index.Coder(rng.normal(size=(600, 8)), [])
+    mask = index._within_limit(rng.normal(size=(5, 8)), np.full(5, np.inf), layout, coder, slice(None))
+    assert mask.all()
