@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ SLACK = 4 * 2.296 / SKETCH**0.9021  # four times the rank error that a sketch ke
 GRID = 256  # steps of the shares that a sketch is asked for
 READ_OFF = 100_000  # values of a bracket that may be put in order by one task
 ROUNDS = 6  # most times a bracket is narrowed
+SENT_ROWS = 10_000  # brackets that are sent to every task
 
 
 def unpivot(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -23,34 +26,36 @@ def unpivot(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, kept: bool = False
 ) -> DataFrame:
     """Interpolated quantiles as rows (by..., feature, prob, value).
 
     A mergeable sketch of each column (and group) brackets every wanted rank between two of its values. Values below a
     bracket are counted, those inside are counted by value, so the exact value at the rank can be told. A bracket that
     holds too many values for one task is narrowed first, by a sketch of what is inside; one that a sketch missed is
-    opened again. Sketches and counts are folded before the shuffle: no task holds the values of a column or group.
+    opened again. Sketches and counts are folded before the shuffle: no task holds the values of a column or group, and
+    rows are never dealt out by column. Without groups the brackets enter the plan as constants.
+
+    ``kept`` tells that reading ``df`` several times is cheap; else its columns are written first.
 
     Null groups count as a group. Infinite values are the ends of the order; a quantile between a finite and an
     infinite value is the infinite one.
     """
     by = by or []
-    narrow = cut_lineage(df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]), "columns")  # several passes follow
-    # a struct, as null fields of a struct are equal in joins
-    long = unpivot(narrow, columns, by).select(F.struct(*by, "feature").alias("g"), "value")
-    state = _ranks(long.groupBy("g").agg(F.count("*").alias("n"), _sketch()), probs)
+    narrow = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    narrow = narrow if kept else cut_lineage(narrow, "columns")  # several passes follow
+    state = _ranks(_sketched(narrow, columns, by), probs)
     for _ in range(ROUNDS):
         state = cut_lineage(state, "brackets")
         if (state.filter("lo < hi").agg(F.max("held")).first()[0] or 0) <= READ_OFF:
             break
-        state = _narrowed(long, state, 2 * len(probs))
+        state = _narrowed(narrow, columns, by, state, 2 * len(probs))
     else:
         state = cut_lineage(state, "brackets")
     running = Window.partitionBy("g", "i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    looked = _looked_up(long, state)
-    values = _inside(looked).groupBy("g", "i", "value").agg(F.count("*").alias("c"))
-    placed = values.join(state.select("g", "i", "prob", "part", "rank", "upper").join(_below(looked, 2 * len(probs)), ["g", "i"]), ["g", "i"])
+    inside, below = _met(narrow, columns, by, state, 2 * len(probs))
+    values = inside.groupBy("g", "i", "value").agg(F.count("*").alias("c"))
+    placed = values.join(state.select("g", "i", "prob", "part", "rank", "upper").join(below, ["g", "i"]), ["g", "i"])
     found = placed.withColumn("end", F.col("below") + F.sum("c").over(running)).filter(F.col("end") > F.col("rank"))
     ends = found.groupBy("g", "prob", "part").agg(F.min(F.when(~F.col("upper"), F.col("value"))).alias("a"), F.min(F.when(F.col("upper"), F.col("value"))).alias("b"))
     a, b = F.col("a"), F.col("b")
@@ -58,8 +63,25 @@ def exact_quantiles(
     return ends.select("g.*", "prob", between.alias("value"))
 
 
-def _sketch() -> Column:
-    return F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch")
+def _sketch(value: Column) -> Column:
+    return F.kll_sketch_agg_double(value, F.lit(SKETCH)).alias("sketch")
+
+
+def _present(column: str) -> Column:
+    return F.when(~is_missing(F.col(column)), F.col(column))
+
+
+def _long(narrow: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    # a struct, as null fields of a struct are equal in joins
+    return unpivot(narrow, columns, by).select(F.struct(*by, "feature").alias("g"), "value")
+
+
+def _sketched(narrow: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(g, n, sketch) of every column and group that has values."""
+    if by:
+        return _long(narrow, columns, by).groupBy("g").agg(F.count("*").alias("n"), _sketch(F.col("value")))
+    facts = narrow.agg(*[F.struct(F.struct(F.lit(c).alias("feature")).alias("g"), F.count(_present(c)).alias("n"), _sketch(_present(c))).alias(c) for c in columns])
+    return facts.select(F.inline(F.array(*[F.col(c) for c in columns]))).filter("n > 0")
 
 
 def _bracket(rank: Column, n: Column) -> list[Column]:
@@ -85,10 +107,26 @@ def _ranks(sketched: DataFrame, probs: list[float]) -> DataFrame:
     return rows.select("g", "i", "prob", "part", "rank", "upper", *_bracket(F.col("rank"), F.col("n")))
 
 
+def _met(narrow: DataFrame, columns: list[str], by: list[str], state: DataFrame, brackets: int) -> tuple[DataFrame, DataFrame]:
+    """(g, value, i) of the values inside brackets, and (g, i, below): how many values lie under each."""
+    if by:
+        looked = _looked_up(_long(narrow, columns, by), state)
+        return _inside(looked), _below(looked, brackets)
+    listed = [(r["feature"], r["i"], r["lo"], r["hi"]) for r in state.select("g.feature", "i", "lo", "hi").collect()]  # a few for each column
+    under = [F.struct(F.struct(F.lit(c).alias("feature")).alias("g"), F.lit(i).alias("i"), F.count_if(_present(c) < lo).alias("below")) for c, i, lo, _ in listed]
+    hits = [(c, i, F.coalesce(_present(c).between(lo, hi), F.lit(False))) for c, i, lo, hi in listed]
+    inside = [F.when(hit, F.struct(F.struct(F.lit(c).alias("feature")).alias("g"), F.col(c).alias("value"), F.lit(i).alias("i"))) for c, i, hit in hits]
+    shape = "array<struct<g:struct<feature:string>,value:double,i:int>>"
+    some = narrow.filter(reduce(Column.__or__, [hit for _, _, hit in hits], F.lit(False)))
+    counts = narrow.agg(F.array(*under).cast("array<struct<g:struct<feature:string>,i:int,below:bigint>>").alias("b"))
+    return some.select(F.inline(F.array_compact(F.array(*inside).cast(shape)))), counts.select(F.inline("b"))
+
+
 def _looked_up(long: DataFrame, state: DataFrame) -> DataFrame:
     """Values with the brackets of their column (and group)."""
     listed = state.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("w"))
-    return long.join(listed, "g")
+    # a join by key would deal the values out by column and group
+    return long.join(F.broadcast(listed) if state.count() <= SENT_ROWS else listed, "g")
 
 
 def _inside(looked: DataFrame) -> DataFrame:
@@ -102,11 +140,11 @@ def _below(looked: DataFrame, brackets: int) -> DataFrame:
     return looked.groupBy("g").agg(F.array(*under).alias("b")).select("g", F.posexplode("b").alias("i", "below"))
 
 
-def _narrowed(long: DataFrame, state: DataFrame, brackets: int) -> DataFrame:
+def _narrowed(narrow: DataFrame, columns: list[str], by: list[str], state: DataFrame, brackets: int) -> DataFrame:
     """Brackets by sketches of what is inside the present ones."""
-    looked = _looked_up(long, state)
-    inside = _inside(looked).groupBy("g", "i").agg(F.count("*").alias("c"), _sketch())
-    rows = state.drop("lo", "hi", "held").join(_below(looked, brackets), ["g", "i"]).join(inside, ["g", "i"], "left")
+    inside, below = _met(narrow, columns, by, state, brackets)
+    inside = inside.groupBy("g", "i").agg(F.count("*").alias("c"), _sketch(F.col("value")))
+    rows = state.drop("lo", "hi", "held").join(below, ["g", "i"]).join(inside, ["g", "i"], "left")
     place = F.col("rank") - F.col("below")
     missed = F.col("c").isNull() | (place < 0) | (place >= F.col("c"))
     lo, hi, held = _bracket(place, F.col("c"))

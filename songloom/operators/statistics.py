@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from songloom import fixed
 from songloom.functions.numeric import is_missing, zscore
-from songloom.operators.quantiles import exact_quantiles, medians_row, unpivot
+from songloom.operators.quantiles import exact_quantiles, medians_row
+from songloom.session import cut_lineage
 
 
 def attach(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
@@ -118,39 +119,48 @@ def verify_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.select("feature", "min", "max", F.round("mean", 6).alias("mean"), status.alias("status"))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles and max, all exact."""
-    basic = unpivot(df, columns).groupBy("feature").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basic.join(quartiles(df, columns), "feature")
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles, null where missing, written once for several passes."""
+    return cut_lineage(df.select(*[F.when(~is_missing(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]), "numbers")
 
 
-def quartiles(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, std, min, quartiles and max, all exact."""
+    table = numbers(df, columns)
+    facts = [
+        F.struct(
+            F.lit(c).alias("feature"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"), F.max(c).alias("max"),
+        ).alias(c)
+        for c in columns
+    ]
+    basic = table.agg(*facts).select(F.inline(F.array(*columns))).filter(F.col("count") > 0)
+    return basic.join(quartiles(table, columns, kept=True), "feature")
+
+
+def quartiles(df: DataFrame, columns: list[str], by: list[str] | None = None, kept: bool = False) -> DataFrame:
     """Columns q25, q50 and q75 per feature (and group)."""
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by)
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by, kept)
     wide = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     return q.groupBy(*(by or []), "feature").agg(*wide)
 
 
 def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whisker ends (furthest values within 1.5 IQR) and outliers."""
-    fences = quartiles(df, columns).withColumn("reach", (F.col("q75") - F.col("q25")) * 1.5)
-    inside = F.col("value").between(F.col("q25") - F.col("reach"), F.col("q75") + F.col("reach"))
-    return (
-        unpivot(df, columns)
-        .join(F.broadcast(fences), "feature")  # one row for each column
-        .groupBy("feature", "q25", "q50", "q75")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-            F.count_if(~inside).alias("outliers"),
+    table = numbers(df, columns)
+    fences = cut_lineage(quartiles(table, columns, kept=True), "fences")  # one row for each column
+    found = []
+    for r in fences.collect():
+        x, reach = F.col(r["feature"]), (r["q75"] - r["q25"]) * 1.5
+        inside = x.between(r["q25"] - reach, r["q75"] + reach)
+        found.append(
+            F.struct(
+                F.lit(r["feature"]).alias("feature"), F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
+                F.count_if(~inside).alias("outliers"),
+            )
         )
-    )
+    ends = table.agg(F.array(*found).cast("array<struct<feature:string,whisker_lo:double,whisker_hi:double,outliers:bigint>>").alias("f"))
+    return fences.join(ends.select(F.inline("f")), "feature")
 
 
 def column_facts(df: DataFrame, columns: list[str], population: bool = False) -> Row:

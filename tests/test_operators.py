@@ -593,3 +593,13 @@ def test_index_sends_a_query_once_for_each_bundle(spark, tmp_path):
     coder = index.Coder(rng.normal(size=(600, 8)), [])
     mask = index._within_limit(rng.normal(size=(5, 8)), np.full(5, np.inf), layout, coder, slice(None))
     assert mask.all()
+
+
+def test_quantiles_without_groups_deal_nothing_out(spark):
+    """Values of a column meet their brackets in the scan, not in a join by column."""
+    df = spark.range(3000).select((F.col("id") * 0.5).alias("x"), F.col("id").cast("double").alias("y"))
+    state = quantiles._ranks(quantiles._sketched(df, ["x", "y"], []), [0.25, 0.5])
+    inside, _ = quantiles._met(df, ["x", "y"], [], state, 4)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {tuple(r) for r in inside.select("g.feature", "i").distinct().collect()} == {(c, i) for c in "xy" for i in range(4)}
