@@ -9,8 +9,7 @@ centroid, cut into parts, each replaced by the number of its nearest code word.
   distance found there travels with it, and only blocks that the triangle
   inequality cannot rule out under that distance are visited.
 * ``search_codes`` takes distances to what the codes stand for, in the nearest
-  cells, and measures a fixed number of vectors a bundle exactly, those with the
-  least.
+  cells, and measures a fixed number of vectors exactly, those with the least.
 * ``append`` assigns cells and codes by the stored centroids and books, and adds
   rows for ids the index lacks. Nothing that is there is written again.
 
@@ -33,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songloom.functions.vectors import is_sound
-from songloom.operators.neighbours import QUERY_ROWS, Screen, distance_bounds, measured, nearest_rows
+from songloom.functions.vectors import is_sound, squared_l2
+from songloom.operators.neighbours import QUERY_ROWS, Screen, distance_bounds, nearest_rows
 from songloom.operators.prepare import pending
 from songloom.session import cut_lineage
 
@@ -45,7 +44,7 @@ SAMPLE = 20_000  # rows that centroids and code books are fitted on
 CELL_ROWS = 1000  # wanted size of a cell
 PARTS, WORDS = 16, 256  # parts of a code, words of a code book
 NAMED_CELLS = 2000  # most cells a scan names in its filter
-FOUND = "query_id {q}, neighbour_id {c}, distance double, rough double, measured bigint"
+FOUND = "query_id {q}, neighbour_id {c}, distance double, measured bigint"
 
 
 def clean(rows: DataFrame, dim: int | None = None) -> DataFrame:
@@ -186,33 +185,34 @@ class VectorIndex:
         """
         layout = Layout(self.blocks().collect(), self.spark.sparkContext.defaultParallelism)  # one row for each block
         asked = cut_lineage(clean(queries, self.dim).withColumn("limit", F.lit(float("inf"))), "index-queries")
-        near = cut_lineage(self._visit(asked, layout, _own_cell, k), "index-near")
+        near = cut_lineage(self._visit(asked, layout, _own_cell, k)[0], "index-near")
         known = _best(near, k).groupBy("query_id").agg(F.max("distance").alias("edge"), F.count("*").alias("n"))
         limit = F.coalesce(F.when(F.col("n") >= k, F.col("edge")), F.lit(float("inf")))
         told = asked.drop("limit").join(known, F.col("id").eqNullSafe(F.col("query_id")), "left").select("id", "vector", limit.alias("limit"))
-        return _ranked(self._visit(cut_lineage(told, "index-told"), layout, _within_limit, k), k)
+        return _ranked(self._visit(cut_lineage(told, "index-told"), layout, _within_limit, k)[0], k)
 
     def search_codes(self, queries: DataFrame, k: int, cells: float = 0.5, rerank: int = 40) -> DataFrame:
         """(query_id, neighbour_id, distance, rank, measured): the k nearest found by codes.
 
-        A query visits the given share of the cells, nearest first, takes the distances to all codes there, and measures
-        the ``rerank`` vectors of each bundle with the least; of all bundles' the ``rerank`` least are ranked.
+        A query visits the given share of the cells, nearest first, takes the distances to what all codes there stand
+        for, and measures the ``rerank`` vectors with the least.
         """
-        layout = Layout(self.blocks().collect(), self.spark.sparkContext.defaultParallelism)
+        layout = Layout(self.blocks().collect(), self.spark.sparkContext.defaultParallelism)  # one row for each block
         asked = cut_lineage(clean(queries, self.dim).withColumn("limit", F.lit(float("inf"))), "index-queries")
         take = max(1, round(cells * len(self.coder.centroids)))
-        rough = self._visit(asked, layout, lambda *x: _nearest_cells(take, *x), rerank, by_codes=True)
-        # the least by code are told apart once, in the order of the rough distances
-        order = Window.partitionBy("query_id").orderBy("rough", "neighbour_id")
-        counted = rough.withColumn("measured", F.count("*").over(Window.partitionBy("query_id"))).withColumn("place", F.row_number().over(order))
-        return _ranked(counted.filter(F.col("place") <= rerank), k)
-
-    def _visit(self, asked: DataFrame, layout: Layout, choose: Callable, k: int, by_codes: bool = False) -> DataFrame:
-        """The k nearest of every bundle to each query (id, vector, limit), in the blocks that ``choose`` lets it visit."""
+        near, held = self._visit(asked, layout, lambda *x: _nearest_cells(take, *x), rerank, by_codes=True)
+        rough = cut_lineage(_best(near, rerank).select("query_id", "neighbour_id"), "index-rough")
+        stored = held.select(F.col("id").alias("neighbour_id"), F.col("vector").alias("_v"))
+        pairs = rough.join(stored, "neighbour_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("_q")), "query_id")
+        measured = F.count("*").over(Window.partitionBy("query_id"))
+        return _ranked(pairs.select("query_id", "neighbour_id", squared_l2(F.col("_q"), F.col("_v")).alias("distance")).withColumn("measured", measured), k)
+
+    def _visit(self, asked: DataFrame, layout: Layout, choose: Callable, k: int, by_codes: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The k nearest of every bundle to each query (id, vector, limit), in the blocks that ``choose`` lets it visit; and the vectors of the visited cells."""
         q_type = asked.schema["id"].dataType.simpleString()
         shape = FOUND.format(q=q_type, c=self.id_type)
         if not len(layout.cell):
-            return self.spark.createDataFrame([], shape)
+            return self.spark.createDataFrame([], shape), self.vectors
         sent = self.spark.sparkContext.broadcast((layout, self.coder))
         count, cores = layout.parts, self.spark.sparkContext.defaultParallelism
 
@@ -235,12 +235,13 @@ class VectorIndex:
 
         numbers = [r["number"] for r in asked.mapInArrow(touched, "number bigint").distinct().collect()]  # blocks, at most all
         if not numbers:
-            return self.spark.createDataFrame([], shape)
+            return self.spark.createDataFrame([], shape), self.vectors
         visited = self.spark.createDataFrame([(int(layout.cell[i]), int(layout.block[i]), int(layout.bundle[i])) for i in numbers], "cell int, block int, bundle int")
         parts = bundles(asked.count(), cores)
         columns = ["bundle", "part", "kind", "cell", "block", "id", "vector", "limit", "query_id", "code"]
         none = lambda kind: F.lit(None).cast(kind)
-        stored = self.in_cells(visited).join(F.broadcast(visited), ["cell", "block"]).select(
+        held_rows = self.in_cells(visited)
+        stored = held_rows.join(F.broadcast(visited), ["cell", "block"]).select(
             "bundle", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "cell", "block", "id", "vector",
             none("double").alias("limit"), none(q_type).alias("query_id"), "code",
         )
@@ -269,12 +270,11 @@ class VectorIndex:
                             piece = part.slice(start, QUERY_ROWS)
                             q, limit = stacked(piece.column("vector")), piece.column("limit").to_numpy()
                             mask = choose(q, limit, plan, coder, bundle.numbers)
-                            i, j, rough, n = bundle.nearest(q, mask, k, limit.copy())
-                            d = measured(q, bundle.rows, i, j) if by_codes else rough
-                            yield pa.record_batch([piece.column("query_id").take(pa.array(i)), bundle.ids.take(pa.array(j)), pa.array(d), pa.array(rough), pa.array(n[i])], names=["query_id", "neighbour_id", "distance", "rough", "measured"])
+                            i, j, d, n = bundle.nearest(q, mask, k, limit.copy())
+                            yield pa.record_batch([piece.column("query_id").take(pa.array(i)), bundle.ids.take(pa.array(j)), pa.array(d), pa.array(n[i])], names=["query_id", "neighbour_id", "distance", "measured"])
 
         rows = stored.select(*columns).unionByName(queries.select(*columns))
-        return rows.repartition(max(cores, count * parts), "bundle", "part").sortWithinPartitions("bundle", "part", "kind", "id").mapInArrow(run, shape)
+        return rows.repartition(max(cores, count * parts), "bundle", "part").sortWithinPartitions("bundle", "part", "kind", "id").mapInArrow(run, shape), held_rows
 
 
 class Bundle:
@@ -282,10 +282,11 @@ class Bundle:
 
     def __init__(self, held: list[pa.RecordBatch], layout: Layout, coder: Coder, by_codes: bool):
         table = pa.Table.from_batches(held).combine_chunks()
-        self.ids, self.rows = table["id"].combine_chunks(), stacked(table["vector"].combine_chunks())
+        self.ids = table["id"].combine_chunks()
         cells = table["cell"].to_numpy()
-        self.compared = self.rows
-        if by_codes:
+        if not by_codes:
+            self.compared = stacked(table["vector"].combine_chunks())
+        else:
             codes = np.frombuffer(b"".join(table["code"].to_pylist()), dtype=np.uint8).reshape(len(cells), -1)
             self.compared = coder.decode(codes, cells)
         number = np.array([layout.number[c, b] for c, b in zip(cells.tolist(), table["block"].to_pylist())])
@@ -303,7 +304,7 @@ class Bundle:
     def nearest(self, q: np.ndarray, mask: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pairs (i, j) of the k nearest rows to each query under its limit, their distances, and how many a query was compared with."""
         if mask.all() or (self.loose and mask.mean() > 0.5):
-            return *nearest_rows(q, self.screen(-1), k, limit), np.full(len(q), len(self.rows))
+            return *nearest_rows(q, self.screen(-1), k, limit), np.full(len(q), len(self.compared))
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for block, own in enumerate(self.members):
             asks = np.flatnonzero(mask[:, block])
