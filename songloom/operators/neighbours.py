@@ -4,8 +4,9 @@ A small query set is sent to every task as one matrix. Each task keeps the
 best k per query over all its batches, so at most k rows per query and task
 are shuffled. A larger query set is dealt into blocks, as is the corpus, and
 every pair of blocks is one group. A row is sent once for each block of the
-other side; the blocks are as many as the cluster keeps busy, more only where
-they would outgrow a task. The approximate search groups vectors by their
+other side; a table searched with its own rows is dealt once, and a pair of its
+blocks searched both ways. The blocks are as many as the cluster keeps busy, more
+only where they would outgrow a task. The approximate search groups vectors by their
 nearest pivot, and a query visits the nearest cells.
 
 Matrix products only pick candidates, on data moved near the origin and with
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,13 +210,16 @@ def knn(
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric: {metric}")
     unit = metric == "cosine"
+    alike = queries is corpus
     queries, corpus = usable(queries, corpus)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     # a task holds the queries, and k results for each
     if size["n"] * ((size["dim"] or 0) * 8 + k * RESULT_BYTES) <= broadcast_bytes:
         found = _scan_all(queries, corpus, k, unit)
     else:
-        found = _scan_blocks(queries, corpus, k, unit, size["n"])
+        # written once: the rows are counted and dealt out, and one side may be drawn from the other
+        corpus = cut_lineage(corpus, "knn-corpus")
+        found = _scan_own_blocks(corpus, k, unit) if alike else _scan_blocks(cut_lineage(queries, "knn-queries"), corpus, k, unit)
     ranked = _ranked(found, k)
     if metric == "cosine":
         return ranked.select(
@@ -264,28 +269,51 @@ def _scan_all(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> Data
     return corpus.mapInArrow(scan, _result_schema(queries, corpus))
 
 
-def _scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, unit: bool, n_queries: int) -> DataFrame:
-    """Every block of queries with every block of the corpus, each pair in one group."""
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    size = corpus.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+def _blocks(rows: DataFrame) -> int:
+    """Blocks to deal the rows into: no more than keep the cores busy, unless they would outgrow a task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (size["dim"] or 1))))
+    return max(1, -(-size["n"] // most), min(size["n"] // FULL_ROWS, int(np.ceil((4 * cores) ** 0.5))))
 
-    def blocks(rows: int) -> int:
-        return max(1, -(-rows // most), min(rows // FULL_ROWS, int(np.ceil((4 * cores) ** 0.5))))
 
-    q_blocks, c_blocks = blocks(n_queries), blocks(size["n"])
+def _dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Each row in its own block, once for each block of the other side."""
+    # by the vector too, so that rows of one id can be dealt out
+    placed = rows.withColumn(own, F.pmod(F.xxhash64("id", "embedding"), F.lit(n_own)).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        # by the vector too, so that rows of one id can be dealt out
-        placed = rows.withColumn(own, F.pmod(F.xxhash64("id", "embedding"), F.lit(n_own)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    left = dealt(queries, "q_block", q_blocks, "c_block", c_blocks)
-    right = dealt(corpus, "c_block", c_blocks, "q_block", q_blocks)
+def _scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, unit: bool) -> DataFrame:
+    """Every block of queries with every block of the corpus, each pair in one group."""
+    q_blocks, c_blocks = _blocks(queries), _blocks(corpus)
+    left = _dealt(queries, "q_block", q_blocks, "c_block", c_blocks)
+    right = _dealt(corpus, "c_block", c_blocks, "q_block", q_blocks)
     keys = ["q_block", "c_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pair(k, unit), _result_schema(queries, corpus))
 
 
+def own_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows of each pair of blocks (low, high) of one table; a row comes once for each block."""
+    dealt = _dealt(rows, "block", blocks, "other", blocks)
+    return dealt.select(
+        "id", "embedding", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("is_low")
+    )
+
+
+def _scan_own_blocks(rows: DataFrame, k: int, unit: bool) -> DataFrame:
+    """A table's blocks with each other: the two of a pair meet in one group and are searched both ways."""
+    pair = _pair(k, unit)
+
+    def both(group: pa.Table) -> pa.Table:
+        low, high = group.filter(group["is_low"]), group.filter(pc.invert(group["is_low"]))
+        if len(group) == len(low) and group["low"][0] == group["high"][0]:
+            return pair(low, low)
+        return pa.concat_tables([pair(low, high), pair(high, low)])
+
+    return own_pairs(rows, _blocks(rows)).groupBy("low", "high").applyInArrow(both, _result_schema(rows, rows))
+
+
 def _pair(k: int, unit: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The best of one group of queries and corpus rows."""
 

@@ -551,6 +551,31 @@ def test_knn_sends_a_row_once_for_each_block(spark, monkeypatch):
     assert sum(r.query_id for r in sent) + sum(r.neighbour_id for r in sent) <= 2 * 4 * len(rows)
 
 
+def test_a_table_searched_with_itself_is_dealt_once(spark, monkeypatch):
+    """A row is sent once for each block, not once on either side, and what is found does not change."""
+    rows = np.random.default_rng(5).normal(size=(400, 6)).round(1)
+    rows[300:] = rows[:100]
+    frame = spark.createDataFrame([(f"v{i % 390:03}", v.tolist()) for i, v in enumerate(rows)], "id string, embedding array<double>")
+    groups = neighbours.own_pairs(frame, 5).groupBy("low", "high").agg(F.count("*").alias("rows")).collect()
+    assert len(groups) == 5 * 6 // 2 and sum(g["rows"] for g in groups) == 5 * len(rows)
+    expected = sorted(map(tuple, neighbours.knn(frame, frame, 5).collect()))
+    monkeypatch.setattr(neighbours, "FULL_ROWS", 100)
+    assert sorted(map(tuple, neighbours.knn(frame, frame, 5, broadcast_bytes=0).collect())) == expected
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)  # some pairs lack rows on a side
+    assert sorted(map(tuple, neighbours.knn(frame, frame, 5, broadcast_bytes=0).collect())) == expected
+
+
+def test_similar_songs_of_a_large_catalogue(spark, monkeypatch):
+    """Queries drawn from the catalogue itself, more than are sent to the tasks."""
+    rng = np.random.default_rng(7)
+    rows = [(i, f"Song {i % 25}", "Ann", "pop", fixed.EMOTIONS[i % 6], rng.normal(size=4).tolist()) for i in range(60)]
+    songs = spark.createDataFrame(rows, "id bigint, song string, artist string, genre string, emotion string, embedding array<float>")
+    searches = [lambda: search.similar_songs(songs.select("id"), songs, 3), lambda: search.similar_tracks(songs.select("id"), songs, 3)]
+    expected = [sorted(map(tuple, s().collect())) for s in searches]
+    monkeypatch.setattr(search, "knn", lambda *args, **named: neighbours.knn(*args, **named, broadcast_bytes=0))
+    assert [sorted(map(tuple, s().collect())) for s in searches] == expected
+
+
 def test_block_search_in_both_precisions(monkeypatch):
     """Pieces smaller than a block, ties, copies, tight clusters far from the mean, and vectors too long for single precision."""
     monkeypatch.setattr(neighbours, "CORPUS_ROWS", 16)
