@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from songloom.operators import classifier
@@ -82,3 +84,58 @@ def test_no_validation_rows_and_too_few_classes(spark):
     with pytest.raises(ValueError, match="0 classes"):
         classifier.choose(table.limit(0), "label", features=FEATURES)
     assert best.predict(table.limit(0)).count() == 0
+
+
+STRENGTHS, PASSES = (0.0001, 0.01, 1.0), (3, 6, 12, 24)
+
+
+@pytest.fixture(scope="module")
+def every(spark):
+    """All candidates, none left out for want of gain, and the jobs they took."""
+    table = spark.createDataFrame(mixed(), SCHEMA)
+    spark.sparkContext.setJobGroup("classifier-choice", "")
+    _, tried = classifier.choose(table, "label", features=FEATURES, regularisation=STRENGTHS, passes=PASSES, patience=9)
+    spark.sparkContext.setJobGroup("other", "")
+    return table, tried, len(spark.sparkContext.statusTracker().getJobIdsForGroup("classifier-choice"))
+
+
+def mixed(n=600):
+    """Classes that overlap, so that a descent is long; one feature spread far wider than the other."""
+    rng = random.Random(11)
+    out = []
+    for i in range(n):
+        label = "west" if i % 9 == 0 else "north" if i % 2 else "east"
+        x = {"north": 0.0, "east": 1.0, "west": 2.0}[label] + rng.gauss(0, 1)
+        out.append((i, label, ("train", "train", "val")[i // 20 % 3], x, 300 * (rng.random() - x * x)))
+    return out
+
+
+def test_candidates_share_readings_of_the_training_rows(every):
+    _, tried, jobs = every
+    assert [(c.regularisation, c.passes) for c in tried] == [(r, p) for r in STRENGTHS for p in PASSES]
+    # up to 135 passes if each candidate starts anew, each a job: 167 jobs then; two jobs measure each of the twelve
+    assert jobs < 24 + 60
+
+
+def test_a_candidate_is_what_a_fit_of_its_own_gives(every):
+    table, tried, _ = every
+    train = [r for r in mixed() if r[2] == "train"]
+    counts = {x: sum(r[1] == x for r in train) for x in tried[0].labels}
+    weight = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, len(train) / (len(counts) * n))])
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(counts) for x in (name, float(i))])
+    z = F.array(*[(F.col(f) - m) / (s + 1e-8) for f, m, s in zip(FEATURES, tried[0].means, tried[0].stds)])
+    rows = table.filter("split = 'train'").select(array_to_vector(z).alias("x"), place[F.col("label")].alias("y"), weight[F.col("label")].alias("w"))
+    for c in tried:
+        fit = LogisticRegression(
+            featuresCol="x", labelCol="y", weightCol="w", family="multinomial", regParam=c.regularisation, maxIter=c.passes, standardization=False
+        ).fit(rows)
+        assert np.allclose(c.weights, fit.coefficientMatrix.toArray(), rtol=1e-5, atol=1e-7)
+        assert np.allclose(c.intercepts, fit.interceptVector.toArray(), rtol=1e-5, atol=1e-7)
+
+
+def test_a_feature_of_one_value_gets_no_weight(spark):
+    table = spark.createDataFrame(mixed(), SCHEMA).withColumn("c", F.lit(4.0))
+    with_it, _ = classifier.choose(table, "label", features=[*FEATURES, "c"], regularisation=(0.01,), passes=(4,))
+    without, _ = classifier.choose(table, "label", features=FEATURES, regularisation=(0.01,), passes=(4,))
+    assert all(w[2] == 0 for w in with_it.weights) and with_it.accuracy == without.accuracy
+    assert np.allclose([w[:2] for w in with_it.weights], without.weights)
