@@ -153,7 +153,7 @@ def _narrowed(narrow: DataFrame, columns: list[str], by: list[str], state: DataF
     return kept.unionByName(opened)
 
 
-def medians_row(df: DataFrame, columns: list[str]) -> DataFrame:
+def medians_row(df: DataFrame, columns: list[str], kept: bool = False) -> DataFrame:
     """All medians side by side in one row."""
-    q = exact_quantiles(df, columns, [0.5])
+    q = exact_quantiles(df, columns, [0.5], kept=kept)
     return q.agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns])

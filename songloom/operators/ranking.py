@@ -45,6 +45,7 @@ def exact_split(
     sizes: Callable[[Column], tuple[Column, Column]],
     strata: list[str] | None = None,
     seed: int = 42,
+    kept: bool = False,
 ) -> DataFrame:
     """Add a ``split`` column (train, val, test) of exact size.
 
@@ -52,7 +53,8 @@ def exact_split(
     finds the two prefixes in which the cuts fall; only their rows are ranked.
     The hashes at the cuts then label every row by comparison, so the table
     itself is never shuffled or sorted, however large one stratum is. Strata are
-    few: their cuts travel as one map.
+    few: their cuts travel as one map. ``kept`` works the cuts out now, for
+    plans that read the parts several times.
     """
     strata = strata or []
     keyed = df.select(*strata, hash_of(id_col, seed).alias("_hash")).withColumn(
@@ -80,11 +82,13 @@ def exact_split(
     inner = Window.partitionBy(*strata, "_prefix").orderBy("_hash")
     of = cuts.select(*[F.col(c).alias(f"_of_{c}") for c in [*strata, "_prefix"]], "_start", "_cut1", "_cut2")
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*strata, "_prefix"]]  # null is a stratum
-    ranked = keyed.join(of, same).withColumn("_rank", F.row_number().over(inner) + F.col("_start"))
+    # one or two prefixes for each stratum: sent to the rows, which a join by key would move to find these few
+    ranked = keyed.join(F.broadcast(of), same).withColumn("_rank", F.row_number().over(inner) + F.col("_start"))
     at_cut = ranked.groupBy(*strata).agg(
         F.max(F.when(F.col("_rank") == F.col("_cut1"), F.col("_hash"))).alias("_hash1"),
         F.max(F.when(F.col("_rank") == F.col("_cut2"), F.col("_hash"))).alias("_hash2"),
     )
+    at_cut = cut_lineage(at_cut, "cuts") if kept else at_cut
     hashed = df.withColumn("_hash", hash_of(id_col, seed))
     if strata:
         # one row per stratum: a scalar map, so rows of a large stratum never meet in a join

@@ -69,11 +69,17 @@ def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return attach(df, stats).withColumns({c: scaled(c) for c in columns}).drop("_stats")
 
 
-def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill missing numbers with the exact column median."""
+def impute_median(df: DataFrame, columns: list[str], kept: bool = False) -> DataFrame:
+    """Fill missing numbers with the exact column median.
+
+    ``kept`` tells that reading ``df`` several times is cheap: its columns are
+    not written for the medians, and these are worked out now, for all plans
+    that read the result.
+    """
     m = F.col("_stats")
     filled = {c: F.when(is_missing(F.col(c)), m.getField(c)).otherwise(F.col(c)) for c in columns}
-    return attach(df, medians_row(df, columns)).withColumns(filled).drop("_stats")
+    medians = medians_row(df, columns, kept)
+    return attach(df, pinned(medians) if kept else medians).withColumns(filled).drop("_stats")
 
 
 def impute_labels(df: DataFrame) -> DataFrame:

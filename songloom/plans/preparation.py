@@ -10,8 +10,8 @@ from songloom.operators import preparation, prepare, ranking
 from songloom.operators import statistics as S
 from songloom.plans.registry import query
 from songloom.plans.twins import LYRICS, RAW, SONGS, TRACKS, with_
-from songloom.session import scratch_path
-from songloom.sources import catalogue
+from songloom.session import drop_folder, scratch_path, shuffles_freed
+from songloom.sources import catalogue, sinks
 from songloom.sources.readers import Tables, read_csv
 
 KEY_SQL = "md5(trim(lower(coalesce(artist, ''))) || '|' || trim(lower(coalesce(lyrics, ''))))"
@@ -155,7 +155,12 @@ whole AS (SELECT r.track_id, CASE WHEN t.emotion = 'fear' THEN 'neutral' ELSE t.
 
 
 def prepared_folder(t: Tables) -> str:
-    """Two raw sources of other names, units and formats, prepared and written."""
+    """Two raw sources of other names, units and formats, prepared and written; what only the job itself reads is dropped."""
+    with shuffles_freed(t.spark):
+        return _prepared_folder(t)
+
+
+def _prepared_folder(t: Tables) -> str:
     tracks = t.spread("lineitem", "l_orderkey").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     emotion = catalogue.emotion_by_number(F.col("l_linenumber"))
     mood = F.when(emotion != "fear", emotion)
@@ -170,15 +175,19 @@ def prepared_folder(t: Tables) -> str:
     for place, (rows, columns) in raw.items():
         path = f"{folder}/raw-{place}"
         chosen = tracks.filter(rows).select(*columns)
-        chosen.write.csv(path, header=True)
+        chosen.write.options(**sinks.PACKED).csv(path, header=True)
         # as collected: every field is text
         sources[place] = read_csv(t.spark, path, ", ".join(f"`{c}` string" for c in chosen.columns), multi_line=False)
     lookup = t.part.select(F.col("p_name").alias("song"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") / 50).alias("danceability"), (F.col("p_size") / 100).alias("acousticness"))
     required = ["track_id", "song", "artist", "emotion", "energy", "danceability", "valence", "tempo"]
     done = preparation.prepared(
-        sources["first"], sources["second"], lookup, F.col("track_id"), F.lower("song"), "p_partkey", "track_id", PREPARED_FEATURES, required
+        sources["first"], sources["second"], lookup, F.col("track_id"), F.lower("song"), "p_partkey", "track_id", PREPARED_FEATURES, required,
+        f"{folder}/scratch", names=(),  # not written
     )
+    for place in raw:
+        drop_folder(t.spark, f"{folder}/raw-{place}")
     preparation.write(done.select("track_id", "emotion", *PREPARED_FEATURES, "split"), folder, PREPARED_FEATURES)
+    drop_folder(t.spark, f"{folder}/scratch")
     return folder
 
 

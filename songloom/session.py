@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,17 +52,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "step", folder: str | None = None) -> DataFrame:
     """The rows as a table written to the shared folder.
 
     Later jobs read that table, so nothing before it runs again, also when
-    executors are lost.
+    executors are lost. In a ``folder`` of the caller's, who drops it when it
+    is no longer read, the table is packed tighter.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = f"{folder}/{name}" if folder else scratch_path(df.sparkSession, name)
+    writer = df.write.option("compression", "zstd") if folder else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove tables that no plan reads any more, through Spark's own file system layer."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the files of a job's shuffles go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def spread(table: DataFrame, key: str, most: int = 64) -> DataFrame:
     """A scanned table in at least as many parts as there are cores.
 
