@@ -54,8 +54,11 @@ def exact_quantiles(
         state = cut_lineage(state, "brackets")
     running = Window.partitionBy("g", "i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inside, below = _met(narrow, columns, by, state, 2 * len(probs))
+    brackets = state.select("g", "i", "prob", "part", "rank", "upper", "lo").join(below, ["g", "i"])
     values = inside.groupBy("g", "i", "value").agg(F.count("*").alias("c"))
-    placed = values.join(state.select("g", "i", "prob", "part", "rank", "upper").join(below, ["g", "i"]), ["g", "i"])
+    # adding zero makes -0.0 the 0.0 that it is grouped as
+    values = values.unionByName(brackets.filter("at IS NOT NULL").select("g", "i", (F.col("lo") + F.lit(0.0)).alias("value"), F.col("at").alias("c")))
+    placed = values.join(brackets.drop("lo", "at"), ["g", "i"])
     found = placed.withColumn("end", F.col("below") + F.sum("c").over(running)).filter(F.col("end") > F.col("rank"))
     ends = found.groupBy("g", "prob", "part").agg(F.min(F.when(~F.col("upper"), F.col("value"))).alias("a"), F.min(F.when(F.col("upper"), F.col("value"))).alias("b"))
     a, b = F.col("a"), F.col("b")
@@ -108,17 +111,26 @@ def _ranks(sketched: DataFrame, probs: list[float]) -> DataFrame:
 
 
 def _met(narrow: DataFrame, columns: list[str], by: list[str], state: DataFrame, brackets: int) -> tuple[DataFrame, DataFrame]:
-    """(g, value, i) of the values inside brackets, and (g, i, below): how many values lie under each."""
+    """(g, value, i) of the values inside brackets, and (g, i, below, at): how many values lie under each.
+
+    Without groups a bracket of one value gives no rows: how often it occurs is counted in ``at``, else null.
+    """
     if by:
         looked = _looked_up(_long(narrow, columns, by), state)
-        return _inside(looked), _below(looked, brackets)
+        return _inside(looked), _below(looked, brackets).withColumn("at", F.lit(None).cast("bigint"))
     listed = [(r["feature"], r["i"], r["lo"], r["hi"]) for r in state.select("g.feature", "i", "lo", "hi").collect()]  # a few for each column
-    under = [F.struct(F.struct(F.lit(c).alias("feature")).alias("g"), F.lit(i).alias("i"), F.count_if(_present(c) < lo).alias("below")) for c, i, lo, _ in listed]
-    hits = [(c, i, F.coalesce(_present(c).between(lo, hi), F.lit(False))) for c, i, lo, hi in listed]
+    under = [
+        F.struct(
+            F.struct(F.lit(c).alias("feature")).alias("g"), F.lit(i).alias("i"), F.count_if(_present(c) < lo).alias("below"),
+            (F.count_if(_present(c) == lo) if lo == hi else F.lit(None).cast("bigint")).alias("at"),
+        )
+        for c, i, lo, hi in listed
+    ]
+    hits = [(c, i, F.coalesce(_present(c).between(lo, hi), F.lit(False))) for c, i, lo, hi in listed if lo != hi]
     inside = [F.when(hit, F.struct(F.struct(F.lit(c).alias("feature")).alias("g"), F.col(c).alias("value"), F.lit(i).alias("i"))) for c, i, hit in hits]
     shape = "array<struct<g:struct<feature:string>,value:double,i:int>>"
     some = narrow.filter(reduce(Column.__or__, [hit for _, _, hit in hits], F.lit(False)))
-    counts = narrow.agg(F.array(*under).cast("array<struct<g:struct<feature:string>,i:int,below:bigint>>").alias("b"))
+    counts = narrow.agg(F.array(*under).cast("array<struct<g:struct<feature:string>,i:int,below:bigint,at:bigint>>").alias("b"))
     return some.select(F.inline(F.array_compact(F.array(*inside).cast(shape)))), counts.select(F.inline("b"))
 
 
@@ -144,13 +156,15 @@ def _narrowed(narrow: DataFrame, columns: list[str], by: list[str], state: DataF
     """Brackets by sketches of what is inside the present ones."""
     inside, below = _met(narrow, columns, by, state, brackets)
     inside = inside.groupBy("g", "i").agg(F.count("*").alias("c"), _sketch(F.col("value")))
-    rows = state.drop("lo", "hi", "held").join(below, ["g", "i"]).join(inside, ["g", "i"], "left")
+    # read three times
+    rows = cut_lineage(state.join(below, ["g", "i"]).join(inside, ["g", "i"], "left").withColumn("c", F.coalesce("at", "c")), "narrowed")
     place = F.col("rank") - F.col("below")
     missed = F.col("c").isNull() | (place < 0) | (place >= F.col("c"))
     lo, hi, held = _bracket(place, F.col("c"))
-    kept = rows.filter(~missed).select("g", "i", "prob", "part", "rank", "upper", lo, hi, held)
+    kept = rows.filter(~missed & F.col("at").isNull()).select("g", "i", "prob", "part", "rank", "upper", lo, hi, held)
+    told = rows.filter(~missed & F.col("at").isNotNull()).select("g", "i", "prob", "part", "rank", "upper", "lo", "hi", "held")
     opened = rows.filter(missed).select("g", "i", "prob", "part", "rank", "upper", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1 << 60).cast("bigint").alias("held"))
-    return kept.unionByName(opened)
+    return kept.unionByName(told).unionByName(opened)
 
 
 def medians_row(df: DataFrame, columns: list[str], kept: bool = False) -> DataFrame:

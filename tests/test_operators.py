@@ -112,6 +112,17 @@ def test_quantiles_of_infinite_values_and_null_groups(spark, monkeypatch):
     assert quantiles.exact_quantiles(df.filter("false"), ["x"], [0.5]).count() == 0
 
 
+def test_brackets_of_one_value_are_counted_in_the_scan(spark):
+    df = spark.createDataFrame([(float(i % 3), -0.0 if i % 2 else 0.0, float(i)) for i in range(90)], "a double, b double, c double")
+    rows = [(("a",), 0, 1.0, 1.0), (("a",), 1, 1.0, 1.0), (("b",), 0, 0.0, 0.0), (("b",), 1, -0.0, 0.0), (("c",), 0, 40.0, 45.0)]
+    state = spark.createDataFrame(rows, "g struct<feature: string>, i int, lo double, hi double")
+    inside, below = quantiles._met(df, ["a", "b", "c"], [], state, 2)
+    assert sorted((r.g.feature, r.value) for r in inside.collect()) == [("c", float(x)) for x in range(40, 46)]
+    assert sorted((r.g.feature, r.i, r.below, r["at"]) for r in below.collect()) == [("a", 0, 30, 30), ("a", 1, 30, 30), ("b", 0, 0, 90), ("b", 1, 0, 90), ("c", 0, 40, None)]
+    got = {r.feature: str(r.value) for r in quantiles.exact_quantiles(df, ["a", "b", "c"], [0.5]).collect()}
+    assert got == {"a": "1.0", "b": "0.0", "c": "44.5"}
+
+
 def test_a_null_stratum_is_split_like_others(spark):
     df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
     rows = ranking.exact_split(df, "id", ranking.holdout_sizes(0.1, 0.1), ["s"]).collect()

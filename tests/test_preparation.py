@@ -147,3 +147,14 @@ def test_a_source_without_its_columns_is_named(spark):
         preparation.harmonised(df, ["song", "artist", "energy", "valence"])
     row = preparation.harmonised(df, ["song", "artist", "energy"]).first()
     assert (row.song, row.artist, row.energy) == ("a", "b", 1.0)
+
+
+def test_statistics_are_written_without_a_table_of_their_own(spark, new_tables, tmp_path):
+    rows = [(f"t{i}", ["train", "val"][i % 5 == 0], i / 7) for i in range(50)]
+    df = spark.createDataFrame(rows, "track_id string, split string, energy double")
+    preparation.write(df, str(tmp_path / "out"), ["energy"])
+    assert not new_tables() and sorted(os.listdir(tmp_path / "out")) == ["splits", "statistics"]
+    assert {tuple(r) for r in preparation.written(spark, str(tmp_path / "out"), "track_id string, energy double").select("track_id", "split", "energy").collect()} == set(rows)
+    train = [x for _, split, x in rows if split == "train"]
+    (row,) = preparation.written_statistics(spark, str(tmp_path / "out")).collect()
+    assert row.feature == "energy" and list(row)[1:] == pytest.approx([statistics.mean(train), statistics.stdev(train), min(train), max(train)])
